@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.components import connected_components
-from marketloom.llm.storage import materialise
+from marketloom.llm.storage import fresh, materialise
 
 WIDTH = 4
 SEED = 42
@@ -291,3 +291,26 @@ def near_classes(docs: DataFrame, keep: list[str], text: str = "text", max_bits:
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def drop_near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that are the first of their class: least id, then least text, one of rows equal in both.
+
+    Only ids and codes are grouped; the texts are read again and meet the ids to
+    drop in a join that adaptive execution may split or broadcast. Null ids come
+    after all others.
+    """
+    row = F.struct(F.col(f"`{ident}`").isNull().alias("late"), F.col(f"`{ident}`").alias("ident"), F.xxhash64(F.col(f"`{text}`")).alias("hash"))
+    marked = near_classes(docs.select(row.alias("_row"), F.col(f"`{text}`").alias("_body")), ["_row"], "_body", max_bits)
+    marked = marked.select("_row.ident", "_row.hash", (F.col("_row") == F.col("component_id")).alias("stays"))
+    counted = materialise(marked.groupBy("ident", "hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
+    id_, hash_, stays_, n_ = fresh(docs, "ident", "hash", "stays", "n")
+    touched = counted.toDF(id_, hash_, stays_, n_)
+    same = F.col(f"`{ident}`").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(hash_))
+    kept = docs.join(touched.select(id_, hash_), same, "left_anti")
+    repeated = touched.where(F.col(stays_))
+    if not repeated.isEmpty():
+        # Rows that share id and text: one of them stays.
+        once = docs.join(repeated, same).dropDuplicates([id_, hash_]).select(*(docs[f"`{c}`"] for c in docs.columns))
+        kept = kept.unionByName(once)
+    return kept
