@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from marketloom.llm.storage import extended
+
 NONE = 1 << 40
 
 
@@ -192,7 +194,7 @@ def _map(source: DataFrame, schema: StructType, run) -> DataFrame:
 def encode_documents(docs: DataFrame, keep: list[str], path: str, pattern: str, text: str = "text") -> DataFrame:
     """``keep`` and ``ids`` (array of int) for each row."""
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
-    schema = source.drop("_text").schema.add("ids", "array<int>")
+    schema = extended(source.drop("_text").schema, "ids array<int>")
     return _map(source, schema, lambda texts: [pa.array([x.view("<i4") for x in codec(path, pattern).encode(texts)], pa.list_(pa.int32()))])
 
 
