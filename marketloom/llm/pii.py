@@ -44,6 +44,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def card_like(w: str) -> bool:
+    digits = "".join(c for c in w if "0" <= c <= "9")
+    return 13 <= len(digits) <= 19 and luhn(digits)
+
+
 def _emails(text: str) -> Iterator[Span]:
     """As the pattern read from the left, but led by ``@``, so a long run of letters is read once."""
     at, done = text.find("@"), 0
@@ -83,6 +88,8 @@ SAMPLE_CHARS = 20_000
 EPOCHS, RATE, DECAY = 30, 0.5, 1e-4
 ROUNDS = 6
 SURE = 0.9
+#: What two linked mentions of one kind gain beyond what the sample shows: an entity keeps its label.
+AGREE = 12.0
 _TOKEN = re.compile(r"[^\s]*[0-9@+][^\s]*")
 _TRIM = ".,;:!?\"'<>[]{}|"
 #: A repeated token is joined to its last mention; a similar one to the last that shares its digits' end.
@@ -108,8 +115,11 @@ class Tokens:
         self.next = [k for k in range(n - 1) if self.spans[k + 1][0] - self.spans[k][1] <= 2 and not text[self.spans[k][1] : self.spans[k + 1][0]].strip()]
         self.skips: list[tuple[int, int]] = []
         last: dict[str, int] = {}
+        beside = {k + 1 for k in self.next}
+        digits = ""
         for k, w in enumerate(words):
-            digits = "".join(c for c in w if "0" <= c <= "9")
+            # A number may be written in several tokens side by side.
+            digits = (digits[-15:] if k in beside else "") + "".join(c for c in w if "0" <= c <= "9")
             keys = {"=" + w.lower()}
             if len(digits) >= SIMILAR_DIGITS:
                 keys.add("#" + digits[-SIMILAR_DIGITS:])
@@ -129,6 +139,7 @@ class Tokens:
             f"digits {min(digits, 20)}",
             f"at {'@' in w} dots {min(w.count('.'), 5)} plus {w.startswith('+')}",
             f"letters {any(c.isalpha() for c in w)}",
+            f"card {card_like(w)}",
         )
         return [crc32(f.encode()) % FEATURES for f in named]
 
@@ -148,11 +159,11 @@ class Tokens:
 
 
 def _uncertain(text: str, tokens: Tokens, labels: np.ndarray) -> np.ndarray:
-    """Tokens that look like a kind but failed its test: they teach nothing."""
+    """Tokens that a pattern may have missed: they teach nothing. A long number without a check digit is no such token."""
     odd = np.zeros(len(labels), bool)
     for k, (a, b) in enumerate(tokens.spans):
         digits = sum("0" <= c <= "9" for c in text[a:b])
-        odd[k] = labels[k] == 0 and (digits >= 9 or "@" in text[a:b])
+        odd[k] = labels[k] == 0 and (9 <= digits <= 12 or card_like(text[a:b]) or "@" in text[a:b])
     return odd
 
 
@@ -197,7 +208,7 @@ def fit(texts: list[str]) -> dict[str, np.ndarray]:
             change = part.T @ g
             w[name] -= RATE * (8 * (change + change.T) / 2 + DECAY * w[name])
     # Repeats of an entity agree at least as much as the sample shows.
-    w["skip"] += np.diag([0.0] + [1.0] * (LABELS - 1))
+    w["skip"] += np.diag([0.0] + [AGREE] * (LABELS - 1))
     return w
 
 
@@ -253,9 +264,9 @@ def spans_of(text: str, w: dict[str, np.ndarray]) -> tuple[list[Span], list[Span
         while upto in side and sure[upto + 1] and best[upto + 1] == best[k]:
             upto += 1
         start, end, kind = tokens.spans[k][0], tokens.spans[upto][1], int(best[k]) - 1
-        # An address needs its sign, a number enough digits.
-        enough = "@" in text[start:end] if kind == 0 else sum(digits[k : upto + 1]) >= (4, 4, 12, 7)[kind]
-        if enough:
+        # An address needs its sign, a card its check digit, other numbers enough digits.
+        enough = ("@" in text[start:end], sum(digits[k : upto + 1]) >= 4, card_like(text[start:end]), 7 <= sum(digits[k : upto + 1]) <= 15)
+        if enough[kind]:
             added.append((kind, start, end))
         k = upto + 1
     return base, sorted(base + added)
