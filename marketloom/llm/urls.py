@@ -58,7 +58,7 @@ SITE_RULES = (
     site_rule("net/es/", "block"),
     site_rule("net/fr/", "block"),
 )
-BLOCKED_WORDS = ("casino", "gambling", "poker", "porn", "sportsbook", "viagra", "xxx")
+BLOCKED_WORDS = ("adult", "bets", "casino", "gambling", "pills", "poker", "porn", "spam", "sportsbook", "viagra", "xxx")
 RULES = SITE_RULES + tuple(word_rule(w) for w in BLOCKED_WORDS)
 
 
