@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.bpe import ChunkCache
-from marketloom.llm.storage import materialise
+from marketloom.llm.storage import extended, materialise
 
 SEQUENCE = 1024
 END_ID = 0
@@ -113,7 +113,7 @@ def cut_documents(docs: DataFrame, path: str, ident: str = "doc_id", text: str =
     for name in ("start", "length", "ids_crc32", "doc_tokens"):
         schema = schema.add(name, "long")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = extended(schema, "ids array<int>")
     return source.mapInArrow(run, schema)
 
 
@@ -139,6 +139,11 @@ def price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, n
     return float(best[capacity]), pattern
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix product without a threaded BLAS, which can stall in a driver that has forked."""
+    return np.einsum("ij,j...->i...", a, b)
+
+
 def solve(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns of patterns and how often (not yet whole) each is used, with as few sequences as the program allows.
 
@@ -150,12 +155,12 @@ def solve(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarra
     need = need + 1e-3 * (1 + np.arange(len(sizes))) / len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    use = inverse @ need
+    use = times(inverse, need)
     for turn in range(MAX_ROUNDS):
         worth, column = price(inverse.sum(axis=0).clip(min=0), sizes, capacity)
         if worth <= 1 + SLACK:
             break
-        change = inverse @ column
+        change = times(inverse, column)
         up = change > 1e-9
         if not up.any():
             break
@@ -167,9 +172,9 @@ def solve(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarra
         others = np.arange(len(sizes)) != out
         inverse[others] -= np.outer(change[others], inverse[out])
         basis[:, out] = column
-        if turn % 200 == 199:  # against drift
-            inverse = np.linalg.inv(basis)
-            use = (inverse @ need).clip(min=0)
+        if turn % 200 == 199:  # one Newton step against drift
+            inverse = 2 * inverse - times(inverse, times(basis, inverse))
+            use = times(inverse, need).clip(min=0)
     return basis, use
 
 
