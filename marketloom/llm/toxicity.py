@@ -29,7 +29,7 @@ BUCKETS = 1 << 18
 FACTORS = 4
 #: Bounds of the training sample, by class; rows are taken by the hash of their id.
 MAX_TOXIC, MAX_CLEAN = 3000, 9000
-EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.05, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.2, 1e-4
 #: Log odds are smoothed by so many pseudo-texts, and count as even below a bound.
 SMOOTH, EVEN = 20.0, 0.7
 CACHE = 200_000
