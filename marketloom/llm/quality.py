@@ -9,6 +9,7 @@ through :func:`quality_filter` untouched; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,9 +24,9 @@ STOP_WORDS = {
     "fr": "au avec dans de des du elle en est et il la le les par pour qui sur un une",
     "es": "al con de del el en es la las lo los no por que se su un una y",
 }
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 BLANKS = " \t\n\x0b\x0c\r"
-SPLIT = r"[\x20\x09-\x0D]+"
+HAS_WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 8
 
 
@@ -50,24 +51,41 @@ RULES = (
 )
 
 
-def _removed(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words that lie in an 8-word window found twice or more, first included.
+def _words(text: Column) -> Column:
+    for blank in BLANKS[1:]:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def _window_hashes(words: Column) -> Column:
+    """A hash of each run of ``WINDOW`` words, of runs half as long side by side; null if there are fewer words."""
+
+    def doubled(h: Column, width: int) -> Column:
+        return _let(h, lambda x: F.zip_with(x, F.slice(x, width + 1, F.size(x)), lambda a, b: F.xxhash64(a, b)))
+
+    h = F.transform(words, lambda w: F.xxhash64(w))
+    width = 1
+    while width < WINDOW:
+        h, width = doubled(h, width), 2 * width
+    return F.when(F.size(words) >= WINDOW, F.slice(h, 1, F.size(words) - (WINDOW - 1)))
 
-    Window texts are compared as they are, not by hash. Only where two windows
-    agree are they sorted, so that equal ones lie side by side; the positions
-    of those are then merged as intervals.
-    """
-    n = F.size(words)
-    starts = F.sequence(F.lit(1), n - (WINDOW - 1))
-    windows = F.transform(starts, lambda i: F.array_join(F.slice(words, i, WINDOW), " "))
-    return F.when(n >= WINDOW, windows).otherwise(F.array().cast("array<string>"))
+
+def _window_texts(words: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, WINDOW), " "))
 
 
 def _covered(windows: Column) -> Column:
+    """Positions that lie in a window found twice or more, first included.
+
+    Equal window texts are sorted side by side; the positions of those are then
+    merged as intervals.
+    """
     ranked = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
     def twice(r: Column) -> Column:
@@ -97,31 +115,27 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     names = {c: f"_{k}_kept" for k, c in enumerate(keep)}
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in names.items()), body.alias("_text"))
-    has_word = rf"[^\x20\x09-\x0D]"
-    split = base.select(
-        "*",
-        F.filter(F.split("_text", SPLIT), lambda w: w != "").alias("_words"),
-        F.filter(F.split("_text", "\n"), lambda line: line.rlike(has_word)).alias("_lines"),
-    )
-    stops = sorted({w for words in STOP_WORDS.values() for w in words.split()})
+    split = base.select("*", _words(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n"), lambda line: line.rlike(HAS_WORD)).alias("_lines"))
+    stops = sorted({f for words in STOP_WORDS.values() for w in words.split() for f in (w, w.capitalize(), w.upper())})
     counted = split.select(
         *names.values(),
+        "_words",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(_removed(F.col("_text"), BLANKS)).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(_removed(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.length("_text") - F.length(_removed(F.col("_text"), "!"))).cast("long").alias("n_exclamations"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(F.col("_text"), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("!"), F.lit("")))).cast("long").alias("n_exclamations"),
         F.regexp_count(F.col("_text"), F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("_words", lambda w: F.lower(w).isin(stops))).cast("long").alias("n_stop_words"),
-        _repeat_words(F.col("_words")).alias("_windows"),
-    )
-    unique = F.size(F.array_distinct("_windows")) == F.size("_windows")
-    return counted.select(
-        *(F.col(a).alias(c) for c, a in names.items()),
-        *(c for c in counted.columns if not c.startswith("_")),
-        F.when(unique, F.lit(0).cast("long")).otherwise(_covered(F.col("_windows"))).alias("n_repeat_words"),
+        F.size(F.filter("_words", lambda w: w.isin(stops))).cast("long").alias("n_stop_words"),
+        _window_hashes(F.col("_words")).alias("_hashes"),
     )
+    # Windows whose hashes all differ do differ; the others are compared as they are.
+    unique = F.col("_hashes").isNull() | (F.size(F.array_distinct("_hashes")) == F.size("_hashes"))
+    repeated = _covered(_window_texts(F.col("_words")))
+    found = F.struct(*(c for c in counted.columns if not c.startswith("_")), F.when(unique, F.lit(0).cast("long")).otherwise(repeated).alias("n_repeat_words"))
+    # A generator of one row: filters on its columns stay above it, so no measure is computed twice.
+    return counted.select(*(F.col(a).alias(c) for c, a in names.items()), F.inline(F.array(found)))
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:

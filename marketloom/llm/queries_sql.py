@@ -5,7 +5,7 @@ from __future__ import annotations
 from marketloom.llm.quality import STOP_WORDS
 from marketloom.llm.urls import BLOCKED_WORDS
 
-_STOPS = ", ".join(f"'{w}'" for w in sorted({w for words in STOP_WORDS.values() for w in words.split()}))
+_STOPS = ", ".join(f"'{w}'" for w in sorted({f for words in STOP_WORDS.values() for w in words.split() for f in (w, w.capitalize(), w.upper())}))
 
 WARC = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -52,7 +52,7 @@ m AS (SELECT s.rid, s.doc_id, len(words)::BIGINT AS n_words, length(packed)::BIG
   (length(text) - length(replace(text, '!', '')))::BIGINT AS n_exclamations,
   (length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')))::BIGINT AS n_upper,
   len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-  len(list_filter(words, lambda w: lower(w) IN ({_STOPS})))::BIGINT AS n_stop_words,
+  len(list_filter(words, lambda w: w IN ({_STOPS})))::BIGINT AS n_stop_words,
   coalesce(n.covered, 0)::BIGINT AS n_repeat_words
   FROM s LEFT JOIN n ON n.rid = s.rid),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
