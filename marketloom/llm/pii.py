@@ -279,11 +279,17 @@ def told(spans: list[Span]) -> str:
 def train(docs: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
     """A field fitted on at most SAMPLE texts with a digit, ``@`` or ``+``, each of at most SAMPLE_CHARS.
 
-    Rows are chosen by the hash of their text, so the choice does not depend on
-    how the table is split; the bound does not grow with the table.
+    Texts are chosen by their hash, so the choice does not depend on how the
+    table is split. A count sets the share of hashes that can be chosen, so what
+    tasks send grows with neither the table nor its number of partitions; equal
+    texts count once.
     """
     some = docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").rlike("[0-9@+]") & (F.length("text") <= SAMPLE_CHARS))
-    rows = some.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(SAMPLE).collect()
+    n = some.count()
+    hashed = some.withColumn("h", F.xxhash64("text"))
+    if n > 2 * SAMPLE:
+        hashed = hashed.where(F.shiftrightunsigned("h", 11) < int(2 * SAMPLE / n * (1 << 53)))
+    rows = hashed.dropDuplicates(["h"]).orderBy("h", "text").limit(SAMPLE).collect()
     return fit([r["text"] for r in rows])
 
 
