@@ -1,10 +1,13 @@
 """Fuzzy line dedup: near-equal lines form groups, and one occurrence of each group stays.
 
 Lines are normalised (ASCII case, punctuation and digits folded) and equal ones
-become one node with a SimHash of its words. Nodes meet in pigeonhole blocks of
-their SimHash; those within ``MAX_BITS`` bits are linked if their edit
-similarity is at least ``SIMILARITY``. Of each connected group the occurrence
-with the least (document, place) stays in its document, the rest are cut out.
+become one node. Nodes meet where one of ``BANDS`` MinHashes of their character
+runs is equal; the runs are shorter in shorter lines, so that about a third of
+them outlive the edits that ``SIMILARITY`` allows. Of those that meet, pairs
+whose lengths allow a link and whose sketches agree in ``AGREE`` of 32 places
+are compared, and linked if their edit similarity is at least ``SIMILARITY``.
+Of each connected group the occurrence with the least (document, place) stays
+in its document, the rest are cut out.
 
 Defined cases: lines of fewer than ``MIN_WORDS`` words always stay; a null text
 stays null, an empty one empty; rows that share id and text lose the same
@@ -19,21 +22,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.components import connected_components
-from marketloom.llm.simhash import SEED, gray_links, group_starts, majority, whole_groups
+from marketloom.llm.simhash import whole_groups
 from marketloom.llm.storage import extended, fresh, materialise
 
 MIN_WORDS = 5
-MAX_BITS = 4
+#: SimHash codes do not gate links: all their bits may differ.
+MAX_BITS = 64
 SIMILARITY = 0.8
-#: Groups of more nodes than this are verified in cells of at most twice as many.
-CELL_LINES = 128
+#: Bytes from which lines are cut into runs of the next of ``RUNS`` bytes; each bound is over 1 / SIMILARITY of the one before.
+BOUNDS, RUNS = (20, 40, 100), (3, 5, 8, 12)
+BANDS = 12
+#: A sketch has 32 MinHashes of runs of ``SKETCH_RUN`` bytes, four bits of each.
+SKETCH_RUN, AGREE = 4, 9
+#: Buckets of more nodes than this, as counted in one of ``SAMPLED`` nodes, are dealt into cells of about twice as many.
+BUCKET_LINES, SAMPLED = 1024, 16
+#: Bytes of lines that are hashed at once.
+HASHED_BYTES = 1 << 17
 #: Narrow tables of at most so many rows are sent to every task; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-KNOWN_WORDS = 200_000
+_MIX = np.random.default_rng(11).integers(1 << 62, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 _FOLD = bytes(
     ord("0") if chr(c).isdigit() and c < 128 else ord(chr(c).lower()) if c < 128 and chr(c).isalpha() else c if c >= 128 or c == 10 else 32
@@ -61,39 +72,19 @@ def _mapped(docs: DataFrame, ident: str, text: str, ddl: str, run) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``row_hash``, ``line_no``, ``key`` (128-bit hash of the normalised line) and ``fp`` of each line that counts."""
+    """``doc_id``, ``row_hash``, ``line_no`` and ``key`` (128-bit hash of the normalised line) of each line that counts."""
 
     def run(texts: list[str]) -> tuple[list[int], list[pa.Array]]:
-        known: dict[bytes, int] = {}
-        rows, places, keys, fps, held, starts = [], [], [], [], [], []
-
-        def flush() -> None:
-            if held:
-                fps.append(majority(np.array(held, np.uint64), np.array(starts)))
-            held.clear(), starts.clear()
-
+        rows, places, keys = [], [], []
         for k, t in enumerate(texts):
             for n, words in enumerate(normalised(t)):
-                if len(words) < MIN_WORDS:
-                    continue
-                rows.append(k)
-                places.append(n)
-                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                starts.append(len(held))
-                for w in words:
-                    h = known.get(w)
-                    if h is None:
-                        h = xxhash.xxh64_intdigest(w, SEED)
-                        if len(known) < KNOWN_WORDS:
-                            known[w] = h
-                    held.append(h)
-            if len(held) >= 50_000:
-                flush()
-        flush()
-        codes = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)
-        return rows, [pa.array(places, pa.int32()), pa.array(keys, pa.binary()), pa.array(codes)]
-
-    return _mapped(docs, ident, text, "line_no int, key binary, fp long", run)
+                if len(words) >= MIN_WORDS:
+                    rows.append(k)
+                    places.append(n)
+                    keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+        return rows, [pa.array(places, pa.int32()), pa.array(keys, pa.binary())]
+
+    return _mapped(docs, ident, text, "line_no int, key binary", run)
 
 
 def _line_texts(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -111,10 +102,138 @@ def _line_texts(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return _mapped(docs, ident, text, "key binary, line binary", run).select("key", "line")
 
 
+def _allowed(longer: int, least: float = SIMILARITY) -> int:
+    return int((1 - least) * longer + 1e-9)
+
+
+def run_classes(size: int) -> range:
+    """Classes of runs of a line of ``size`` bytes: its own and that of the shortest line it may be linked to."""
+    return range(sum(b <= size - _allowed(size) for b in BOUNDS), sum(b <= size for b in BOUNDS) + 1)
+
+
+def signatures(lines: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each line the keys of its buckets, ``BANDS`` for each of its classes, and its sketch of two words."""
+    bands: list[np.ndarray] = []
+    sketches = []
+    at = 0
+    while at < len(lines):
+        end, held = at, 0
+        while end < len(lines) and (end == at or held + len(lines[end]) <= HASHED_BYTES):
+            held += len(lines[end])
+            end += 1
+        some = lines[at:end]
+        at = end
+        sizes = np.array([len(x) for x in some])
+        pad = bytes(max(RUNS))
+        starts = np.cumsum(sizes + len(pad)) - sizes - len(pad)
+        raw = np.frombuffer(pad.join(some) + pad + pad, np.uint8).astype(np.uint64)
+        n = len(raw) - len(pad)
+
+        def least(run: int, mixes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, raw: np.ndarray = raw, n: int = n) -> np.ndarray:
+            h = np.zeros(n, np.uint64)
+            for k in range(run):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + raw[k : k + n] + np.uint64(1)
+            for shift, factor in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB), (32, 1)):
+                h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
+            edges = np.stack([starts, starts + np.maximum(sizes - run + 1, 1)], 1).ravel()
+            return np.stack([np.minimum.reduceat(h * m, edges)[::2] for m in mixes], 1)
+
+        nibbles = (least(SKETCH_RUN, _MIX[:32], starts, sizes) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)
+        place = np.arange(16, dtype=np.uint64) * np.uint64(4)
+        sketches.append(np.stack([np.bitwise_or.reduce(nibbles[:, 16 * k : 16 * k + 16] << place, axis=1) for k in (0, 1)], 1))
+        classes = [run_classes(x) for x in sizes.tolist()]
+        found: list[list[np.ndarray]] = [[] for _ in some]
+        for c, run in enumerate(RUNS):
+            own = np.array([k for k, x in enumerate(classes) if c in x], np.int64)
+            if len(own):
+                tag = np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * c)
+                keys = (least(run, _MIX[32 : 32 + BANDS], starts[own], sizes[own]) ^ tag * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+                for k, row in zip(own.tolist(), keys, strict=True):
+                    found[k].append(row)
+        bands += [np.concatenate(x) for x in found]
+    return bands, np.concatenate(sketches) if sketches else np.zeros((0, 2), np.uint64)
+
+
+def _node(key: bytes) -> int:
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
+def _node_column() -> Column:
+    return F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
+
+
+def _signed_nodes(docs: DataFrame, ident: str, text: str, one_of: int = 1) -> DataFrame:
+    """``node``, ``size``, ``s0``, ``s1`` and ``bands`` of each distinct line, or of one of ``one_of``."""
+
+    def run(texts: list[str]) -> tuple[list[int], list[pa.Array]]:
+        seen: dict[int, bytes] = {}
+        rows = []
+        for k, t in enumerate(texts):
+            for words in normalised(t):
+                if len(words) >= MIN_WORDS:
+                    line = b" ".join(words)
+                    node = _node(xxhash.xxh3_128_digest(line))
+                    if node % one_of == 0 and node not in seen:
+                        seen[node] = line
+                        rows.append(k)
+        bands, sketch = signatures(list(seen.values()))
+        columns = [pa.array([len(x) for x in seen.values()], pa.int32()), *(pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in (0, 1))]
+        return rows, [pa.array(list(seen), pa.int64()), *columns, pa.array([b.view(np.int64) for b in bands], pa.list_(pa.int64()))]
+
+    found = _mapped(docs, ident, text, "node long, size int, s0 long, s1 long, bands array<long>", run)
+    return found.select("node", "size", "s0", "s1", "bands").dropDuplicates(["node"])
+
+
+BUCKET = ("band", "cell_a", "cell_b")
+
+
+def bucket_pairs(change: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of each bucket worth comparing; ``change`` marks where buckets begin, each is sorted by ``size``."""
+    bucket = np.cumsum(change)
+    shortest = size - ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)
+    first, ahead = np.arange(len(size)), 1
+    low = np.uint64(0x1111111111111111)
+    while len(first := first[first + ahead < len(size)]):
+        second = first + ahead
+        going = (bucket[first] == bucket[second]) & (shortest[second] <= size[first])
+        first, second = first[going], second[going]
+        differ = np.zeros(len(first), np.int64)
+        for k in (0, 1):
+            x = sketch[first, k] ^ sketch[second, k]
+            x |= x >> np.uint64(2)
+            differ += np.bitwise_count((x | x >> np.uint64(1)) & low)
+        near = 32 - differ >= AGREE
+        if near.any():
+            yield first[near], second[near]
+        ahead += 1
+
+
+def candidate_pairs(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """``a`` < ``b``: nodes whose lines are to be compared."""
+    sample = _signed_nodes(docs, ident, text, SAMPLED).select(F.explode("bands").alias("band"))
+    often = sample.groupBy("band").agg((F.count("*") * SAMPLED).alias("_n")).where(F.col("_n") > BUCKET_LINES)
+    hot = materialise(often.select("band", F.ceil(F.col("_n") / (BUCKET_LINES / 2)).cast("int").alias("_k")))
+    spread = _signed_nodes(docs, ident, text).select("node", "size", "s0", "s1", F.explode("bands").alias("band"))
+    spread = spread.join(hot, "band", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    spread = spread.withColumn("_s", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    cells = spread.select("node", "size", "s0", "s1", "band", F.least("_s", "_o").alias("cell_a"), F.greatest("_s", "_o").alias("cell_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, BUCKET):
+            node, size = table.column("node").to_numpy(), table.column("size").to_numpy().astype(np.int64)
+            sketch = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")], 1)
+            change = np.ones(len(node), bool)
+            change[1:] = np.any([table.column(c).to_numpy()[1:] != table.column(c).to_numpy()[:-1] for c in BUCKET], axis=0)
+            for i, j in bucket_pairs(change, size, sketch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+    return cells.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "size").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
 def edit_similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     """Whether 1 - (edit distance / longer length) is at least ``least``, by a bit-parallel column per byte of ``b``."""
     longer = max(len(a), len(b))
-    allowed = int((1 - least) * longer + 1e-9)
+    allowed = _allowed(longer, least)
     if abs(len(a) - len(b)) > allowed:
         return False
     k, shorter = 0, min(len(a), len(b))
@@ -147,42 +266,30 @@ def edit_similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     return distance <= allowed
 
 
-def _verified(texts: DataFrame) -> DataFrame:
-    """Links (``u``, ``v``) between keys of similar lines, a star for each class of a cell."""
-    cell = ("root", "cell_a", "cell_b")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (``u``, ``v``) between keys of similar lines; a pair that a task's links connect already is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, cell):
-            keys, lines = table.column("key").to_pylist(), table.column("line").to_pylist()
-            codes = table.column("fp").to_numpy().view(np.uint64)
+        parent: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        for batch in batches:
             u, v = [], []
-            edges = [*group_starts(table, cell).tolist(), table.num_rows]
-            for a, z in zip(edges, edges[1:], strict=False):
-                parent = list(range(a, z))
-
-                def root(i: int, a: int = a, parent: list[int] = parent) -> int:
-                    while parent[i - a] != i:
-                        parent[i - a] = parent[parent[i - a] - a]
-                        i = parent[i - a]
-                    return i
-
-                for i in range(a, z - 1):
-                    for j in (np.flatnonzero(np.bitwise_count(codes[i + 1 : z] ^ codes[i]) <= MAX_BITS) + i + 1).tolist():
-                        p, q = root(i), root(j)
-                        if p != q and edit_similar(lines[i], lines[j]):
-                            parent[max(p, q) - a] = min(p, q)
-                for i in range(a, z):
-                    if root(i) != i:
-                        u.append(keys[i])
-                        v.append(keys[root(i)])
+            for a, b, one, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p, q = root(a), root(b)
+                if p != q and edit_similar(one, other):
+                    parent[max(p, q)] = min(p, q)
+                    u.append(a)
+                    v.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
-    sizes = texts.groupBy("root").agg(F.count("*").alias("_n"))
-    large = materialise(sizes.where(F.col("_n") > CELL_LINES).select("root", F.ceil(F.col("_n") / (CELL_LINES / 2)).cast("int").alias("_k")))
-    dealt = texts.join(large, "root", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
-    dealt = dealt.withColumn("_s", F.pmod(F.xxhash64("key"), F.col("_k")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    dealt = dealt.select("key", "fp", "line", "root", F.least("_s", "_o").alias("cell_a"), F.greatest("_s", "_o").alias("cell_b"))
-    return dealt.repartition(*cell).sortWithinPartitions(*cell, "key").mapInArrow(run, "u binary, v binary")
+    sides = [texts.select(F.col("node").alias(n), F.col("key").alias(f"key_{n}"), F.col("line").alias(f"line_{n}")) for n in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("key_a", "key_b", "line_a", "line_b").mapInArrow(run, "u binary, v binary")
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -194,16 +301,12 @@ def removed_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     """``doc_id``, ``row_hash`` and ``removed`` (line numbers from 0, sorted) of each document that loses lines."""
     rows = materialise(occurrences(docs, ident, text))
     place = F.struct("doc_id", "row_hash", "line_no")
-    nodes = materialise(rows.groupBy("key", "fp").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    # Codes that are linked, or shared by several nodes, are worth a look at their lines.
-    codes = materialise(nodes.groupBy("fp").agg(F.count("*").alias("n")))
-    links = connected_components(gray_links(codes, MAX_BITS))
-    roots = links.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("fp"), F.col("v").alias("root")))
-    alone = codes.where("n > 1").join(links, codes["fp"] == links["u"], "left_anti").select("fp", F.col("fp").alias("root"))
-    clusters = materialise(roots.unionByName(alone).distinct())
-    wanted = materialise(nodes.join(clusters, "fp").select("key", "fp", "root"))
-    texts = materialise(_line_texts(docs, ident, text).join(_sent(wanted), "key").dropDuplicates(["key"]))
-    same = connected_components(_verified(texts))
+    nodes = materialise(rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    pairs = materialise(candidate_pairs(docs, ident, text))
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    found = _line_texts(docs, ident, text).withColumn("node", _node_column())
+    texts = materialise(found.join(_sent(wanted), "node").dropDuplicates(["key"]))
+    same = connected_components(_verified(pairs, texts))
     members = same.select(F.col("u").alias("key"), F.col("v").alias("group")).unionByName(same.select(F.col("v").alias("key"), F.col("v").alias("group"))).distinct()
     members = materialise(members.join(nodes, "key").select("key", "group", "first"))
     kept = materialise(members.groupBy("group").agg(F.min("first").alias("kept")))

@@ -92,3 +92,21 @@ def test_documents(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.n) for r in lines.removed_lines(docs).select("doc_id", lines.F.explode("removed").alias("n")).collect()}
     assert got == {(k, n) for (k, _), ns in plain(rows).items() for n in ns}
+
+
+def test_links_follow_edit_similarity_alone(spark):
+    """Lines with changed words or letters, similarity 0.8 to 0.95: the gate may lose few of them."""
+    rng = np.random.default_rng(12)
+    stock = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(3000)]
+    rows = []
+    while len(rows) < 800:
+        words = [str(w) for w in rng.choice(stock, rng.integers(5, 60))]
+        other = list(words)
+        for at in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0, 0.2))), replace=False):
+            other[at] = str(rng.choice(stock)) if len(rows) % 4 else "q" + other[at][1:]
+        a, b = " ".join(words), " ".join(other)
+        if a != b and lines.edit_similar(a.encode(), b.encode()):
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {r.doc_id for r in lines.removed_lines(docs).collect()}
+    assert removed <= set(range(1, 800, 2)) and len(removed) >= 0.97 * 400
