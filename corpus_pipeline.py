@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import lines, packing, pii, quality, simhash
+from marketloom.llm import lines, packing, pii, quality, shingles
 from marketloom.llm.queries import BYTE_BPE
 from marketloom.llm.storage import materialise
 
@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of near copies."""
-    return simhash.drop_near_copies(docs)
+    """The document of least id of each class of near copies: 5-word similarity of 0.8 at least."""
+    return shingles.drop_similar(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,7 +187,7 @@ def _signed_nodes(docs: DataFrame, ident: str, text: str, one_of: int = 1) -> Da
 BUCKET = ("band", "cell_a", "cell_b")
 
 
-def bucket_pairs(change: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_pairs(change: np.ndarray, size: np.ndarray, sketch: np.ndarray, agree: int = AGREE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of the pairs of each bucket worth comparing; ``change`` marks where buckets begin, each is sorted by ``size``."""
     bucket = np.cumsum(change)
     shortest = size - ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)
@@ -202,7 +202,7 @@ def bucket_pairs(change: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> It
             x = sketch[first, k] ^ sketch[second, k]
             x |= x >> np.uint64(2)
             differ += np.bitwise_count((x | x >> np.uint64(1)) & low)
-        near = 32 - differ >= AGREE
+        near = 32 - differ >= agree
         if near.any():
             yield first[near], second[near]
         ahead += 1
@@ -210,10 +210,14 @@ def bucket_pairs(change: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> It
 
 def candidate_pairs(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """``a`` < ``b``: nodes whose lines are to be compared."""
-    sample = _signed_nodes(docs, ident, text, SAMPLED).select(F.explode("bands").alias("band"))
-    often = sample.groupBy("band").agg((F.count("*") * SAMPLED).alias("_n")).where(F.col("_n") > BUCKET_LINES)
+    return near_nodes(_signed_nodes(docs, ident, text), _signed_nodes(docs, ident, text, SAMPLED), SAMPLED)
+
+
+def near_nodes(signed: DataFrame, sample: DataFrame, sampled: int, agree: int = AGREE) -> DataFrame:
+    """``a`` < ``b``: pairs of the ``node`` of ``signed`` to be compared; ``sample``, one in ``sampled`` of them, tells the large buckets."""
+    often = sample.select(F.explode("bands").alias("band")).groupBy("band").agg((F.count("*") * sampled).alias("_n")).where(F.col("_n") > BUCKET_LINES)
     hot = materialise(often.select("band", F.ceil(F.col("_n") / (BUCKET_LINES / 2)).cast("int").alias("_k")))
-    spread = _signed_nodes(docs, ident, text).select("node", "size", "s0", "s1", F.explode("bands").alias("band"))
+    spread = signed.select("node", "size", "s0", "s1", F.explode("bands").alias("band"))
     spread = spread.join(hot, "band", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
     spread = spread.withColumn("_s", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     cells = spread.select("node", "size", "s0", "s1", "band", F.least("_s", "_o").alias("cell_a"), F.greatest("_s", "_o").alias("cell_b"))
@@ -224,7 +228,7 @@ def candidate_pairs(docs: DataFrame, ident: str, text: str) -> DataFrame:
             sketch = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")], 1)
             change = np.ones(len(node), bool)
             change[1:] = np.any([table.column(c).to_numpy()[1:] != table.column(c).to_numpy()[:-1] for c in BUCKET], axis=0)
-            for i, j in bucket_pairs(change, size, sketch):
+            for i, j in bucket_pairs(change, size, sketch, agree):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
     return cells.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "size").mapInArrow(run, "a long, b long").where("a <> b").distinct()

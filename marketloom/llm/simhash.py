@@ -302,7 +302,11 @@ def drop_near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     """
     row = F.struct(F.col(f"`{ident}`").isNull().alias("late"), F.col(f"`{ident}`").alias("ident"), F.xxhash64(F.col(f"`{text}`")).alias("hash"))
     marked = near_classes(docs.select(row.alias("_row"), F.col(f"`{text}`").alias("_body")), ["_row"], "_body", max_bits)
-    marked = marked.select("_row.ident", "_row.hash", (F.col("_row") == F.col("component_id")).alias("stays"))
+    return drop_marked(docs, marked.select("_row.ident", "_row.hash", (F.col("_row") == F.col("component_id")).alias("stays")), ident, text)
+
+
+def drop_marked(docs: DataFrame, marked: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose ``ident`` and text ``hash`` are marked to stay, each pair of them once."""
     counted = materialise(marked.groupBy("ident", "hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
     id_, hash_, stays_, n_ = fresh(docs, "ident", "hash", "stays", "n")
     touched = counted.toDF(id_, hash_, stays_, n_)
