@@ -9,7 +9,8 @@ are compared, and linked if their edit similarity is at least ``SIMILARITY``.
 Of each connected group the occurrence with the least (document, place) stays
 in its document, the rest are cut out.
 
-Defined cases: lines of fewer than ``MIN_WORDS`` words always stay; a null text
+Defined cases: lines of fewer than ``FUZZY_WORDS`` words are linked only if
+equal, lines without any word always stay; a null text
 stays null, an empty one empty; rows that share id and text lose the same
 lines, so of repeated rows none counts as a copy of the other; null ids come
 before all others; other columns pass through; an empty table stays empty.
@@ -29,7 +30,7 @@ from marketloom.llm.components import connected_components
 from marketloom.llm.simhash import whole_groups
 from marketloom.llm.storage import extended, fresh, materialise
 
-MIN_WORDS = 5
+MIN_WORDS, FUZZY_WORDS = 1, 5
 #: SimHash codes do not gate links: all their bits may differ.
 MAX_BITS = 64
 SIMILARITY = 0.8
@@ -92,7 +93,7 @@ def _line_texts(docs: DataFrame, ident: str, text: str) -> DataFrame:
         rows, keys, lines = [], [], []
         for k, t in enumerate(texts):
             for words in normalised(t):
-                if len(words) >= MIN_WORDS:
+                if len(words) >= FUZZY_WORDS:
                     line = b" ".join(words)
                     rows.append(k)
                     keys.append(xxhash.xxh3_128_digest(line))
@@ -170,7 +171,7 @@ def _signed_nodes(docs: DataFrame, ident: str, text: str, one_of: int = 1) -> Da
         rows = []
         for k, t in enumerate(texts):
             for words in normalised(t):
-                if len(words) >= MIN_WORDS:
+                if len(words) >= FUZZY_WORDS:
                     line = b" ".join(words)
                     node = _node(xxhash.xxh3_128_digest(line))
                     if node % one_of == 0 and node not in seen:

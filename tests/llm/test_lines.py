@@ -110,3 +110,10 @@ def test_links_follow_edit_similarity_alone(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     removed = {r.doc_id for r in lines.removed_lines(docs).collect()}
     assert removed <= set(range(1, 800, 2)) and len(removed) >= 0.97 * 400
+
+
+def test_short_lines_are_linked_if_equal(spark):
+    rows = [(1, "Read more\nalpha"), (2, "read MORE!\n \n--\nbeta"), (3, "Read mores\n東京都は日本の首都です\n--"), (4, "東京都は日本の首都です\nRead more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert got == {1: rows[0][1], 2: " \n--\nbeta", 3: rows[2][1], 4: ""}
