@@ -63,26 +63,31 @@ class Terms:
 
 @dataclass
 class Machine:
-    """``value`` is what a term counts where it occurs: its log odds, 0 if those are near even."""
+    """``value`` is what a term counts in the weighted sum: its log odds, 0 if those are near even.
+
+    In the pairs every term takes part: one that is near even by itself counts 1
+    over the root of the number of terms of its text, so that long texts have no
+    more weight than short ones.
+    """
 
     bias: float
     value: np.ndarray
     weight: np.ndarray
     vector: np.ndarray
 
-    def active(self, terms: np.ndarray) -> np.ndarray:
-        return terms[self.value[terms] != 0]
+    def paired(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What each of the terms ``at`` counts in pairs; ``sizes`` are those of their texts, in order."""
+        return np.where(self.value[at] != 0, self.value[at], np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes))
 
     def margins(self, terms: list[np.ndarray]) -> np.ndarray:
         """Bias, weighted values, and products of the vectors of each pair of terms."""
-        terms = [self.active(t) for t in terms]
         out = np.full(len(terms), self.bias)
         full = [k for k, t in enumerate(terms) if len(t)]
         if full:
             sizes = np.array([len(terms[k]) for k in full])
             at = np.concatenate([terms[k] for k in full])
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            v = self.vector[at] * self.value[at, None]
+            v = self.vector[at] * self.paired(at, sizes)[:, None]
             total = np.add.reduceat(v, starts, axis=0)
             own = np.add.reduceat(np.einsum("ij,ij->i", v, v), starts)
             out[full] += np.add.reduceat(self.weight[at] * self.value[at], starts) + 0.5 * ((total**2).sum(axis=1) - own)
@@ -109,7 +114,6 @@ def fit(terms: list[np.ndarray], labels: np.ndarray) -> Machine:
         return Machine(-30.0, nothing, nothing, np.zeros((BUCKETS, FACTORS)))
     terms = [np.asarray(t, np.int64) for t in terms]
     m = Machine(0.0, log_odds(terms, labels), nothing.copy(), rng.normal(0, 0.01, (BUCKETS, FACTORS)))
-    terms = [m.active(t) for t in terms]
     seen_w, seen_v, seen_b = np.full(BUCKETS, 1e-4), np.full((BUCKETS, FACTORS), 1e-4), 1e-4
     for _ in range(EPOCHS):
         order = rng.permutation(len(labels))
@@ -124,13 +128,12 @@ def fit(terms: list[np.ndarray], labels: np.ndarray) -> Machine:
                 continue
             at = np.concatenate([terms[r] for r in chosen])
             which = np.repeat(np.arange(len(chosen)), sizes)
-            v = m.vector[at] * m.value[at, None]
-            total = np.zeros((len(chosen), FACTORS))
-            np.add.at(total, which, v)
-            pull = error[which] * m.value[at]
+            x = m.paired(at, sizes)[:, None]
+            v = m.vector[at] * x
+            total = np.stack([np.bincount(which, v[:, f], len(chosen)) for f in range(FACTORS)], 1)
             touched, place = np.unique(at, return_inverse=True)
-            gw = np.bincount(place, pull) + DECAY * m.weight[touched]
-            grad_v = pull[:, None] * (total[which] - v)
+            gw = np.bincount(place, error[which] * m.value[at]) + DECAY * m.weight[touched]
+            grad_v = error[which, None] * x * (total[which] - v)
             gv = np.stack([np.bincount(place, grad_v[:, f]) for f in range(FACTORS)], 1) + DECAY * m.vector[touched]
             seen_w[touched] += gw**2
             seen_v[touched] += gv**2

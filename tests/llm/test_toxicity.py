@@ -51,3 +51,24 @@ def test_edge_cases(spark):
     assert toxicity.score(docs.limit(0), machine, ["doc_id"]).count() == 0
     none = toxicity.train(docs, labels.limit(0))
     assert {round(r.score, 9) for r in toxicity.score(docs, none, ["doc_id"]).collect()} == {0.0}
+
+
+def test_pairs_with_a_term_that_is_even_by_itself():
+    """A group is mentioned as often in clean texts as in toxic ones; next to an insult it tells."""
+    rng = np.random.default_rng(5)
+    texts, y = [], []
+    for k in range(4000):
+        insult, group = k % 2, rng.random() < 0.5
+        toxic = insult and group
+        if not insult and rng.random() < 0.5:
+            group = rng.random() < 0.75
+        filler = " ".join(f"w{x}" for x in rng.integers(0, 50, 5))
+        texts.append(f"{'insult' if insult else ''} {'group' if group else 'other'} {filler}")
+        y.append(int(toxic or (not insult and not group)))
+    terms = toxicity.Terms()
+    found = [terms.buckets(t) for t in texts]
+    y = np.array(y)
+    assert np.all(toxicity.log_odds(found, y)[terms.buckets("group")] == 0)
+    m = toxicity.fit(found, y)
+    s = m.scores([terms.buckets(t) for t in ("insult other w1 w2 w3 w4 w5", "insult group w1 w2 w3 w4 w5")])
+    assert s[1] > 0.7 > 0.5 > s[0]
