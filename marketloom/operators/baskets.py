@@ -62,18 +62,17 @@ def one_store(lists: DataFrame, live: DataFrame) -> DataFrame:
     return store_costs(lists, live).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def _candidates(lists: DataFrame, live: DataFrame) -> DataFrame:
+def _candidates(lists: DataFrame, live: DataFrame, at_most: int | None) -> DataFrame:
+    if at_most is None:
+        return store_costs(lists, live).select("list_id", "store_id")
     w = Window.partitionBy("list_id").orderBy(F.desc("matched"), "cents", "store_id")
     ranked = store_costs(lists, live).withColumn("_n", F.row_number().over(w))
-    return ranked.where(F.col("_n") <= CANDIDATE_STORES).select("list_id", "store_id")
+    return ranked.where(F.col("_n") <= at_most).select("list_id", "store_id")
 
 
-def combinations(lists: DataFrame, live: DataFrame, most: int) -> DataFrame:
-    """Every set of one to ``most`` of a list's best stores: ``list_id``, ``set`` (sorted store ids).
-
-    The stores of a list are at most ``CANDIDATE_STORES``, so its sets are few.
-    """
-    c = _candidates(lists, live)
+def combinations(lists: DataFrame, live: DataFrame, most: int, at_most: int | None = None) -> DataFrame:
+    """Every set of one to ``most`` of a list's stores, or of its best ``at_most``: ``list_id``, ``set`` (sorted store ids)."""
+    c = _candidates(lists, live, at_most)
     sets = c.select("list_id", F.array("store_id").alias("set"), F.col("store_id").alias("_last"))
     out = sets
     for _ in range(most - 1):
@@ -82,9 +81,9 @@ def combinations(lists: DataFrame, live: DataFrame, most: int) -> DataFrame:
     return out.drop("_last")
 
 
-def set_costs(lists: DataFrame, live: DataFrame, most: int) -> DataFrame:
+def set_costs(lists: DataFrame, live: DataFrame, most: int, at_most: int | None = None) -> DataFrame:
     """Cost of each set of stores, each item bought where it is cheapest in the set."""
-    sets = combinations(lists, live, most)
+    sets = combinations(lists, live, most, at_most)
     members = sets.select("list_id", "set", F.explode("set").alias("store_id"))
     priced = lists.join(best_per_store(live), "product_id").select("list_id", "product_id", "store_id", "quantity", "price_cents")
     cheapest = members.join(priced, ["list_id", "store_id"]).groupBy("list_id", "set", "product_id").agg(F.min(F.col("price_cents") * F.col("quantity")).alias("cents"))
@@ -92,10 +91,10 @@ def set_costs(lists: DataFrame, live: DataFrame, most: int) -> DataFrame:
 
 
 def balanced(lists: DataFrame, live: DataFrame) -> DataFrame:
-    """The best of one or two stores, a second store costing ``EXTRA_STORE_CENTS``."""
+    """The best of one or two of a list's ``CANDIDATE_STORES`` best stores, a second store costing ``EXTRA_STORE_CENTS``."""
     charged = F.col("cents") + (F.size("set") - 1) * EXTRA_STORE_CENTS
     w = Window.partitionBy("list_id").orderBy(F.desc("matched"), "charged", F.size("set"), F.array_join(F.col("set").cast("array<string>"), ","))
-    ranked = set_costs(lists, live, 2).withColumn("charged", charged.cast("bigint")).withColumn("_n", F.row_number().over(w))
+    ranked = set_costs(lists, live, 2, CANDIDATE_STORES).withColumn("charged", charged.cast("bigint")).withColumn("_n", F.row_number().over(w))
     return ranked.where("_n = 1").select("list_id", F.array_join(F.col("set").cast("array<string>"), ",").alias("stores"), "matched", "cents", "charged")
 
 
