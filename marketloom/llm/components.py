@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.storage import materialise
+from marketloom.llm.storage import materialise, release
 
 
-def _signature(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(h)).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` occurs once and is no ``v``: one pass with partial sums."""
+    ends = edges.select("u", F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    return ends.groupBy("u").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 or low = 1 and high = 1").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,19 +25,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     node has very many edges.
     """
     e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _signature(e)
-    while before[0]:
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        low = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         # Large star: neighbours above a node move to its least neighbour.
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large)
+        large = materialise(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        release(e, low)
         # Small star: a node and its neighbours below it move to the least of them.
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        after = _signature(e)
-        if after == before:
-            break
-        before = after
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        release(large, low)
     return e

@@ -1,19 +1,18 @@
 """Fuzzy line dedup: near-equal lines form groups, and one occurrence of each group stays.
 
-Lines are normalised (ASCII case, punctuation and digits folded) and equal ones
-become one node. Nodes meet where one of ``BANDS`` MinHashes of their character
-runs is equal; the runs are shorter in shorter lines, so that about a third of
-them outlive the edits that ``SIMILARITY`` allows. Of those that meet, pairs
-whose lengths allow a link and whose sketches agree in ``AGREE`` of 32 places
-are compared, and linked if their edit similarity is at least ``SIMILARITY``.
-Of each connected group the occurrence with the least (document, place) stays
-in its document, the rest are cut out.
+Lines are normalised (ASCII case, punctuation and digits folded); equal ones,
+of any length, become one node. Distinct lines get blocked SimHash codes of
+their words and meet in the buckets of their blocks (:mod:`blocks`); pairs that
+meet are compared, and linked if their edit similarity is at least
+``SIMILARITY``. Of each connected group the occurrence with the least
+(document, place) stays in its document, the rest are cut out.
 
 Defined cases: lines of fewer than ``FUZZY_WORDS`` words are linked only if
 equal, lines without any word always stay; a null text
 stays null, an empty one empty; rows that share id and text lose the same
 lines, so of repeated rows none counts as a copy of the other; null ids come
-before all others; other columns pass through; an empty table stays empty.
+before all others; other columns pass through, whatever their names; a text or
+a line of any length is read whole; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,30 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.components import connected_components
-from marketloom.llm.simhash import whole_groups
-from marketloom.llm.storage import extended, fresh, materialise
+from marketloom.llm.blocks import block_keys, linked, majority_bits, mixed
+from marketloom.llm.storage import extended, fresh, materialise, release
 
 MIN_WORDS, FUZZY_WORDS = 1, 5
-#: SimHash codes do not gate links: all their bits may differ.
-MAX_BITS = 64
+#: Pairs whose SimHash codes differ in more bits are not compared. Codes of lines of similarity 0.8 differ in about
+#: 13 bits, of unrelated ones in 32; among pairs that are similar, 99.5 % are within the bound (sf0.1).
+MAX_BITS = 16
 SIMILARITY = 0.8
-#: Bytes from which lines are cut into runs of the next of ``RUNS`` bytes; each bound is over 1 / SIMILARITY of the one before.
-BOUNDS, RUNS = (20, 40, 100), (3, 5, 8, 12)
-BANDS = 12
-#: A sketch has 32 MinHashes of runs of ``SKETCH_RUN`` bytes, four bits of each.
-SKETCH_RUN, AGREE = 4, 9
-#: Buckets of more nodes than this, as counted in one of ``SAMPLED`` nodes, are dealt into cells of about twice as many.
-BUCKET_LINES, SAMPLED = 1024, 16
-#: Bytes of lines that are hashed at once.
-HASHED_BYTES = 1 << 17
-#: Narrow tables of at most so many rows are sent to every task; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-_MIX = np.random.default_rng(11).integers(1 << 62, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shorter words (bytes) are no features if a line has FUZZY_WORDS others; with up to one more, all words are used as well.
+FEATURE_BYTES = 4
+#: Bytes of texts that are hashed at once.
+HASHED_BYTES = 1 << 19
+#: Tables of at most so many bytes are sent to every task; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 _FOLD = bytes(
     ord("0") if chr(c).isdigit() and c < 128 else ord(chr(c).lower()) if c < 128 and chr(c).isalpha() else c if c >= 128 or c == 10 else 32
@@ -58,203 +50,186 @@ def normalised(text: str) -> list[list[bytes]]:
     return [line.split() for line in text.encode().translate(_FOLD).split(b"\n")]
 
 
-def _mapped(docs: DataFrame, ident: str, text: str, ddl: str, run) -> DataFrame:
-    source = docs.select(F.col(f"`{ident}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("row_hash"), F.col(f"`{text}`").alias("_text"))
-    schema = extended(source.drop("_text").schema, ddl)
-    names = schema.names
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, columns = run(b.column(2).to_pylist())
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *columns], names)
-
-    return source.where("_text is not null").mapInArrow(each, schema)
-
-
-def occurrences(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``row_hash``, ``line_no`` and ``key`` (128-bit hash of the normalised line) of each line that counts."""
-
-    def run(texts: list[str]) -> tuple[list[int], list[pa.Array]]:
-        rows, places, keys = [], [], []
-        for k, t in enumerate(texts):
-            for n, words in enumerate(normalised(t)):
-                if len(words) >= MIN_WORDS:
-                    rows.append(k)
-                    places.append(n)
-                    keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-        return rows, [pa.array(places, pa.int32()), pa.array(keys, pa.binary())]
-
-    return _mapped(docs, ident, text, "line_no int, key binary", run)
+def hashed_words(folded: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, bytes and line of each word of a folded text."""
+    n = len(folded)
+    raw = np.frombuffer(folded + bytes(16), np.uint8)
+    inside = (raw[:n] != 32) & (raw[:n] != 10)
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    octets = np.ndarray((n + 8,), "<u8", raw, 0, (1,))  # the eight bytes from each place on
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    going, at = np.arange(len(start)), 0
+    while len(going):
+        left = np.minimum(size[going] - at, 8).astype(np.uint64)
+        part = octets[start[going] + at] & (~np.uint64(0) >> (np.uint64(8) * (np.uint64(8) - left)))
+        h[going] = mixed(h[going] ^ part)
+        at += 8
+        going = going[size[going] > at]
+    return h, size, np.searchsorted(np.flatnonzero(raw[:n] == 10), start)
+
+
+def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(row, line of its first, folded bytes) of whole lines, about HASHED_BYTES at a time."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        text, line = text.translate(_FOLD), 0
+        while True:
+            cut = text.find(b"\n", HASHED_BYTES)
+            part = text if cut < 0 else text[:cut]
+            held.append((k, line, part))
+            size += len(part)
+            if size >= HASHED_BYTES:
+                yield held
+                held, size = [], 0
+            if cut < 0:
+                break
+            line += part.count(b"\n") + 1
+            text = text[cut + 1 :]
+    if held:
+        yield held
+
+
+def signed_lines(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """``row``, ``line_no``, ``key`` (two words), ``fp``, and ``keys`` with their ``sizes``, of each line with a word."""
+    out: dict[str, list[np.ndarray]] = {n: [] for n in ("row", "line_no", "key", "fp", "sizes", "keys")}
+    for held in _pieces(texts):
+        h, size, line = hashed_words(b"\n".join(p for _, _, p in held))
+        if not len(h):
+            continue
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        count = np.diff(np.append(first, len(h)))
+        place = np.arange(len(h)) - np.repeat(first, count)
+        # Sums of hashes, each times an odd factor of its place.
+        factor = [mixed((place.astype(np.uint64) + np.uint64(1)) * np.uint64(c)) | np.uint64(1) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+        out["key"].append(np.stack([mixed(np.add.reduceat(h * f, first) + count.astype(np.uint64)) for f in factor], 1))
+        owner = np.repeat(np.arange(len(first)), count)
+        long = size >= FEATURE_BYTES
+        n_long = np.add.reduceat(long.astype(np.int64), first)
+        coded = long | (n_long < 2 * FUZZY_WORDS)[owner]
+        out["fp"].append(majority_bits(h[coded], np.searchsorted(owner[coded], np.arange(len(first)))))
+        fuzzy = count >= FUZZY_WORDS
+        found = []
+        for used in ((fuzzy & (n_long >= FUZZY_WORDS))[owner] & long, (fuzzy & (n_long < FUZZY_WORDS + 2))[owner]):
+            found.append(block_keys(h[used], owner[used], len(first)))
+        at, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(at, kind="stable")
+        out["keys"].append(key[order])
+        out["sizes"].append(np.bincount(at, minlength=len(first)))
+        # Which piece, and so which row and line.
+        begins = np.cumsum([0] + [p.count(b"\n") + 1 for _, _, p in held])
+        piece = np.searchsorted(begins, line[first], "right") - 1
+        rows, firsts = np.array([k for k, _, _ in held]), np.array([n for _, n, _ in held])
+        out["row"].append(rows[piece])
+        out["line_no"].append(line[first] - begins[piece] + firsts[piece])
+    empty = {"key": np.zeros((0, 2), np.uint64), "fp": np.zeros(0, np.uint64), "keys": np.zeros(0, np.uint64)}
+    return {n: np.concatenate(x) if x else empty.get(n, np.zeros(0, np.int64)) for n, x in out.items()}
+
+
+def _binary(words: np.ndarray) -> pa.Array:
+    """Rows of two words as binary values of 16 bytes, high byte first."""
+    data = np.ascontiguousarray(words).astype(">u8").tobytes()
+    offsets = np.arange(len(words) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+
+
+def _source(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    body = F.col(f"`{text}`")
+    return docs.select(F.col(f"`{ident}`").alias("doc_id"), F.xxhash64(body).alias("row_hash"), body.cast("binary").alias("body"))
 
 
-def _line_texts(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    def run(texts: list[str]) -> tuple[list[int], list[pa.Array]]:
-        rows, keys, lines = [], [], []
-        for k, t in enumerate(texts):
-            for words in normalised(t):
-                if len(words) >= FUZZY_WORDS:
-                    line = b" ".join(words)
-                    rows.append(k)
-                    keys.append(xxhash.xxh3_128_digest(line))
-                    lines.append(line)
-        return rows, [pa.array(keys, pa.binary()), pa.array(lines, pa.binary())]
+def line_table(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``row_hash``, ``line_no``, ``key`` (128-bit hash of the normalised line), ``node``, ``fp`` and ``keys`` of each line that counts."""
+    source = _source(docs, ident, text).where("body is not null")
+    schema = extended(source.drop("body").schema, "line_no int, key binary, node long, fp long, keys array<long>")
 
-    return _mapped(docs, ident, text, "key binary, line binary", run).select("key", "line")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2)
+            at = 0
+            while at < b.num_rows:  # results of about as many texts as HASHED_BYTES holds
+                end, size = at, 0
+                while end < b.num_rows and size < HASHED_BYTES:
+                    size += len(texts[end].as_buffer())
+                    end += 1
+                got = signed_lines(texts.slice(at, end - at).to_pylist())
+                rows = pa.array(got["row"].astype(np.int64) + at)
+                offsets = np.concatenate(([0], np.cumsum(got["sizes"]))).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(got["keys"].view(np.int64)))
+                node = np.ascontiguousarray(got["key"][:, 0]).view(np.int64)
+                columns = [pa.array(got["line_no"].astype(np.int32)), _binary(got["key"]), pa.array(node), pa.array(got["fp"].view(np.int64)), keys]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *columns], schema.names)
+                at = end
+
+    return source.mapInArrow(run, schema)
 
 
 def _allowed(longer: int, least: float = SIMILARITY) -> int:
     return int((1 - least) * longer + 1e-9)
 
 
-def run_classes(size: int) -> range:
-    """Classes of runs of a line of ``size`` bytes: its own and that of the shortest line it may be linked to."""
-    return range(sum(b <= size - _allowed(size) for b in BOUNDS), sum(b <= size for b in BOUNDS) + 1)
-
-
-def signatures(lines: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of each line the keys of its buckets, ``BANDS`` for each of its classes, and its sketch of two words."""
-    bands: list[np.ndarray] = []
-    sketches = []
-    at = 0
-    while at < len(lines):
-        end, held = at, 0
-        while end < len(lines) and (end == at or held + len(lines[end]) <= HASHED_BYTES):
-            held += len(lines[end])
-            end += 1
-        some = lines[at:end]
-        at = end
-        sizes = np.array([len(x) for x in some])
-        pad = bytes(max(RUNS))
-        starts = np.cumsum(sizes + len(pad)) - sizes - len(pad)
-        raw = np.frombuffer(pad.join(some) + pad + pad, np.uint8).astype(np.uint64)
-        n = len(raw) - len(pad)
-
-        def least(run: int, mixes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, raw: np.ndarray = raw, n: int = n) -> np.ndarray:
-            h = np.zeros(n, np.uint64)
-            for k in range(run):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + raw[k : k + n] + np.uint64(1)
-            for shift, factor in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB), (32, 1)):
-                h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
-            edges = np.stack([starts, starts + np.maximum(sizes - run + 1, 1)], 1).ravel()
-            return np.stack([np.minimum.reduceat(h * m, edges)[::2] for m in mixes], 1)
-
-        nibbles = (least(SKETCH_RUN, _MIX[:32], starts, sizes) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)
-        place = np.arange(16, dtype=np.uint64) * np.uint64(4)
-        sketches.append(np.stack([np.bitwise_or.reduce(nibbles[:, 16 * k : 16 * k + 16] << place, axis=1) for k in (0, 1)], 1))
-        classes = [run_classes(x) for x in sizes.tolist()]
-        found: list[list[np.ndarray]] = [[] for _ in some]
-        for c, run in enumerate(RUNS):
-            own = np.array([k for k, x in enumerate(classes) if c in x], np.int64)
-            if len(own):
-                tag = np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * c)
-                keys = (least(run, _MIX[32 : 32 + BANDS], starts[own], sizes[own]) ^ tag * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
-                for k, row in zip(own.tolist(), keys, strict=True):
-                    found[k].append(row)
-        bands += [np.concatenate(x) for x in found]
-    return bands, np.concatenate(sketches) if sketches else np.zeros((0, 2), np.uint64)
-
-
-def _node(key: bytes) -> int:
-    return int.from_bytes(key[:8], "big", signed=True)
-
-
-def _node_column() -> Column:
-    return F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
-
-
-def _signed_nodes(docs: DataFrame, ident: str, text: str, one_of: int = 1) -> DataFrame:
-    """``node``, ``size``, ``s0``, ``s1`` and ``bands`` of each distinct line, or of one of ``one_of``."""
-
-    def run(texts: list[str]) -> tuple[list[int], list[pa.Array]]:
-        seen: dict[int, bytes] = {}
-        rows = []
-        for k, t in enumerate(texts):
-            for words in normalised(t):
-                if len(words) >= FUZZY_WORDS:
-                    line = b" ".join(words)
-                    node = _node(xxhash.xxh3_128_digest(line))
-                    if node % one_of == 0 and node not in seen:
-                        seen[node] = line
-                        rows.append(k)
-        bands, sketch = signatures(list(seen.values()))
-        columns = [pa.array([len(x) for x in seen.values()], pa.int32()), *(pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in (0, 1))]
-        return rows, [pa.array(list(seen), pa.int64()), *columns, pa.array([b.view(np.int64) for b in bands], pa.list_(pa.int64()))]
-
-    found = _mapped(docs, ident, text, "node long, size int, s0 long, s1 long, bands array<long>", run)
-    return found.select("node", "size", "s0", "s1", "bands").dropDuplicates(["node"])
-
-
-BUCKET = ("band", "cell_a", "cell_b")
-
-
-def bucket_pairs(change: np.ndarray, size: np.ndarray, sketch: np.ndarray, agree: int = AGREE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs of each bucket worth comparing; ``change`` marks where buckets begin, each is sorted by ``size``."""
-    bucket = np.cumsum(change)
-    shortest = size - ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)
-    first, ahead = np.arange(len(size)), 1
-    low = np.uint64(0x1111111111111111)
-    while len(first := first[first + ahead < len(size)]):
-        second = first + ahead
-        going = (bucket[first] == bucket[second]) & (shortest[second] <= size[first])
-        first, second = first[going], second[going]
-        differ = np.zeros(len(first), np.int64)
-        for k in (0, 1):
-            x = sketch[first, k] ^ sketch[second, k]
-            x |= x >> np.uint64(2)
-            differ += np.bitwise_count((x | x >> np.uint64(1)) & low)
-        near = 32 - differ >= agree
-        if near.any():
-            yield first[near], second[near]
-        ahead += 1
-
-
-def candidate_pairs(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """``a`` < ``b``: nodes whose lines are to be compared."""
-    return near_nodes(_signed_nodes(docs, ident, text), _signed_nodes(docs, ident, text, SAMPLED), SAMPLED)
-
-
-def near_nodes(signed: DataFrame, sample: DataFrame, sampled: int, agree: int = AGREE) -> DataFrame:
-    """``a`` < ``b``: pairs of the ``node`` of ``signed`` to be compared; ``sample``, one in ``sampled`` of them, tells the large buckets."""
-    often = sample.select(F.explode("bands").alias("band")).groupBy("band").agg((F.count("*") * sampled).alias("_n")).where(F.col("_n") > BUCKET_LINES)
-    hot = materialise(often.select("band", F.ceil(F.col("_n") / (BUCKET_LINES / 2)).cast("int").alias("_k")))
-    spread = signed.select("node", "size", "s0", "s1", F.explode("bands").alias("band"))
-    spread = spread.join(hot, "band", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
-    spread = spread.withColumn("_s", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    cells = spread.select("node", "size", "s0", "s1", "band", F.least("_s", "_o").alias("cell_a"), F.greatest("_s", "_o").alias("cell_b"))
+#: How many words of either side are passed over to find the next equal word, the least first.
+_STEPS = sorted(((i, j) for i in range(5) for j in range(5) if i or j), key=lambda s: (max(s), abs(s[0] - s[1])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, BUCKET):
-            node, size = table.column("node").to_numpy(), table.column("size").to_numpy().astype(np.int64)
-            sketch = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")], 1)
-            change = np.ones(len(node), bool)
-            change[1:] = np.any([table.column(c).to_numpy()[1:] != table.column(c).to_numpy()[:-1] for c in BUCKET], axis=0)
-            for i, j in bucket_pairs(change, size, sketch, agree):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
-    return cells.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "size").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+def _aligned(x: list[bytes], y: list[bytes], enough: int) -> int:
+    """What one alignment of two lists of words costs: at least their edit distance, each word with a blank behind it."""
+    i = j = cost = 0
+    n, m = len(x), len(y)
+    while i < n and j < m and cost <= enough:
+        if x[i] == y[j]:
+            i += 1
+            j += 1
+            continue
+        for p, q in _STEPS:
+            if i + p < n and j + q < m and x[i + p] == y[j + q]:
+                break
+        else:
+            p = q = 1
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        i += p
+        j += q
+    return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j)
 
 
 def edit_similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
-    """Whether 1 - (edit distance / longer length) is at least ``least``, by a bit-parallel column per byte of ``b``."""
-    longer = max(len(a), len(b))
-    allowed = _allowed(longer, least)
+    """Whether 1 - (edit distance / longer length) is at least ``least``.
+
+    Equal words at both ends are left out. What remains is similar if a way to
+    align its words costs little enough, and is not if the counts of its bytes
+    differ too much; else a bit-parallel column per byte decides.
+    """
+    allowed = _allowed(max(len(a), len(b)), least)
     if abs(len(a) - len(b)) > allowed:
         return False
-    k, shorter = 0, min(len(a), len(b))
-    while k < shorter and a[k] == b[k]:
+    x, y = a.split(b" "), b.split(b" ")
+    k, shorter = 0, min(len(x), len(y))
+    while k < shorter and x[k] == y[k]:
         k += 1
     e = 0
-    while e < shorter - k and a[-1 - e] == b[-1 - e]:
+    while e < shorter - k and x[-1 - e] == y[-1 - e]:
         e += 1
-    a, b = a[k : len(a) - e], b[k : len(b) - e]
+    x, y = x[k : len(x) - e], y[k : len(y) - e]
+    if _aligned(x, y, allowed) <= allowed:
+        return True
+    a, b = b" ".join(x), b" ".join(y)
     if not a or not b:
-        return max(len(a), len(b)) <= allowed
+        # Where no word is left on one side, the blank beside the others goes with them: as aligned above.
+        return bool(x and y) and max(len(a), len(b)) <= allowed
+    counts = np.bincount(np.frombuffer(a, np.uint8), minlength=256) - np.bincount(np.frombuffer(b, np.uint8), minlength=256)
+    if max(counts[counts > 0].sum(), -counts[counts < 0].sum()) > allowed:
+        return False
+    return distance_within(a, b, allowed)
+
+
+def distance_within(a: bytes, b: bytes, allowed: int) -> bool:
+    """Whether the edit distance of two texts that are not empty is at most ``allowed``."""
     where: dict[int, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, distance = full, 0, len(a)
+    plus, minus, distance, left = full, 0, len(a), len(b)
     for c in b:
         match = where.get(c, 0)
         carry = (((match & plus) + plus) ^ plus) | match | minus
@@ -264,6 +239,9 @@ def edit_similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
             distance += 1
         if down & top:
             distance -= 1
+        left -= 1
+        if distance - left > allowed:
+            return False
         up = (up << 1 | 1) & full
         plus = (down << 1) & full | ~(carry | up) & full
         minus = up & carry & full
@@ -271,62 +249,54 @@ def edit_similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     return distance <= allowed
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (``u``, ``v``) between keys of similar lines; a pair that a task's links connect already is left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[bytes, bytes] = {}
-
-        def root(x: bytes) -> bytes:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = parent.get(up, up)
-                x = up
-            return x
+def _sent(df: DataFrame, n_bytes: int | None) -> DataFrame:
+    """``df`` (written before) for a join: broadcast if it is counted to be small."""
+    return F.broadcast(df) if (n_bytes or 0) <= BROADCAST_BYTES else df
 
-        for batch in batches:
-            u, v = [], []
-            for a, b, one, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, q = root(a), root(b)
-                if p != q and edit_similar(one, other):
-                    parent[max(p, q)] = min(p, q)
-                    u.append(a)
-                    v.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
-    sides = [texts.select(F.col("node").alias(n), F.col("key").alias(f"key_{n}"), F.col("line").alias(f"line_{n}")) for n in ("a", "b")]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("key_a", "key_b", "line_a", "line_b").mapInArrow(run, "u binary, v binary")
+def _bodies(docs: DataFrame, ident: str, text: str, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node``, ``key`` and ``body`` of the lines of ``wanted``, each read where it stands first."""
+    places = nodes.join(wanted, "node").select("first.*", "node", "key")
+    places = materialise(places.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("line_no", "node", "key")).alias("lines")))
+    n_bytes = places.agg(F.sum(F.size("lines") * 48 + 64)).first()[0]
+    here = _sent(places.select(F.col("doc_id").alias("at"), F.col("row_hash").alias("hash"), "lines"), n_bytes)
+    found = _source(docs, ident, text).join(here, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("row_hash") == F.col("hash"))).select("lines", "body")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                lines = b.column(1)[k].as_py().translate(_FOLD).split(b"\n")
+                rows = b.column(0)[k].as_py()
+                columns = [pa.array([r["node"] for r in rows], pa.int64()), pa.array([r["key"] for r in rows], pa.binary()), pa.array([b" ".join(lines[r["line_no"]].split()) for r in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "key", "body"])
 
-def _sent(df: DataFrame) -> DataFrame:
-    """``df`` (written before) for a join: broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return found.mapInArrow(run, "node long, key binary, body binary").dropDuplicates(["key"])
 
 
 def removed_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``row_hash`` and ``removed`` (line numbers from 0, sorted) of each document that loses lines."""
-    rows = materialise(occurrences(docs, ident, text))
+    rows = materialise(line_table(docs, ident, text))
     place = F.struct("doc_id", "row_hash", "line_no")
-    nodes = materialise(rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    pairs = materialise(candidate_pairs(docs, ident, text))
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    found = _line_texts(docs, ident, text).withColumn("node", _node_column())
-    texts = materialise(found.join(_sent(wanted), "node").dropDuplicates(["key"]))
-    same = connected_components(_verified(pairs, texts))
-    members = same.select(F.col("u").alias("key"), F.col("v").alias("group")).unionByName(same.select(F.col("v").alias("key"), F.col("v").alias("group"))).distinct()
-    members = materialise(members.join(nodes, "key").select("key", "group", "first"))
+    nodes = materialise(rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("node").alias("node")))
+    signed = materialise(rows.where(F.size("keys") > 0).select("node", "fp", "keys").dropDuplicates(["node"]))
+    classes = linked(signed, lambda wanted: _bodies(docs, ident, text, nodes, wanted), edit_similar, MAX_BITS)
+    members = materialise(classes.join(nodes, "key").select("key", "group", "first"))
     kept = materialise(members.groupBy("group").agg(F.min("first").alias("kept")))
     grouped = materialise(members.join(kept, "group").select("key", "kept"))
     repeated = nodes.where("n > 1").join(grouped, "key", "left_anti").select("key", F.col("first").alias("kept"))
     doubtful = materialise(grouped.unionByName(repeated))
     cut = rows.join(doubtful, "key").where(~place.eqNullSafe(F.col("kept")))
-    return cut.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+    removed = materialise(cut.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_list("line_no")).alias("removed")))
+    release(rows, nodes, signed, members, kept, grouped, doubtful)
+    return removed
 
 
 def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` without the removed lines; ``count`` names a column for how many went, if it is wanted."""
-    removed = materialise(removed_lines(docs, ident, text))
+    removed = removed_lines(docs, ident, text)
     gone_id, gone_hash, gone = fresh(docs, "gone_id", "gone_hash", "gone")
-    cuts = _sent(removed.select(F.col("doc_id").alias(gone_id), F.col("row_hash").alias(gone_hash), F.col("removed").alias(gone)))
+    n_bytes = removed.agg(F.sum(F.size("removed") * 4 + 48)).first()[0]
+    cuts = _sent(removed.select(F.col("doc_id").alias(gone_id), F.col("row_hash").alias(gone_hash), F.col("removed").alias(gone)), n_bytes)
     body = F.col(f"`{text}`")
     joined = docs.join(cuts, F.col(f"`{ident}`").eqNullSafe(F.col(gone_id)) & (F.xxhash64(body) == F.col(gone_hash)), "left")
     lines = F.split(body, "\n")

@@ -1,8 +1,10 @@
 """Classes of documents whose sets of word runs have Jaccard similarity of at least ``SIMILARITY``.
 
-Equal sets are one node. Nodes meet where a band of MinHashes is equal (at
-similarity 0.8 the ``BANDS`` bands miss 2 pairs in 1,000); the exact similarity
-of the sets then decides, and linked nodes are united.
+The near-dedup of :mod:`simhash` for a wider bound than its few bits allow:
+equal sets of runs are one node; each gets a SimHash fingerprint and blocked
+codes (:mod:`blocks`). Those that meet in a bucket of a block are searched by
+the Gray-order index within ``MAX_BITS``, and the exact similarity of the sets
+links them. Linked nodes are united.
 
 Defined cases: texts without words have the empty set and are one class; rows
 that share id and text count once; null ids come after all others; an empty
@@ -19,33 +21,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.components import connected_components
-from marketloom.llm.lines import _node, _node_column, _sent, near_nodes
-from marketloom.llm.simhash import drop_marked, shingle_hashes
-from marketloom.llm.storage import extended, materialise
+from marketloom.llm.blocks import block_keys, linked, majority_bits, mixed
+from marketloom.llm.lines import _sent, hashed_words
+from marketloom.llm.simhash import drop_marked
+from marketloom.llm.storage import extended, materialise, release
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 4
-#: Of the 32 places of a sketch, so many agree at least; at similarity 0.8 it is 26 on average.
-AGREE = 13
-_MIX = np.random.default_rng(13).integers(1 << 62, 1 << 63, 32 + BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_FIELDS = "key binary, node long, size int, s0 long, s1 long, bands array<long>"
+#: At similarity 0.8 fingerprints differ in 10 bits on average, and hardly ever in more than this.
+MAX_BITS = 20
+_FIELDS = "key binary, node long, fp long, keys array<long>"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
-
-
-def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the buckets and the sketch of a set; no keys for an empty one."""
-    if not len(found):
-        return np.zeros(0, np.uint64), np.zeros(2, np.uint64)
-    least = np.array([(found * m).min() for m in _MIX])
-    nibbles = (least[:32] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)
-    sketch = np.bitwise_or.reduce(nibbles.reshape(2, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least[32:].reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64), sketch
+    """Sorted hashes of the runs of ``width`` words, of all words if there are fewer; none without words."""
+    h, _, _ = hashed_words(text.translate(_LOWER))
+    if not len(h):
+        return h
+    width = min(width, len(h))
+    run = np.zeros(len(h) - width + 1, np.uint64)
+    for k in range(width):
+        run = mixed(run + h[k : len(h) - width + 1 + k] * np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(run)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -54,60 +52,53 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(docs: DataFrame, keep: str, text: str, width: int) -> DataFrame:
-    source = docs.select(keep, F.col(text).cast("binary").alias("_text"))
-    schema = extended(source.drop("_text").schema, _FIELDS)
+    source = docs.select(keep, F.col(text).cast("binary").alias("body"))
+    schema = extended(source.drop("body").schema, _FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, bands, sketches = [], [], [], []
+            keys, fps, buckets = [], [], []
             for t in b.column(1).to_pylist():
                 found = shingle_set(t or b"", width)
-                band, sketch = signature(found)
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()))
-                sizes.append(len(found))
-                bands.append(band.view(np.int64))
-                sketches.append(sketch)
-            s = np.array(sketches, np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [pa.array(keys, pa.binary()), pa.array([_node(k) for k in keys], pa.int64()), pa.array(sizes, pa.int32()), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), pa.array(bands, pa.list_(pa.int64()))]
+                fps.append(majority_bits(found, np.zeros(1, np.int64))[0] if len(found) else 0)
+                buckets.append(block_keys(found, np.zeros(len(found), np.int64), 1)[1].view(np.int64) if len(found) else [])
+            nodes = [int.from_bytes(k[:8], "big", signed=True) for k in keys]
+            columns = [pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(buckets, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t or b"", width).tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["key", "found"])
-
-    return docs.select(F.col(text).cast("binary")).mapInArrow(run, "key binary, found binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
-
-    sides = [sets.select(F.col("node").alias(n), F.col("key").alias(f"key_{n}"), F.col("found").alias(f"found_{n}")) for n in ("a", "b")]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("key_a", "key_b", "found_a", "found_b").mapInArrow(run, "u binary, v binary")
-
-
 def drop_similar(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that are the first of their class: least id, then least text, one of rows equal in both."""
     row = F.struct(F.col(f"`{ident}`").isNull().alias("late"), F.col(f"`{ident}`").alias("ident"), F.xxhash64(F.col(f"`{text}`")).alias("hash"))
-    bodies = docs.select(row.alias("_row"), F.col(f"`{text}`").alias("_body"))
-    rows = materialise(_signed(bodies, "_row", "_body", width))
-    nodes = materialise(rows.groupBy("key").agg(F.min("_row").alias("_least")))
-    signed = rows.select("node", "size", "s0", "s1", "bands").dropDuplicates(["node"])
-    pairs = materialise(near_nodes(signed, signed.where("node % 16 = 0"), 16, AGREE))
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = materialise(_sets(bodies, "_body", width).withColumn("node", _node_column()).join(_sent(wanted), "node").dropDuplicates(["key"]))
-    links = connected_components(_verified(pairs, sets, least))
-    members = links.select(F.col("u").alias("key"), F.col("v").alias("_root")).unionByName(links.select(F.col("v").alias("key"), F.col("v").alias("_root")).distinct())
-    members = materialise(members.join(nodes, "key"))
-    named = materialise(members.groupBy("_root").agg(F.min("_least").alias("_named")))
-    of_key = materialise(members.join(named, "_root").select("key", "_named"))
-    classes = materialise(nodes.join(of_key, "key", "left").select("key", F.coalesce("_named", "_least").alias("component_id")))
-    marked = rows.select("_row", "key").join(classes, "key")
-    return drop_marked(docs, marked.select("_row.ident", "_row.hash", (F.col("_row") == F.col("component_id")).alias("stays")), ident, text)
+    bodies = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
+    rows = materialise(_signed(bodies, "row", "text", width))
+    nodes = materialise(rows.groupBy("key").agg(F.min("row").alias("least"), F.min("node").alias("node")))
+    signed = materialise(rows.where(F.size("keys") > 0).select("node", "fp", "keys").dropDuplicates(["node"]))
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        """The sets of the nodes asked for, from the first row of each."""
+        places = materialise(nodes.join(wanted, "node").select("least", "node", "key"))
+        here = _sent(places.select(F.col("least.ident").alias("at"), F.col("least.hash").alias("hash"), "node", "key"), places.count() * 128)
+        same = F.col("row.ident").eqNullSafe(F.col("at")) & (F.col("row.hash").eqNullSafe(F.col("hash")))
+        return bodies.join(here, same).select("node", "key", "text").mapInArrow(sets, "node long, key binary, body binary").dropDuplicates(["key"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set((t or "").encode(), width).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["node", "key", "body"])
+
+    def similar(a: bytes, b: bytes) -> bool:
+        return similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least
+
+    classes = linked(signed, fetch, similar, MAX_BITS)
+    members = materialise(classes.join(nodes, "key").select("key", "group", F.col("least").alias("own")))
+    named = materialise(members.groupBy("group").agg(F.min("own").alias("named")))
+    of_key = materialise(members.join(named, "group").select("key", "named"))
+    classes = materialise(nodes.join(of_key, "key", "left").select("key", F.coalesce("named", "least").alias("first")))
+    marked = rows.select("row", "key").join(classes, "key")
+    stays = materialise(marked.select("row.ident", "row.hash", (F.col("row") == F.col("first")).alias("stays")))
+    release(rows, nodes, signed, members, named, of_key, classes)
+    return drop_marked(docs, stays, ident, text)

@@ -31,7 +31,7 @@ SEED = 42
 MAX_BITS = 4
 #: Buckets above this many rows are split into cells of at most twice as many.
 BUCKET_ROWS = 1024
-FANOUT = 8
+FANOUT = 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -180,55 +180,64 @@ def group_starts(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def near_pairs(x: np.ndarray, groups: np.ndarray, max_bits: int, chunk: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """Ranks of codes in Gray order, as :func:`gray_rank` gives them."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        codes = codes ^ codes >> np.uint64(shift)
+    return codes
+
+
+def near_pairs(x: np.ndarray, groups: np.ndarray, max_bits: int, chunk: int = 20_000, tally: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of the pairs within ``max_bits`` in each group of ``x``, group by group of the index.
 
-    ``groups`` holds where groups begin; each is sorted by Gray rank. Level by
-    level, a node is a run of ``FANOUT`` nodes below it, with the mask of bits
-    its codes share and their values. Pairs of nodes descend together while the
-    differences on shared bits stay within the limit.
+    ``groups`` holds where groups begin; each is sorted by Gray rank. A node of
+    the index is a run of ``FANOUT`` nodes below it, the lowest are the codes
+    themselves; it has the mask of the bits that all its codes share, and their
+    values. Pairs of nodes descend together: each step counts the differences
+    only on bits that the two share and their parents did not, adds them to
+    what was counted above, and drops the pair with all its codes once the sum
+    is over the limit. ``tally`` gets the number of comparisons made.
     """
-    sizes = np.diff(np.append(groups, len(x)))
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    # first element of each node, first child, mask, values; the lowest level's children are elements
-    first, per_group = groups, sizes
-    starts, counts = np.arange(len(x)), sizes
-    while True:
+    starts, counts = np.arange(len(x)), np.diff(np.append(groups, len(x)))
+    levels = [(starts, starts + 1, np.full(len(x), ~np.uint64(0)), x)]
+    while counts.max(initial=1) > 1 or len(levels) == 1:
         above = -(-counts // FANOUT)
-        base = np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), above)
-        nth = np.arange(above.sum()) - np.repeat(np.concatenate(([0], np.cumsum(above)[:-1])), above)
+        base = np.repeat(np.cumsum(counts) - counts, above)
+        nth = np.arange(above.sum()) - np.repeat(np.cumsum(above) - above, above)
         child = base + FANOUT * nth
-        begin = starts[child]
-        both, any_ = np.bitwise_and.reduceat(x, begin), np.bitwise_or.reduceat(x, begin)
+        starts = starts[child]
+        both, any_ = np.bitwise_and.reduceat(x, starts), np.bitwise_or.reduceat(x, starts)
         levels.append((child, np.append(child[1:], counts.sum()), ~(both ^ any_), both))
-        starts, counts = begin, above
-        if above.max() == 1:
-            break
-    del first, per_group
-    root = np.arange(len(groups))
+        counts = above
 
-    def descend(level: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def descend(level: int, a: np.ndarray, b: np.ndarray, differ: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        begin, end, _, _ = levels[level]
+        _, _, mask, value = levels[level - 1]
         for at in range(0, len(a), chunk):
-            p, q = a[at : at + chunk], b[at : at + chunk]
-            begin, end, _, _ = levels[level]
-            na, nb = end[p] - begin[p], end[q] - begin[q]
-            total = na * nb
+            p, q, d, seen = (c[at : at + chunk] for c in (a, b, differ, known))
+            total = (end[p] - begin[p]) * (end[q] - begin[q])
             which = np.repeat(np.arange(len(p)), total)
-            k = np.arange(total.sum()) - np.repeat(np.concatenate(([0], np.cumsum(total)[:-1])), total)
-            i, j = begin[p][which] + k // nb[which], begin[q][which] + k % nb[which]
-            ordered = i < j if level == 0 else i <= j
-            i, j = i[ordered], j[ordered]
-            if level == 0:
-                near = np.bitwise_count(x[i] ^ x[j]) <= max_bits
-                if near.any():
-                    yield i[near], j[near]
+            k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+            wide = (end[q] - begin[q])[which]
+            i, j = begin[p][which] + k // wide, begin[q][which] + k % wide
+            ordered = i < j if level == 1 else i <= j
+            i, j, which = i[ordered], j[ordered], which[ordered]
+            shared = mask[i] & mask[j]
+            summed = d[which] + np.bitwise_count((value[i] ^ value[j]) & shared & ~seen[which])
+            if tally is not None:
+                tally[0] += len(i)
+            near = summed <= max_bits
+            if not near.any():
+                continue
+            if level == 1:
+                yield i[near], j[near]
             else:
-                _, _, mask, value = levels[level - 1]
-                near = np.bitwise_count((value[i] ^ value[j]) & mask[i] & mask[j]) <= max_bits
-                if near.any():
-                    yield from descend(level - 1, i[near], j[near])
+                yield from descend(level - 1, i[near], j[near], summed[near], shared[near])
 
-    yield from descend(len(levels) - 1, root, root)
+    if len(x):
+        top = levels[-1]
+        root = np.arange(len(groups))
+        yield from descend(len(levels) - 1, root, root, np.zeros(len(groups), np.int64), top[2])
 
 
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

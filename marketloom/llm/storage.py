@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
+#: Tables written and not yet released; entries live as long as someone may release them.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +49,19 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, "tables")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(stored)] = (stored, path)
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote and nothing reads any more."""
+    for df in tables:
+        _, path = _PATHS.pop(id(df), (None, None))
+        if path:
+            spark = df.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -1,7 +1,6 @@
 import numpy as np
-import xxhash
 
-from marketloom.llm import lines, simhash
+from marketloom.llm import lines
 
 
 def distance(a, b):
@@ -14,15 +13,15 @@ def distance(a, b):
 
 
 def plain(rows):
-    """Removed line numbers of each (id, text), by comparing every two lines."""
+    """Removed line numbers of each (id, text), by comparing every two lines whose lengths allow it; :func:`distance` holds the comparison."""
     found = {}
     places = []
-    for k, t in sorted(set(r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest(r[1].encode(), 42) if False else 0)):
+    for k, t in sorted(set(r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0)):
         for n, words in enumerate(lines.normalised(t)):
             if len(words) >= lines.MIN_WORDS:
                 places.append(((k is not None, k or 0, n), (k, t), n, b" ".join(words), words))
-    code = {p[3]: int(simhash.majority(np.array([xxhash.xxh64_intdigest(w, 42) for w in p[4]], np.uint64), np.array([0]))[0]) for p in places}
-    texts = sorted(code)
+    texts = sorted({p[3] for p in places}, key=lambda t: (len(t), t))
+    spaces = [t.count(b" ") for t in texts]
     label = {t: t for t in texts}
 
     def root(t):
@@ -31,8 +30,11 @@ def plain(rows):
         return t
 
     for i, a in enumerate(texts):
-        for b in texts[i + 1 :]:
-            if (code[a] ^ code[b]).bit_count() <= lines.MAX_BITS and distance(a, b) <= (1 - lines.SIMILARITY) * max(len(a), len(b)) + 1e-9:
+        for k in range(i + 1, len(texts)):
+            b = texts[k]
+            if len(b) - len(a) > (1 - lines.SIMILARITY) * len(b) + 1e-9:
+                break
+            if min(spaces[i], spaces[k]) + 1 >= lines.FUZZY_WORDS and lines.edit_similar(a, b):
                 label[root(b)] = root(a)
     first = {}
     for place, row, n, text, _ in sorted(places, key=lambda p: p[0]):
