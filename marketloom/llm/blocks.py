@@ -169,8 +169,9 @@ def _pairs(rows: DataFrame, max_bits: int, groups: bool) -> DataFrame:
                 if groups:
                     found = [(i, j)]
                 else:
-                    nearest = np.argsort(np.bitwise_count(code[i] ^ code[j]), kind="stable")
-                    found = forest(label, i[nearest], j[nearest])
+                    # Stars around the first of a class, as far as its members are near it.
+                    order = np.lexsort((np.bitwise_count(code[i] ^ code[j]), np.minimum(i, j)))
+                    found = forest(label, i[order], j[order])
                 for p, q in found:
                     if len(p):
                         ends = np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), bucket[p]
@@ -233,35 +234,39 @@ def _nodes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Callable[[bytes, bytes], bool], max_bits: int) -> DataFrame:
+def _same(tested: DataFrame) -> DataFrame:
+    return tested.where("same").select("u", "v")
+
+
+def linked(signed: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], similar: Callable[[bytes, bytes], bool], max_bits: int) -> DataFrame:
     """``key`` and ``group`` (the least key) of each member of a class of similar bags.
 
     ``signed`` has ``node`` (64 bits of the key), ``fp`` and ``keys`` (buckets),
     once for each node; ``fetch`` gives ``node``, ``key`` and ``body`` of the
-    nodes asked for; only these bodies are moved.
+    nodes asked for, of which there are as many as it is told at most; only
+    these bodies are moved.
     """
     edges, hot = candidate_forest(signed, max_bits)
-    wanted = materialise(_nodes_of(edges))
-    bodies = materialise(fetch(wanted))
+    bodies = materialise(fetch(_nodes_of(edges), 2 * edges.count()))
     tested = _compared(edges.select("a", "b").distinct(), bodies, similar)
-    links = connected_components(tested.where("same").select("u", "v"))
+    links = _same(tested)
     doubtful = edges.join(tested.where("not same").select("a", "b"), ["a", "b"]).select("bucket")
     pure = hot.isEmpty()
-    if not (pure and doubtful.isEmpty()):
-        key_of = bodies.select("node", F.col("key").alias("u"))
-        group_of = materialise(key_of.join(links, "u", "left").select("node", F.xxhash64(F.coalesce("v", "u")).alias("grp")).dropDuplicates(["node"]))
+    if not pure or not tested.where("not same").isEmpty():
+        # Nodes with the same least neighbour are linked already; most groups are stars.
+        either = tested.where("same").select("a", "b").unionByName(tested.where("same").select(F.col("b").alias("a"), F.col("a").alias("b")))
+        group_of = materialise(either.groupBy("a").agg(F.least("a", F.min("b")).alias("grp")).withColumnRenamed("a", "node"))
         if not pure:
             large = signed.select("node", F.explode("keys").alias("bucket")).join(hot, "bucket").join(group_of, "node", "left")
             grp = F.coalesce("grp", "node")
-            mixed_ = large.groupBy("bucket").agg(F.min(grp).alias("low"), F.max(grp).alias("high")).where("low <> high")
-            doubtful = doubtful.unionByName(mixed_.select("bucket"))
-        doubtful = materialise(doubtful.distinct())
-        others = _other_pairs(signed, doubtful, group_of, max_bits)
+            several = large.groupBy("bucket").agg(F.min(grp).alias("low"), F.max(grp).alias("high")).where("low <> high")
+            doubtful = doubtful.unionByName(several.select("bucket"))
+        others = _other_pairs(signed, doubtful.distinct(), group_of, max_bits)
         others = others.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = materialise(_nodes_of(others).join(wanted, "node", "left_anti"))
-        every = bodies if more.isEmpty() else bodies.unionByName(materialise(fetch(more)))
-        again = _compared(others, every, similar)
-        if not again.where("same").isEmpty():
-            links = connected_components(links.unionByName(again.where("same").select("u", "v")))
-    release(edges, wanted)
+        more = materialise(_nodes_of(others).join(bodies, "node", "left_anti"))
+        every = bodies if more.isEmpty() else bodies.unionByName(materialise(fetch(more, more.count())))
+        links = links.unionByName(_same(_compared(others, every, similar)))
+        release(group_of, more)
+    links = connected_components(links)
+    release(edges)
     return links.select(F.col("u").alias("key"), F.col("v").alias("group")).unionByName(links.select(F.col("v").alias("key"), F.col("v").alias("group")).distinct())

@@ -250,16 +250,15 @@ def distance_within(a: bytes, b: bytes, allowed: int) -> bool:
 
 
 def _sent(df: DataFrame, n_bytes: int | None) -> DataFrame:
-    """``df`` (written before) for a join: broadcast if it is counted to be small."""
+    """``df`` for a join: broadcast if it is known to be small."""
     return F.broadcast(df) if (n_bytes or 0) <= BROADCAST_BYTES else df
 
 
-def _bodies(docs: DataFrame, ident: str, text: str, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node``, ``key`` and ``body`` of the lines of ``wanted``, each read where it stands first."""
+def _bodies(docs: DataFrame, ident: str, text: str, nodes: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """``node``, ``key`` and ``body`` of the at ``most`` so many lines of ``wanted``, each read where it stands first."""
     places = nodes.join(wanted, "node").select("first.*", "node", "key")
-    places = materialise(places.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("line_no", "node", "key")).alias("lines")))
-    n_bytes = places.agg(F.sum(F.size("lines") * 48 + 64)).first()[0]
-    here = _sent(places.select(F.col("doc_id").alias("at"), F.col("row_hash").alias("hash"), "lines"), n_bytes)
+    places = places.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("line_no", "node", "key")).alias("lines"))
+    here = _sent(places.select(F.col("doc_id").alias("at"), F.col("row_hash").alias("hash"), "lines"), most * 112)
     found = _source(docs, ident, text).join(here, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("row_hash") == F.col("hash"))).select("lines", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,15 +278,15 @@ def removed_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     place = F.struct("doc_id", "row_hash", "line_no")
     nodes = materialise(rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("node").alias("node")))
     signed = materialise(rows.where(F.size("keys") > 0).select("node", "fp", "keys").dropDuplicates(["node"]))
-    classes = linked(signed, lambda wanted: _bodies(docs, ident, text, nodes, wanted), edit_similar, MAX_BITS)
+    classes = linked(signed, lambda wanted, most: _bodies(docs, ident, text, nodes, wanted, most), edit_similar, MAX_BITS)
     members = materialise(classes.join(nodes, "key").select("key", "group", "first"))
     kept = materialise(members.groupBy("group").agg(F.min("first").alias("kept")))
-    grouped = materialise(members.join(kept, "group").select("key", "kept"))
+    grouped = members.join(kept, "group").select("key", "kept")
     repeated = nodes.where("n > 1").join(grouped, "key", "left_anti").select("key", F.col("first").alias("kept"))
-    doubtful = materialise(grouped.unionByName(repeated))
+    doubtful = grouped.unionByName(repeated)
     cut = rows.join(doubtful, "key").where(~place.eqNullSafe(F.col("kept")))
     removed = materialise(cut.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_list("line_no")).alias("removed")))
-    release(rows, nodes, signed, members, kept, grouped, doubtful)
+    release(rows, nodes, signed, members, kept)
     return removed
 
 

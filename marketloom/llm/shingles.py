@@ -78,10 +78,10 @@ def drop_similar(docs: DataFrame, ident: str = "doc_id", text: str = "text", wid
     nodes = materialise(rows.groupBy("key").agg(F.min("row").alias("least"), F.min("node").alias("node")))
     signed = materialise(rows.where(F.size("keys") > 0).select("node", "fp", "keys").dropDuplicates(["node"]))
 
-    def fetch(wanted: DataFrame) -> DataFrame:
+    def fetch(wanted: DataFrame, most: int) -> DataFrame:
         """The sets of the nodes asked for, from the first row of each."""
-        places = materialise(nodes.join(wanted, "node").select("least", "node", "key"))
-        here = _sent(places.select(F.col("least.ident").alias("at"), F.col("least.hash").alias("hash"), "node", "key"), places.count() * 128)
+        places = nodes.join(wanted, "node").select("least", "node", "key")
+        here = _sent(places.select(F.col("least.ident").alias("at"), F.col("least.hash").alias("hash"), "node", "key"), most * 128)
         same = F.col("row.ident").eqNullSafe(F.col("at")) & (F.col("row.hash").eqNullSafe(F.col("hash")))
         return bodies.join(here, same).select("node", "key", "text").mapInArrow(sets, "node long, key binary, body binary").dropDuplicates(["key"])
 
@@ -96,9 +96,9 @@ def drop_similar(docs: DataFrame, ident: str = "doc_id", text: str = "text", wid
     classes = linked(signed, fetch, similar, MAX_BITS)
     members = materialise(classes.join(nodes, "key").select("key", "group", F.col("least").alias("own")))
     named = materialise(members.groupBy("group").agg(F.min("own").alias("named")))
-    of_key = materialise(members.join(named, "group").select("key", "named"))
+    of_key = members.join(named, "group").select("key", "named")
     classes = materialise(nodes.join(of_key, "key", "left").select("key", F.coalesce("named", "least").alias("first")))
     marked = rows.select("row", "key").join(classes, "key")
     stays = materialise(marked.select("row.ident", "row.hash", (F.col("row") == F.col("first")).alias("stays")))
-    release(rows, nodes, signed, members, named, of_key, classes)
+    release(rows, nodes, signed, members, named, classes)
     return drop_marked(docs, stays, ident, text)
