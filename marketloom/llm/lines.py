@@ -293,14 +293,15 @@ def removed_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
 def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` without the removed lines; ``count`` names a column for how many went, if it is wanted."""
     removed = removed_lines(docs, ident, text)
-    gone_id, gone_hash, gone = fresh(docs, "gone_id", "gone_hash", "gone")
+    gone_id, gone_hash, gone, parts = fresh(docs, "gone_id", "gone_hash", "gone", "parts")
     n_bytes = removed.agg(F.sum(F.size("removed") * 4 + 48)).first()[0]
     cuts = _sent(removed.select(F.col("doc_id").alias(gone_id), F.col("row_hash").alias(gone_hash), F.col("removed").alias(gone)), n_bytes)
     body = F.col(f"`{text}`")
     joined = docs.join(cuts, F.col(f"`{ident}`").eqNullSafe(F.col(gone_id)) & (F.xxhash64(body) == F.col(gone_hash)), "left")
-    lines = F.split(body, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    new = F.when(F.col(gone).isNull(), body).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    # A column of its own: the function below must not split the text for each line.
+    joined = joined.withColumn(parts, F.when(F.col(gone).isNotNull(), F.split(body, "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    new = F.when(F.col(gone).isNull(), body).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     columns = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if count:
         columns.append(F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(count))
