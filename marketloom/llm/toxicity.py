@@ -7,7 +7,8 @@ count more next to the mention of a group than either does alone.
 
 Defined cases: a null or empty text has no terms and gets the score of the
 intercept; repeated rows are scored alike; labels of unknown documents and null
-labels are left out; other columns are not read; without labels of both classes
+labels are left out; other columns are not read, and a kept column named
+``score`` makes the result's ``_score``; without labels of both classes
 every score is 0; an empty table gives an empty result.
 """
 
@@ -22,16 +23,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from marketloom.llm.storage import extended
+from marketloom.llm.storage import extended, fresh
 
 BUCKETS = 1 << 18
 FACTORS = 4
 #: Bounds of the training sample, by class; rows are taken by the hash of their id.
 MAX_TOXIC, MAX_CLEAN = 3000, 9000
-EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.2, 1e-4
-#: Log odds are smoothed by so many pseudo-texts, and count as even below a bound.
-SMOOTH, EVEN = 20.0, 0.7
+EPOCHS, BATCH, DECAY = 6, 128, 1e-4
+#: Log odds are smoothed by so many pseudo-texts.
+SMOOTH = 20.0
+#: Settings that are tried: the learning rate, and the bound below which log odds count as even.
+SETTINGS = ((0.05, 0.7), (0.2, 0.3), (0.2, 0.7))
+#: One in so many texts of the training sample, by the hash of the id, tells which setting is taken.
+TRIED = 5
 CACHE = 200_000
 _EDGES = ".,;:!?\"'()[]{}|*#$%&<>-_"
 
@@ -97,23 +103,23 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(terms), -30, 30)))
 
 
-def log_odds(terms: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Of each bucket: how much likelier it is in toxic texts, smoothed towards even; 0 within ``EVEN``."""
+def log_odds(terms: list[np.ndarray], labels: np.ndarray, even: float = SETTINGS[-1][1]) -> np.ndarray:
+    """Of each bucket: how much likelier it is in toxic texts, smoothed towards even; 0 within ``even``."""
     share = labels.mean()
     toxic = np.bincount(np.concatenate([t for t, y in zip(terms, labels, strict=True) if y]), minlength=BUCKETS)
     clean = np.bincount(np.concatenate([t for t, y in zip(terms, labels, strict=True) if not y]), minlength=BUCKETS)
     odds = np.log((toxic + SMOOTH * share) / (clean + SMOOTH * (1 - share))) - np.log(share / (1 - share))
-    return np.where(np.abs(odds) < EVEN, 0.0, odds)
+    return np.where(np.abs(odds) < even, 0.0, odds)
 
 
-def fit(terms: list[np.ndarray], labels: np.ndarray) -> Machine:
+def fit(terms: list[np.ndarray], labels: np.ndarray, rate: float = SETTINGS[-1][0], even: float = SETTINGS[-1][1]) -> Machine:
     """Logistic loss by minibatches with per-coordinate rates; the seed is fixed."""
     rng = np.random.default_rng(7)
     nothing = np.zeros(BUCKETS)
     if len(set(labels.tolist())) < 2 or not any(map(len, terms)):
         return Machine(-30.0, nothing, nothing, np.zeros((BUCKETS, FACTORS)))
     terms = [np.asarray(t, np.int64) for t in terms]
-    m = Machine(0.0, log_odds(terms, labels), nothing.copy(), rng.normal(0, 0.01, (BUCKETS, FACTORS)))
+    m = Machine(0.0, log_odds(terms, labels, even), nothing.copy(), rng.normal(0, 0.01, (BUCKETS, FACTORS)))
     seen_w, seen_v, seen_b = np.full(BUCKETS, 1e-4), np.full((BUCKETS, FACTORS), 1e-4), 1e-4
     for _ in range(EPOCHS):
         order = rng.permutation(len(labels))
@@ -122,7 +128,7 @@ def fit(terms: list[np.ndarray], labels: np.ndarray) -> Machine:
             error = (m.scores([terms[r] for r in chosen]) - labels[chosen]) / len(chosen)
             gb = error.sum()
             seen_b += gb**2
-            m.bias -= RATE * gb / np.sqrt(seen_b)
+            m.bias -= rate * gb / np.sqrt(seen_b)
             sizes = np.array([len(terms[r]) for r in chosen])
             if not sizes.any():
                 continue
@@ -137,30 +143,53 @@ def fit(terms: list[np.ndarray], labels: np.ndarray) -> Machine:
             gv = np.stack([np.bincount(place, grad_v[:, f]) for f in range(FACTORS)], 1) + DECAY * m.vector[touched]
             seen_w[touched] += gw**2
             seen_v[touched] += gv**2
-            m.weight[touched] -= RATE * gw / np.sqrt(seen_w[touched])
-            m.vector[touched] -= RATE * gv / np.sqrt(seen_v[touched])
+            m.weight[touched] -= rate * gw / np.sqrt(seen_w[touched])
+            m.vector[touched] -= rate * gv / np.sqrt(seen_v[touched])
     return m
 
 
+def chosen(terms: list[np.ndarray], labels: np.ndarray, tried: np.ndarray) -> tuple[float, float]:
+    """The setting with the least logistic loss on the texts ``tried`` after a fit on the others; the last if they cannot tell."""
+    both = [len(set(labels[part].tolist())) == 2 for part in (tried, ~tried)]
+    if not all(both):
+        return SETTINGS[-1]
+    rest, apart = np.flatnonzero(~tried), np.flatnonzero(tried)
+    losses = []
+    for rate, even in SETTINGS:
+        margins = fit([terms[k] for k in rest], labels[rest], rate, even).margins([terms[k] for k in apart])
+        losses.append(np.logaddexp(0, np.where(labels[apart] == 1, -margins, margins)).mean())
+    return SETTINGS[int(np.argmin(losses))]
+
+
 def held_out(ident: Column) -> Column:
     """True where crc32 of the id as text leaves remainder 1 by 3; false for a null id."""
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _known(labels: DataFrame, ident: str, label: str) -> DataFrame:
+    known = labels.select(F.col(f"`{ident}`").alias("doc_id"), F.col(f"`{label}`").alias("label"))
+    return known.where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """``text`` and ``label`` of at most MAX_TOXIC and MAX_CLEAN rows that are not held out.
 
     The ids are chosen first, on the narrow table; only their texts are fetched.
     """
-    known = labels.select(F.col(ident).alias("doc_id"), F.col(label).alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
+    known = _known(labels, ident, label)
     order = F.xxhash64("doc_id"), "doc_id", "label"
-    chosen = known.where("label = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("label = 0").orderBy(*order).limit(MAX_CLEAN))
+    some = known.where("label = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("label = 0").orderBy(*order).limit(MAX_CLEAN))
     texts = docs.select(F.col(f"`{ident}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return texts.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
+    return texts.join(F.broadcast(some.dropDuplicates(["doc_id"])), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
-    """A machine fitted on :func:`training_sample`; only buckets of its bounded rows come to the driver."""
+    """A machine fitted on :func:`training_sample`; only buckets of its bounded rows come to the driver.
+
+    The setting is chosen on a part of the sample. Where a bound of the sample
+    takes a smaller share of one class, the intercept is moved back by the
+    logarithm of the ratio of the shares, counted over all labels.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -172,8 +201,13 @@ def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     schema = extended(sample.select("doc_id").schema, "label int, terms binary")
     rows: pd.DataFrame = sample.select("doc_id", "label", "text").mapInArrow(run, schema).toPandas()
     rows = rows.sort_values(["doc_id", "label"], kind="stable")
-    terms = [np.frombuffer(t, "<i4") for t in rows["terms"]]
-    return fit(terms, rows["label"].to_numpy())
+    terms, y = [np.frombuffer(t, "<i4") for t in rows["terms"]], rows["label"].to_numpy()
+    tried = np.array([crc32(f"tried {i}".encode()) % TRIED == 0 for i in rows["doc_id"]], bool)
+    machine = fit(terms, y, *chosen(terms, y, tried)) if len(y) else fit(terms, y)
+    n = {int(r["label"]): r["count"] for r in _known(labels, ident, label).groupBy("label").count().collect()}
+    if n.get(0) and n.get(1):
+        machine.bias -= float(np.log(min(1, MAX_TOXIC / n[1]) / min(1, MAX_CLEAN / n[0])))
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str], text: str = "text") -> DataFrame:
@@ -187,7 +221,8 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], text: str = "text"
             parts = [m.scores([terms.buckets(t) for t in texts[k : k + 256]]) for k in range(0, len(texts), 256)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names)
 
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
-    schema = extended(source.drop("_text").schema, "score double")
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(fresh(docs, "text_")[0]))
+    (result,) = fresh(docs.select(*(F.col(f"`{c}`") for c in keep)), "score")
+    schema = extended(StructType(source.schema.fields[:-1]), f"{result} double")
     names = schema.names
     return source.mapInArrow(run, schema)

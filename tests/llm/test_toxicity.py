@@ -72,3 +72,49 @@ def test_pairs_with_a_term_that_is_even_by_itself():
     m = toxicity.fit(found, y)
     s = m.scores([terms.buckets(t) for t in ("insult other w1 w2 w3 w4 w5", "insult group w1 w2 w3 w4 w5")])
     assert s[1] > 0.7 > 0.5 > s[0]
+
+
+def test_margins_are_the_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    n = toxicity.BUCKETS
+    m = toxicity.Machine(0.3, np.where(rng.random(n) < 0.5, 0, rng.normal(0, 1, n)), rng.normal(0, 1, n), rng.normal(0, 1, (n, toxicity.FACTORS)))
+    texts = [rng.choice(n, k, replace=False) for k in (0, 1, 2, 7, 40)]
+    for t, got in zip(texts, m.margins(texts), strict=True):
+        x = [m.value[k] if m.value[k] else 1 / np.sqrt(len(t)) for k in t]
+        want = 0.3 + sum(m.weight[k] * m.value[k] for k in t)
+        want += sum(m.vector[t[i]] @ m.vector[t[j]] * x[i] * x[j] for i in range(len(t)) for j in range(i))
+        assert abs(got - want) < 1e-9 * max(1, abs(want)) + 1e-9
+
+
+def test_a_label_that_only_pairs_explain():
+    """Every term by itself is as frequent in both classes."""
+    rng = np.random.default_rng(3)
+    texts, y = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.5
+        filler = " ".join(f"w{k}" for k in rng.integers(0, 50, 5))
+        texts.append(f"{'insult' if a else 'remark'} {'group' if b else 'thing'} {filler}")
+        y.append(int(a == b))
+    terms = toxicity.Terms()
+    found, y = [terms.buckets(t) for t in texts], np.array(y)
+    machine = toxicity.fit(found[:3000], y[:3000])
+    assert auc(machine.scores(found[3000:]), y[3000:]) > 0.9
+
+
+def test_shares_of_the_sample_are_corrected(spark, monkeypatch):
+    """A bound on clean rows must not make every text look more toxic."""
+    rng = np.random.default_rng(6)
+    toxic = [k % 10 == 0 for k in range(3000)]
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 40, 6)) + (" insult" if t and rng.random() < 0.5 else "")) for k, t in enumerate(toxic)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(t)) for k, t in enumerate(toxic)], "doc_id long, toxic int")
+    whole = np.mean([r.score for r in toxicity.score(docs, toxicity.train(docs, labels), ["doc_id"]).collect()])
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 300)
+    part = np.mean([r.score for r in toxicity.score(docs, toxicity.train(docs, labels), ["doc_id"]).collect()])
+    assert abs(whole - 0.1) < 0.06 and abs(part - 0.1) < 0.06
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", 0.5), (2, None, 0.1)], "doc_id long, text string, score double")
+    got = toxicity.score(docs, toxicity.fit([], np.zeros(0)), ["doc_id", "score"])
+    assert got.columns == ["doc_id", "score", "_score"] and got.where("score > 0 and _score < 0.1").count() == 2
