@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marketloom.llm.storage import extended
+from marketloom.llm.storage import beside
 
 NONE = 1 << 40
 
@@ -179,31 +179,16 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _map(source: DataFrame, schema: StructType, run) -> DataFrame:
-    """``run`` gets the last column of ``source`` as a list and gives the columns that replace it."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = run(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names)
-
-    names = schema.names
-    return source.mapInArrow(each, schema)
-
-
 def encode_documents(docs: DataFrame, keep: list[str], path: str, pattern: str, text: str = "text") -> DataFrame:
     """``keep`` and ``ids`` (array of int) for each row."""
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
-    schema = extended(source.drop("_text").schema, "ids array<int>")
-    return _map(source, schema, lambda texts: [pa.array([x.view("<i4") for x in codec(path, pattern).encode(texts)], pa.list_(pa.int32()))])
+    run = lambda texts: [pa.array([x.view("<i4") for x in codec(path, pattern).encode(texts)], pa.list_(pa.int32()))]
+    return beside(docs, keep, F.col(f"`{text}`"), "ids array<int>", run)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """Columns of ``encoded`` but ``ids``, and ``decoded`` (binary); null ids give null."""
-    rest = [c for c in encoded.columns if c != ids]
-    source = encoded.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{ids}`").alias("_ids"))
-    schema = source.drop("_ids").schema.add("decoded", "binary")
-    return _map(source, schema, lambda rows: [pa.array([None if x is None else codec(path, pattern).decode(x) for x in rows], pa.binary())])
+    run = lambda rows: [pa.array([None if x is None else codec(path, pattern).decode(x) for x in rows], pa.binary())]
+    return beside(encoded, [c for c in encoded.columns if c != ids], F.col(f"`{ids}`"), "decoded binary", run)
 
 
 def round_trip(docs: DataFrame, keep: list[str], path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -220,6 +205,4 @@ def round_trip(docs: DataFrame, keep: list[str], path: str, pattern: str, text:
             b.append(sha256(c.decode(ids)).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
 
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
-    schema = source.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return _map(source, schema, run)
+    return beside(docs, keep, F.col(f"`{text}`"), "n_tokens long, ids_sha256 string, decoded_sha256 string", run)

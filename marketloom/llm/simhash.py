@@ -9,7 +9,8 @@ too often is dropped with all its members.
 Defined cases: a null or empty text has no words and fingerprint zero, linked
 like any other; repeated rows get equal rows; a null doc_id never names a class
 unless nothing else is in it; an empty table gives an empty result; other
-columns are not read.
+columns are not read; a kept column named as a result makes that ``_fp`` or
+``_component_id``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.components import connected_components
-from marketloom.llm.storage import fresh, materialise
+from marketloom.llm.storage import beside, fresh, materialise
 
 WIDTH = 4
 SEED = 42
@@ -83,16 +84,7 @@ def fingerprints(texts: list[bytes | None], hashes=shingle_hashes, chunk: int =
 
 def with_fingerprint(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and ``fp`` (64 bits as a signed long) for each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = fingerprints(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names)
-
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("binary").alias("_text"))
-    schema = source.drop("_text").schema.add("fp", "long")
-    names = schema.names
-    return source.mapInArrow(run, schema)
+    return beside(docs, keep, F.col(f"`{text}`").cast("binary"), "fp long", lambda texts: [pa.array(fingerprints(texts).view(np.int64))])
 
 
 def gray_rank(fp: Column) -> Column:
@@ -284,9 +276,9 @@ def near_classes(docs: DataFrame, keep: list[str], text: str = "text", max_bits:
 
     Texts are read once and never shuffled; equal fingerprints are one node.
     """
-    ident = keep[0]
-    rows = materialise(with_fingerprint(docs, keep, text))
-    nodes = materialise(rows.groupBy("fp").agg(F.min(f"`{ident}`").alias("_least")))
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"), F.col(f"`{text}`").alias("text"))
+    rows = materialise(with_fingerprint(kept, ["kept"]))
+    nodes = materialise(rows.groupBy("fp").agg(F.min(F.col("kept")[keep[0]]).alias("_least")))
     links = connected_components(gray_links(nodes, max_bits))
     members = links.select(F.col("u").alias("fp"), F.col("v").alias("_root")).unionByName(
         links.select(F.col("v").alias("fp"), F.col("v").alias("_root")).distinct()
@@ -295,7 +287,8 @@ def near_classes(docs: DataFrame, keep: list[str], text: str = "text", max_bits:
     named = materialise(members.groupBy("_root").agg(F.min("_least").alias("_named")))
     of_code = materialise(members.join(named, "_root").select("fp", "_named"))
     classes = materialise(nodes.join(of_code, "fp", "left").select("fp", F.coalesce("_named", "_least").alias("component_id")))
-    return rows.join(classes, "fp").select(*(F.col(f"`{c}`") for c in keep), "fp", "component_id")
+    fp, component = fresh(docs.select(*(F.col(f"`{c}`") for c in keep)), "fp", "component_id")
+    return rows.join(classes, "fp").select(*(F.col("kept")[c].alias(c) for c in keep), F.col("fp").alias(fp), F.col("component_id").alias(component))
 
 
 def hex_fingerprint(fp: Column) -> Column:

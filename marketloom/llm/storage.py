@@ -6,9 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _OWN: dict[str, str] = {}
 #: Tables written and not yet released; entries live as long as someone may release them.
@@ -79,3 +82,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def extended(schema: StructType, ddl: str) -> StructType:
     """``schema`` followed by the fields of ``ddl``."""
     return StructType(schema.fields + StructType.fromDDL(ddl).fields)
+
+
+def beside(docs: DataFrame, keep: list[str], values: Column, ddl: str, run: Callable[[list], list[pa.Array]]) -> DataFrame:
+    """``keep`` of ``docs``, and beside them what ``run`` makes of the ``values`` of a batch: one array for each field of ``ddl``.
+
+    Kept columns may have any name; a new field whose name they have gets
+    another one, as :func:`fresh` gives it.
+    """
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep))
+    new = StructType.fromDDL(ddl)
+    schema = StructType(kept.schema.fields + [StructField(n, f.dataType) for n, f in zip(fresh(kept, *new.names), new.fields, strict=True)])
+    names = schema.names
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *run(b.column(b.num_columns - 1).to_pylist())], names)
+
+    # Plain names inside: a dot in a name has a meaning there.
+    return docs.select(*(F.col(f"`{c}`").alias(f"kept{k}") for k, c in enumerate(keep)), values.alias("value")).mapInArrow(each, schema)

@@ -23,9 +23,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from marketloom.llm.storage import extended, fresh
+from marketloom.llm.storage import beside, extended
 
 BUCKETS = 1 << 18
 FACTORS = 4
@@ -214,15 +213,9 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], text: str = "text"
     """``keep`` and ``score`` for each row. The machine is sent to tasks; its size is fixed by BUCKETS and FACTORS."""
     model = docs.sparkSession.sparkContext.broadcast((machine.bias, *(x.astype(np.float32) for x in (machine.value, machine.weight, machine.vector))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: list[str | None]) -> list[pa.Array]:
         m, terms = Machine(*model.value), Terms()
-        for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            parts = [m.scores([terms.buckets(t) for t in texts[k : k + 256]]) for k in range(0, len(texts), 256)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names)
-
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(fresh(docs, "text_")[0]))
-    (result,) = fresh(docs.select(*(F.col(f"`{c}`") for c in keep)), "score")
-    schema = extended(StructType(source.schema.fields[:-1]), f"{result} double")
-    names = schema.names
-    return source.mapInArrow(run, schema)
+        parts = [m.scores([terms.buckets(t) for t in texts[k : k + 256]]) for k in range(0, len(texts), 256)]
+        return [pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())]
+
+    return beside(docs, keep, F.col(f"`{text}`"), "score double", run)

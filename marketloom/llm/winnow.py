@@ -7,8 +7,8 @@ kept hash; what is shorter than ``GRAM`` is never matched, except whole texts.
 
 Defined cases: a null or empty text keeps nothing, and two such texts are alike
 (1.0); a text shorter than ``GRAM`` keeps the hash of the whole; of repeated ids
-the lesser text comes first, null before all; null ids come last; other columns
-are not read; an empty table gives an empty result; a single document is its
+the lesser text comes first, null before all; null ids come last; ids of any
+type that can be ordered are taken as they are; other columns are not read; an empty table gives an empty result; a single document is its
 own successor.
 """
 
@@ -18,12 +18,12 @@ from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.storage import extended
+from marketloom.llm.storage import beside, extended, materialise
 
 
 GRAM = 32
@@ -31,8 +31,6 @@ WINDOW = 32
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = 24
 _BLOCK = 1 << 23
-#: About so many documents lie between two cuts of the id order.
-GROUP_ROWS = 1000
 
 
 def gram_hashes(codes: np.ndarray) -> np.ndarray:
@@ -93,77 +91,79 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprint_documents(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, ``hashes`` and ``positions`` for each row; nothing is shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = [winnow(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            new = [pa.array([x[k].astype(np.int64) for x in kept], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names)
-
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
-    schema = extended(source.drop("_text").schema, "hashes array<long>, positions array<long>")
-    names = schema.names
-    return source.mapInArrow(run, schema)
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        kept = [winnow(t) for t in texts]
+        return [pa.array([x[k].astype(np.int64) for x in kept], pa.list_(pa.int64())) for k in (0, 1)]
 
+    return beside(docs, keep, F.col(f"`{text}`"), "hashes array<long>, positions array<long>", run)
 
-def beside_next(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``text``, ``_group`` and ``_guest``, sorted so that the row after each is its successor.
-
-    Successors go by descending id, and from the last to the first. Ids are cut
-    into groups of neighbours at the quantiles of a hashed sample; the first
-    document of each group is also sent, as a guest, to the group before. So
-    the texts are shuffled once, and no task holds the order of all of them.
-    """
-    ids = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"))
-    n = ids.count()
-    groups = max(1, n // GROUP_ROWS)
-    every = max(1, n // (20 * groups))
-    sample = sorted(r[0] for r in ids.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).distinct().collect())
-    cuts = np.array(sample[:: max(1, len(sample) // groups)][1:], np.int64)
-
-    def place(x: pd.Series) -> pd.Series:
-        # Great ids have low numbers; null comes last.
-        found = len(cuts) - np.searchsorted(cuts, x.fillna(0).to_numpy().astype(np.int64), "right")
-        return pd.Series(np.where(x.notna().to_numpy(), found, len(cuts) + 1))
 
-    first = ids.withColumn("_group", F.pandas_udf(place, "long")("doc_id")).groupBy("_group").agg(F.max("doc_id").alias("doc_id"))
-    heads = sorted((r["_group"], r["doc_id"]) for r in first.collect())
-    guest_of = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
+def compared(body: str, kept: tuple, unique: np.ndarray, after: str, after_unique: np.ndarray) -> tuple:
+    """Results for a text whose successor is ``after``."""
+    half = len(body) // 2
+    edited = body[: len(body) - half] + after[:half]
+    new = winnow(edited)
+    return len(body), sha256(edited.encode()).hexdigest(), digest(kept), digest(new), likeness(unique, np.unique(new[0])), likeness(unique, after_unique)
 
-    def places(x: pd.Series) -> pd.Series:
-        known = (None if pd.isna(i) else int(i) for i in x)
-        return pd.Series([[g, guest_of[i]] if i in guest_of else [g] for i, g in zip(known, place(x), strict=True)], dtype=object)
 
-    groups_of = F.pandas_udf(places, "array<long>")
-    rows = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sent = rows.select("doc_id", "text", F.posexplode(groups_of("doc_id")).alias("_guest", "_group"))
-    order = ["_group", "_guest", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text")]
-    return sent.repartition("_group").sortWithinPartitions(*order)
+_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
 def edited_fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of each text, of its edited text, and their likeness to each other and to the next text's."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    """``ident``, and fingerprints of each text, of its edited text, and their likeness to each other and to the next text's.
+
+    Successors go by descending id, and from the last to the first. The texts
+    are shuffled once, into ranges of that order, where the row after each is
+    its successor; the ranges are cut by id and the opening of the text, so
+    rows without an id, or with one id, need not share a task. The first and
+    the last text of each range are written beside the results and meet in a
+    join; nothing is gathered on the driver.
+    """
+    name = F.col(f"`{ident}`")
+    order = [F.desc_nulls_last("id"), F.asc_nulls_first("text")]
+    rows = docs.select(name.alias("id"), F.col(f"`{text}`").alias("text"))
+    ranged = rows.repartitionByRange(order[0], F.substring("text", 1, 64).asc_nulls_first()).sortWithinPartitions(*order)
+    schema = extended(rows.select("id").schema, f"{_RESULT}, part int, head string, tail string")
+    kind = [*_TYPES, pa.int32(), pa.string(), pa.string()]
+
+    def batch(ids: list, columns: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        fields = list(zip(*columns, strict=True)) if columns else [()] * len(kind)
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(c, t) for c, t in zip(fields, kind, strict=True))], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row whose successor has not come yet
+        part, held, id_type = TaskContext.get().partitionId(), None, None
         for b in batches:
-            out = []
-            for doc_id, body, guest, group in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if guest and (held is None or held[0] != group):
-                    continue
+            ids, out, id_type = [], [], b.column(0).type
+            for key, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 body = body or ""
                 kept = winnow(body)
                 unique = np.unique(kept[0])
-                if held is not None and held[0] == group:
-                    _, was, old, old_kept, old_unique = held
-                    half = len(old) // 2
-                    edited = old[: len(old) - half] + body[:half]
-                    new_kept = winnow(edited)
-                    out.append((was, len(old), sha256(edited.encode()).hexdigest(), digest(old_kept), digest(new_kept), likeness(old_unique, np.unique(new_kept[0])), likeness(old_unique, unique)))
-                held = None if guest else (group, doc_id, body, kept, unique)
-            columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return beside_next(docs, ident, text).select("doc_id", "text", "_guest", "_group").mapInArrow(run, schema)
+                if held is None:
+                    ids.append(None)
+                    out.append((None,) * 6 + (part, body, None))
+                else:
+                    ids.append(held[0])
+                    out.append(compared(*held[1:], body, unique) + (None, None, None))
+                held = key, body, kept, unique
+            yield batch(ids, out, id_type)
+        if held is not None:
+            yield batch([held[0]], [(None,) * 6 + (part, None, held[1])], id_type)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for body, after in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                kept, other = winnow(body), winnow(after)
+                out.append(compared(body, kept, np.unique(kept[0]), after, np.unique(other[0])))
+            fields = list(zip(*out, strict=True)) if out else [()] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(fields, _TYPES, strict=True))], schema.names[:7])
+
+    found = materialise(ranged.mapInArrow(run, schema))
+    heads, tails = found.where("head is not null").select("part", "head"), found.where("tail is not null").select("id", "part", "tail")
+    # As many rows as there are ranges, each a number.
+    around = Window.orderBy("part")
+    follows = heads.select("part", F.coalesce(F.lead("part").over(around), F.min("part").over(around.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("next"))
+    ends = tails.join(follows, "part").join(heads.select(F.col("part").alias("next"), "head"), "next")
+    met = ends.select("id", "tail", "head").mapInArrow(meet, extended(rows.select("id").schema, _RESULT))
+    return found.where("part is null").select(met.columns).unionByName(met).withColumnRenamed("id", ident)

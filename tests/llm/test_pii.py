@@ -1,6 +1,10 @@
+import itertools
 import re
 from hashlib import sha256
 
+import numpy as np
+import pytest
+
 from marketloom.llm import pii
 
 # Each kind's pattern and test as the query defines them.
@@ -64,3 +68,61 @@ def test_redact(spark):
     got = sorted((r.doc_id, r.text) for r in out.collect() if r.text)
     assert got[1] == (3, "mail [EMAIL] now") and got[-1][1].endswith("[IP]")
     assert out.where("text is null").count() == 1 and pii.redact(docs.limit(0), pii.fit([])).count() == 0
+
+
+TAUGHT = [
+    f"Call +420 777 {k % 900 + 100} {(37 * k) % 900 + 100} or mail u{k}.x@mail{k % 9}.example.com from 10.{k % 200}.3.{k % 250}, card 4111 1111 1111 1111, room {k}, page {k % 90} of look at page.two."
+    for k in range(300)
+]
+
+
+@pytest.mark.parametrize("kind,mention,again,decoy", [
+    (0, "anna.kay@mail.example.com", "anna.kay at mail.example.com", "look at shop.example.org"),
+    (0, "anna.kay@mail.example.com", "anna.kay(at)mail.example.com", "bob(at)shop.example.org"),
+    (1, "192.168.7.33", "192[.]168[.]7[.]33", "10[.]9[.]8[.]7"),
+    (2, "5500 0000 0000 0004", "5500.0000.0000.0004", "4242.4242.4242.4242"),
+    (3, "+420 777 123 456", "777123456", "605987321"),
+    (3, "+49 30 1234567", "0049301234567", "0044201112223"),
+])
+def test_linked_mentions_that_patterns_miss(kind, mention, again, decoy):
+    """A disguised mention is found through the plain one only: not by itself, not without skip edges."""
+    w = pii.fit(TAUGHT)
+    text = f"First: {mention} here. Some words between them. Then \"{again}\" once more, and {decoy} too."
+    at = text.index(again)
+    want = (kind, at, at + len(again))
+    base, spans = pii.spans_of(text, w)
+    assert want not in base and want in spans
+    assert not any(a <= text.index(decoy) < b for _, a, b in spans)
+    assert want not in pii.spans_of(text, w, skips=False)[1]
+    assert want not in pii.spans_of(text.replace(mention, "nothing"), w)[1]
+
+
+class Graph:
+    def __init__(self, n, nexts, skips):
+        self.spans, self.next, self.skips, self.features = [(0, 1)] * n, nexts, skips, [[k] for k in range(n)]
+
+
+def enumerated(g, w):
+    n = len(g.spans)
+    p = np.zeros((n, pii.LABELS))
+    for y in itertools.product(range(pii.LABELS), repeat=n):
+        s = sum(w["node"][k, y[k]] for k in range(n)) + sum(w["chain"][y[k], y[k + 1]] for k in g.next) + sum(w["skip"][y[a], y[b]] for a, b in g.skips)
+        for k in range(n):
+            p[k, y[k]] += np.exp(s)
+    return p / p.sum(1, keepdims=True)
+
+
+def test_marginals_against_enumeration():
+    rng = np.random.default_rng(1)
+    sym = lambda m: (m + m.T) / 2
+    for n, nexts, skips, near in ((5, [0, 1, 2, 3], [], 1e-3), (5, [0, 3], [(1, 3)], 1e-3), (4, [], [(0, 3), (1, 3), (2, 3)], 1e-3), (4, [0, 1, 2], [(0, 3)], 0.1), (3, [0, 1], [(0, 2)], 0.1)):
+        w = {"node": rng.normal(0, 1, (n, pii.LABELS)), "chain": sym(rng.normal(0, 0.6, (pii.LABELS,) * 2)), "skip": sym(rng.normal(0, 0.6, (pii.LABELS,) * 2))}
+        g = Graph(n, nexts, skips)
+        assert np.abs(pii.marginals(g, w) - enumerated(g, w)).max() < near
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a@b.cz", 2, 3, 4)], "doc_id long, text string, base int, spans int, `a.b` int")
+    got = pii.find_spans(docs, ["doc_id", "base", "a.b"], pii.fit([]))
+    assert got.columns == ["doc_id", "base", "a.b", "_base", "spans"] and got.first()["_base"][0]["kind"] == "email"
+    assert pii.digests(pii.find_spans(docs, ["a.b"], pii.fit([])), ["a.b"]).first()["n_email"] == 1

@@ -80,3 +80,23 @@ def test_drop_near_copies(spark):
     got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, ident string"))
     assert got.columns == ["doc_id", "text", "ident"]
     assert sorted(r.ident for r in got.collect()) == ["b", "c", "e"]
+
+
+def test_the_index_prunes():
+    """Of a bucket of 10,000 codes the index compares a tenth of all pairs at most, and finds every near one."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2**63, 9_000, np.uint64) * np.uint64(2)
+    near = x[:1000] ^ (np.uint64(1) << rng.integers(0, 64, 1000).astype(np.uint64))
+    x = np.unique(np.concatenate([x, near]) & ~np.uint64(0x1FFF << 51) | np.uint64(5 << 51))
+    x = x[np.argsort(simhash.gray_order(x))]
+    tally = [0]
+    got = {(min(i, j), max(i, j)) for a, b in simhash.near_pairs(x, np.zeros(1, np.int64), 4, tally=tally) for i, j in zip(a.tolist(), b.tolist())}
+    want = {(i, j) for i in range(len(x)) for j in (np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]) <= 4) + i + 1).tolist()}
+    assert got == want and len(want) >= 700
+    assert tally[0] * 10 <= len(x) * (len(x) - 1) // 2
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 7), (2, None, 8)], "doc_id long, text string, fp int")
+    got = simhash.near_classes(docs, ["doc_id", "fp"])
+    assert got.columns == ["doc_id", "fp", "_fp", "component_id"] and sorted(r.fp for r in got.collect()) == [7, 8]

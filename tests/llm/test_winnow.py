@@ -67,11 +67,44 @@ def test_edge_cases(spark):
     assert winnow.edited_fingerprints(one.limit(0)).count() == 0
 
 
-def test_groups_meet_their_successors(spark, monkeypatch):
-    monkeypatch.setattr(winnow, "GROUP_ROWS", 10)
-    rows = [(k * 7 % 401, f"text {k} " * 20) for k in range(400)]
-    got = {r.doc_id: r.edited_sha256 for r in winnow.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
-    order = sorted(rows, reverse=True)
-    for (k, t), (_, after) in zip(order, order[1:] + order[:1]):
-        half = len(t) // 2
-        assert got[k] == sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+def test_ranges_meet_their_successors(spark):
+    """Many ranges, some of them empty; the ends of each meet in the join."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for n in (400, 15):
+            rows = [(k * 7 % 401, f"text {k} " * 20) for k in range(n)]
+            got = {r.doc_id: r.edited_sha256 for r in winnow.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+            order = sorted(rows, reverse=True)
+            for (k, t), (_, after) in zip(order, order[1:] + order[:1]):
+                half = len(t) // 2
+                assert got[k] == sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_ids_are_taken_as_they_are(spark):
+    rows = [("b", "1" * 40), ("a", "2" * 40), ("c", None), (None, "3" * 40)]
+    got = {r.name: r for r in winnow.edited_fingerprints(spark.createDataFrame(rows, "name string, text string"), ident="name").collect()}
+    assert got["b"].edited_sha256 == sha256(("1" * 20 + "2" * 20).encode()).hexdigest() and got["c"].n_chars == 0
+    great = spark.createDataFrame([(2**60 + k, "x" * k) for k in (1, 2)] + [(None, "y")], "doc_id long, text string")
+    assert {r.doc_id for r in winnow.edited_fingerprints(great).collect()} == {2**60 + 1, 2**60 + 2, None}
+
+
+def test_blocks_of_a_long_text(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcd"), n)) for n in (700, 64, 191, 5000)]
+    whole = [winnow.winnow(t) for t in texts]
+    monkeypatch.setattr(winnow, "_BLOCK", 64)
+    for t, (h, p) in zip(texts, whole, strict=True):
+        got = winnow.winnow(t)
+        assert (got[0] == h).all() and (got[1] == p).all()
+
+
+def test_fingerprints_beside_any_columns(spark):
+    docs = spark.createDataFrame([(1, "q" * 50, 2)], "`a.b` long, text string, hashes int")
+    got = winnow.fingerprint_documents(docs, ["a.b", "hashes"])
+    assert got.columns == ["a.b", "hashes", "_hashes", "positions"] and len(got.first()["_hashes"]) == 1
