@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.components import connected_components
 from marketloom.llm.simhash import gray_order, group_starts, near_pairs, whole_groups
-from marketloom.llm.storage import materialise, release
+from marketloom.llm.storage import materialise, release, sent
 
 LOOKED = 12
 #: Bags of at most so many features use all but one of them; pairs of parts serve from the second to below the third size.
@@ -64,8 +64,8 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
-def block_keys(hashes: np.ndarray, owner: np.ndarray, bags: int) -> tuple[np.ndarray, np.ndarray]:
-    """Owners and bucket keys of the bags whose features are ``hashes``; ``owner`` ascends."""
+def block_keys(hashes: np.ndarray, owner: np.ndarray, bags: int, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and bucket keys of the bags whose features are ``hashes``; ``owner`` ascends; a block has ``least`` features or more."""
     size = np.bincount(owner, minlength=bags)
     owners, keys = [], []
     # All but one feature, and all of them.
@@ -95,7 +95,7 @@ def block_keys(hashes: np.ndarray, owner: np.ndarray, bags: int) -> tuple[np.nda
         count = np.diff(np.append(first, len(cell)))
         at, part = cell[first] // LOOKED, cell[first] % LOOKED
         block = mixed(majority_bits(h, first, 32) ^ mixed((part + 1 + (lev[at] << 48)).astype(np.uint64)))
-        single = ~paired[at] & (count >= 2)
+        single = ~paired[at] & (count >= least)
         owners.append(at[single])
         keys.append(block[single])
         rows = np.flatnonzero(chosen & paired)
@@ -108,7 +108,7 @@ def block_keys(hashes: np.ndarray, owner: np.ndarray, bags: int) -> tuple[np.nda
             table[where], held[where] = block[two], count[two]
             for i in range(PARTS):
                 for j in range(i):
-                    full = held[:, i] + held[:, j] >= 2
+                    full = held[:, i] + held[:, j] >= least
                     owners.append(rows[full])
                     keys.append(mixed(table[full, i] ^ mixed(table[full, j] + np.uint64(8 * i + j))))
     at, key = np.concatenate(owners), np.concatenate(keys)
@@ -202,7 +202,7 @@ def candidate_forest(signed: DataFrame, max_bits: int) -> tuple[DataFrame, DataF
 
 def _other_pairs(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, max_bits: int) -> DataFrame:
     """``a`` and ``b`` of all pairs of the ``doubtful`` buckets between different groups; every two members meet in one cell."""
-    member = signed.select("node", "fp", F.explode("keys").alias("bucket")).join(doubtful, "bucket", "left_semi")
+    member = signed.select("node", "fp", F.explode("keys").alias("bucket")).join(sent(doubtful, 24 * doubtful.count()), "bucket", "left_semi")
     member = materialise(member.join(group_of, "node", "left").select("node", "fp", "bucket", F.coalesce("grp", "node").alias("grp")))
     hot = _hot(member, 1)
     spread = member
@@ -247,26 +247,28 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], simi
     these bodies are moved.
     """
     edges, hot = candidate_forest(signed, max_bits)
-    bodies = materialise(fetch(_nodes_of(edges), 2 * edges.count()))
+    wanted = materialise(_nodes_of(edges))
+    bodies = materialise(fetch(wanted, wanted.count()))
     tested = _compared(edges.select("a", "b").distinct(), bodies, similar)
-    links = _same(tested)
+    links = connected_components(_same(tested))
     doubtful = edges.join(tested.where("not same").select("a", "b"), ["a", "b"]).select("bucket")
     pure = hot.isEmpty()
     if not pure or not tested.where("not same").isEmpty():
-        # Nodes with the same least neighbour are linked already; most groups are stars.
-        either = tested.where("same").select("a", "b").unionByName(tested.where("same").select(F.col("b").alias("a"), F.col("a").alias("b")))
-        group_of = materialise(either.groupBy("a").agg(F.least("a", F.min("b")).alias("grp")).withColumnRenamed("a", "node"))
+        key_of = bodies.select("node", F.col("key").alias("u"))
+        group_of = materialise(key_of.join(links, "u", "left").select("node", F.xxhash64(F.coalesce("v", "u")).alias("grp")).dropDuplicates(["node"]))
         if not pure:
             large = signed.select("node", F.explode("keys").alias("bucket")).join(hot, "bucket").join(group_of, "node", "left")
             grp = F.coalesce("grp", "node")
             several = large.groupBy("bucket").agg(F.min(grp).alias("low"), F.max(grp).alias("high")).where("low <> high")
             doubtful = doubtful.unionByName(several.select("bucket"))
-        others = _other_pairs(signed, doubtful.distinct(), group_of, max_bits)
+        doubtful = materialise(doubtful.distinct())
+        others = _other_pairs(signed, doubtful, group_of, max_bits)
         others = others.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = materialise(_nodes_of(others).join(bodies, "node", "left_anti"))
         every = bodies if more.isEmpty() else bodies.unionByName(materialise(fetch(more, more.count())))
-        links = links.unionByName(_same(_compared(others, every, similar)))
-        release(group_of, more)
-    links = connected_components(links)
-    release(edges)
+        again = _same(_compared(others, every, similar))
+        if not again.isEmpty():
+            links = connected_components(links.unionByName(again))
+        release(group_of, doubtful, more)
+    release(edges, wanted)
     return links.select(F.col("u").alias("key"), F.col("v").alias("group")).unionByName(links.select(F.col("v").alias("key"), F.col("v").alias("group")).distinct())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.blocks import block_keys, linked, majority_bits, mixed
-from marketloom.llm.storage import extended, fresh, materialise, release
+from marketloom.llm.storage import extended, fresh, materialise, release, sent
 
 MIN_WORDS, FUZZY_WORDS = 1, 5
 #: Pairs whose SimHash codes differ in more bits are not compared. Codes of lines of similarity 0.8 differ in about
@@ -36,8 +36,6 @@ SIMILARITY = 0.8
 FEATURE_BYTES = 4
 #: Bytes of texts that are hashed at once.
 HASHED_BYTES = 1 << 19
-#: Tables of at most so many bytes are sent to every task; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
 
 _FOLD = bytes(
     ord("0") if chr(c).isdigit() and c < 128 else ord(chr(c).lower()) if c < 128 and chr(c).isalpha() else c if c >= 128 or c == 10 else 32
@@ -107,12 +105,13 @@ def signed_lines(texts: list[bytes]) -> dict[str, np.ndarray]:
         owner = np.repeat(np.arange(len(first)), count)
         long = size >= FEATURE_BYTES
         n_long = np.add.reduceat(long.astype(np.int64), first)
-        coded = long | (n_long < 2 * FUZZY_WORDS)[owner]
-        out["fp"].append(majority_bits(h[coded], np.searchsorted(owner[coded], np.arange(len(first)))))
         fuzzy = count >= FUZZY_WORDS
+        several, few = fuzzy & (n_long >= FUZZY_WORDS), fuzzy & (n_long < FUZZY_WORDS + 2)
+        coded = long | (n_long < FUZZY_WORDS)[owner]
+        out["fp"].append(majority_bits(h[coded], np.searchsorted(owner[coded], np.arange(len(first)))))
         found = []
-        for used in ((fuzzy & (n_long >= FUZZY_WORDS))[owner] & long, (fuzzy & (n_long < FUZZY_WORDS + 2))[owner]):
-            found.append(block_keys(h[used], owner[used], len(first)))
+        for used, least in ((several[owner] & long, 2), (few[owner], 4)):
+            found.append(block_keys(h[used], owner[used], len(first), least))
         at, key = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(at, kind="stable")
         out["keys"].append(key[order])
@@ -249,25 +248,21 @@ def distance_within(a: bytes, b: bytes, allowed: int) -> bool:
     return distance <= allowed
 
 
-def _sent(df: DataFrame, n_bytes: int | None) -> DataFrame:
-    """``df`` for a join: broadcast if it is known to be small."""
-    return F.broadcast(df) if (n_bytes or 0) <= BROADCAST_BYTES else df
-
-
 def _bodies(docs: DataFrame, ident: str, text: str, nodes: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
     """``node``, ``key`` and ``body`` of the at ``most`` so many lines of ``wanted``, each read where it stands first."""
     places = nodes.join(wanted, "node").select("first.*", "node", "key")
     places = places.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("line_no", "node", "key")).alias("lines"))
-    here = _sent(places.select(F.col("doc_id").alias("at"), F.col("row_hash").alias("hash"), "lines"), most * 112)
+    here = sent(places.select(F.col("doc_id").alias("at"), F.col("row_hash").alias("hash"), "lines"), most * 112)
     found = _source(docs, ident, text).join(here, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("row_hash") == F.col("hash"))).select("lines", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                lines = b.column(1)[k].as_py().translate(_FOLD).split(b"\n")
-                rows = b.column(0)[k].as_py()
-                columns = [pa.array([r["node"] for r in rows], pa.int64()), pa.array([r["key"] for r in rows], pa.binary()), pa.array([b" ".join(lines[r["line_no"]].split()) for r in rows], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "key", "body"])
+            flat, edge = b.column(0).flatten(), b.column(0).offsets.to_numpy()
+            numbers, bodies = flat.field(0).to_numpy(), []
+            for k, folded in enumerate(t.translate(_FOLD) for t in b.column(1).to_pylist()):
+                lines = folded.split(b"\n")
+                bodies += [b" ".join(lines[n].split()) for n in numbers[edge[k] - edge[0] : edge[k + 1] - edge[0]]]
+            yield pa.RecordBatch.from_arrays([flat.field(1), flat.field(2), pa.array(bodies, pa.binary())], ["node", "key", "body"])
 
     return found.mapInArrow(run, "node long, key binary, body binary").dropDuplicates(["key"])
 
@@ -295,7 +290,7 @@ def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", coun
     removed = removed_lines(docs, ident, text)
     gone_id, gone_hash, gone, parts = fresh(docs, "gone_id", "gone_hash", "gone", "parts")
     n_bytes = removed.agg(F.sum(F.size("removed") * 4 + 48)).first()[0]
-    cuts = _sent(removed.select(F.col("doc_id").alias(gone_id), F.col("row_hash").alias(gone_hash), F.col("removed").alias(gone)), n_bytes)
+    cuts = sent(removed.select(F.col("doc_id").alias(gone_id), F.col("row_hash").alias(gone_hash), F.col("removed").alias(gone)), n_bytes)
     body = F.col(f"`{text}`")
     joined = docs.join(cuts, F.col(f"`{ident}`").eqNullSafe(F.col(gone_id)) & (F.xxhash64(body) == F.col(gone_hash)), "left")
     # A column of its own: the function below must not split the text for each line.

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.blocks import block_keys, linked, majority_bits, mixed
-from marketloom.llm.lines import _sent, hashed_words
+from marketloom.llm.lines import hashed_words
 from marketloom.llm.simhash import drop_marked
-from marketloom.llm.storage import extended, materialise, release
+from marketloom.llm.storage import extended, materialise, release, sent
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -81,7 +81,7 @@ def drop_similar(docs: DataFrame, ident: str = "doc_id", text: str = "text", wid
     def fetch(wanted: DataFrame, most: int) -> DataFrame:
         """The sets of the nodes asked for, from the first row of each."""
         places = nodes.join(wanted, "node").select("least", "node", "key")
-        here = _sent(places.select(F.col("least.ident").alias("at"), F.col("least.hash").alias("hash"), "node", "key"), most * 128)
+        here = sent(places.select(F.col("least.ident").alias("at"), F.col("least.hash").alias("hash"), "node", "key"), most * 128)
         same = F.col("row.ident").eqNullSafe(F.col("at")) & (F.col("row.hash").eqNullSafe(F.col("hash")))
         return bodies.join(here, same).select("node", "key", "text").mapInArrow(sets, "node long, key binary, body binary").dropDuplicates(["key"])
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+#: Tables of at most so many bytes are sent to every task.
+BROADCAST_BYTES = 64 << 20
 _OWN: dict[str, str] = {}
 #: Tables written and not yet released; entries live as long as someone may release them.
 _PATHS: dict[int, tuple[DataFrame, str]] = {}
@@ -67,6 +69,11 @@ def release(*tables: DataFrame) -> None:
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def sent(df: DataFrame, n_bytes: int | None) -> DataFrame:
+    """``df`` for a join: broadcast if its size, as counted, is at most BROADCAST_BYTES; else the join shuffles."""
+    return F.broadcast(df) if (n_bytes or 0) <= BROADCAST_BYTES else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have yet."""
     taken = {c.lower() for c in df.columns}
