@@ -10,24 +10,27 @@ from marketloom.functions.text import metres
 EXTRA_STORE_CENTS = 3500
 #: Costs of a route: by kilometre and by stop after the first.
 KM_CENTS, STOP_CENTS = 600, 1500
-CANDIDATE_STORES = 4
 
 
-def items(offers: DataFrame, at_most: int = 1000) -> DataFrame:
+def items(offers: DataFrame) -> DataFrame:
     """List items: one row per list and product with its quantity."""
     return offers.groupBy("list_id", "product_id").agg(F.sum("quantity").alias("quantity"))
 
 
+def _first(rows: DataFrame, key: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """The first row of each ``key``; partial minima come before the shuffle, so a product with very many offers is no hot group."""
+    least = rows.groupBy(*key).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_first"))
+    return least.select(*key, *(F.col("_first")[v].alias(v) for v in values))
+
+
 def best_per_store(live: DataFrame) -> DataFrame:
     """The offer of each store and product that counts: current before upcoming, then cheapest, then earliest."""
-    w = Window.partitionBy("store_id", "product_id").orderBy("upcoming", "price_cents", "valid_from", "offer_id")
-    return live.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("store_id", "product_id", "offer_id", "price_cents", "old_cents", "upcoming")
+    return _first(live, ["store_id", "product_id"], ["upcoming", "price_cents", "valid_from", "offer_id"], ["offer_id", "price_cents", "old_cents", "upcoming"])
 
 
 def best_per_item(lists: DataFrame, live: DataFrame) -> DataFrame:
     """The best offer of each list item over all stores; items without an offer stay, with nulls."""
-    w = Window.partitionBy("product_id").orderBy("upcoming", "price_cents", "offer_id")
-    best = live.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("product_id", "offer_id", "store_id", "price_cents", "old_cents", "upcoming")
+    best = _first(live, ["product_id"], ["upcoming", "price_cents", "offer_id"], ["offer_id", "store_id", "price_cents", "old_cents", "upcoming"])
     return lists.join(best, "product_id", "left")
 
 
@@ -62,17 +65,16 @@ def one_store(lists: DataFrame, live: DataFrame) -> DataFrame:
     return store_costs(lists, live).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def _candidates(lists: DataFrame, live: DataFrame, at_most: int | None) -> DataFrame:
-    if at_most is None:
-        return store_costs(lists, live).select("list_id", "store_id")
-    w = Window.partitionBy("list_id").orderBy(F.desc("matched"), "cents", "store_id")
-    ranked = store_costs(lists, live).withColumn("_n", F.row_number().over(w))
-    return ranked.where(F.col("_n") <= at_most).select("list_id", "store_id")
+def cheapest_anywhere(lists: DataFrame, live: DataFrame) -> DataFrame:
+    """Each list with every item where it is cheapest, in as many stores as that takes."""
+    best = _first(live, ["product_id"], ["price_cents", "store_id", "offer_id"], ["store_id", "price_cents"])
+    cost = F.col("price_cents") * F.col("quantity")
+    return lists.join(best, "product_id").groupBy("list_id").agg(F.count("*").alias("matched"), F.countDistinct("store_id").alias("stores"), F.sum(cost).alias("cents"))
 
 
-def combinations(lists: DataFrame, live: DataFrame, most: int, at_most: int | None = None) -> DataFrame:
-    """Every set of one to ``most`` of a list's stores, or of its best ``at_most``: ``list_id``, ``set`` (sorted store ids)."""
-    c = _candidates(lists, live, at_most)
+def combinations(lists: DataFrame, live: DataFrame, most: int) -> DataFrame:
+    """Every set of one to ``most`` of the stores that have something of a list: ``list_id``, ``set`` (sorted store ids)."""
+    c = store_costs(lists, live).select("list_id", "store_id")
     sets = c.select("list_id", F.array("store_id").alias("set"), F.col("store_id").alias("_last"))
     out = sets
     for _ in range(most - 1):
@@ -81,9 +83,9 @@ def combinations(lists: DataFrame, live: DataFrame, most: int, at_most: int | No
     return out.drop("_last")
 
 
-def set_costs(lists: DataFrame, live: DataFrame, most: int, at_most: int | None = None) -> DataFrame:
+def set_costs(lists: DataFrame, live: DataFrame, most: int) -> DataFrame:
     """Cost of each set of stores, each item bought where it is cheapest in the set."""
-    sets = combinations(lists, live, most, at_most)
+    sets = combinations(lists, live, most)
     members = sets.select("list_id", "set", F.explode("set").alias("store_id"))
     priced = lists.join(best_per_store(live), "product_id").select("list_id", "product_id", "store_id", "quantity", "price_cents")
     cheapest = members.join(priced, ["list_id", "store_id"]).groupBy("list_id", "set", "product_id").agg(F.min(F.col("price_cents") * F.col("quantity")).alias("cents"))
@@ -91,10 +93,10 @@ def set_costs(lists: DataFrame, live: DataFrame, most: int, at_most: int | None
 
 
 def balanced(lists: DataFrame, live: DataFrame) -> DataFrame:
-    """The best of one or two of a list's ``CANDIDATE_STORES`` best stores, a second store costing ``EXTRA_STORE_CENTS``."""
+    """The best of all single stores and pairs of stores of a list, a second store costing ``EXTRA_STORE_CENTS``."""
     charged = F.col("cents") + (F.size("set") - 1) * EXTRA_STORE_CENTS
     w = Window.partitionBy("list_id").orderBy(F.desc("matched"), "charged", F.size("set"), F.array_join(F.col("set").cast("array<string>"), ","))
-    ranked = set_costs(lists, live, 2, CANDIDATE_STORES).withColumn("charged", charged.cast("bigint")).withColumn("_n", F.row_number().over(w))
+    ranked = set_costs(lists, live, 2).withColumn("charged", charged.cast("bigint")).withColumn("_n", F.row_number().over(w))
     return ranked.where("_n = 1").select("list_id", F.array_join(F.col("set").cast("array<string>"), ",").alias("stores"), "matched", "cents", "charged")
 
 

@@ -118,14 +118,15 @@ def top_per_store(spark, d):
     return search.top_per_store(cache(spark, d), AS_OF, 3).select("slug", "product_id", "offer_id", "place")
 
 
-@query("product_comparison", "SELECT product_id, count(*) AS n, count(DISTINCT store_id) AS stores, min(price_cents) AS cheapest, max(price_cents) AS dearest FROM live GROUP BY product_id HAVING count(DISTINCT store_id) > 1")
+@query("product_comparison", "SELECT product_id, count(*) AS n, count(DISTINCT store_id) AS stores, min(price_cents) AS cheapest, max(price_cents) AS dearest FROM cache GROUP BY product_id HAVING count(DISTINCT store_id) > 1")
 def product_comparison(spark, d):
-    return live(spark, d).groupBy("product_id").agg(F.count("*").alias("n"), F.countDistinct("store_id").alias("stores"), F.min("price_cents").alias("cheapest"), F.max("price_cents").alias("dearest")).where("stores > 1")
+    return cache(spark, d).groupBy("product_id").agg(F.count("*").alias("n"), F.countDistinct("store_id").alias("stores"), F.min("price_cents").alias("cheapest"), F.max("price_cents").alias("dearest")).where("stores > 1")
 
 
-@query("saved_page", "SELECT offer_id, price_cents FROM live WHERE product_id IN (SELECT product_id FROM products WHERE product_id % 10 = 3)")
+@query("saved_page", "SELECT offer_id, price_cents FROM live WHERE product_id IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT')")
 def saved_page(spark, d):
-    wanted = retail.products(spark, d).where("product_id % 10 = 3").select("product_id")
+    urgent = retail.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    wanted = retail.table(spark, d, "lineitem").join(urgent, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("product_id"))
     return live(spark, d).join(wanted, "product_id", "left_semi").select("offer_id", "price_cents")
 
 
@@ -191,7 +192,7 @@ def category_consensus(spark, d):
 ITEMS = ", items AS (SELECT list_id, product_id, sum(quantity)::BIGINT AS quantity FROM offers GROUP BY ALL)"
 BEST = ", best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY upcoming, price_cents, valid_from, offer_id) AS bn FROM live) x WHERE bn = 1)"
 COSTS = ITEMS + BEST + ", costs AS (SELECT list_id, store_id, count(*) AS matched, sum(price_cents * quantity)::BIGINT AS cents FROM items JOIN best USING (product_id) GROUP BY ALL)"
-SETS = COSTS + """, cand AS (SELECT list_id, store_id FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY matched DESC, cents, store_id) AS n FROM costs) x WHERE n <= 4),
+SETS = COSTS + """, cand AS (SELECT list_id, store_id FROM costs),
   sets AS (SELECT list_id, [store_id] AS s FROM cand UNION ALL SELECT a.list_id, [a.store_id, b.store_id] FROM cand a JOIN cand b ON a.list_id = b.list_id AND a.store_id < b.store_id),
   buys AS (SELECT s.list_id, s.s, i.product_id, min(b.price_cents * i.quantity) AS cents FROM sets s JOIN items i ON s.list_id = i.list_id JOIN best b ON b.product_id = i.product_id AND list_contains(s.s, b.store_id) GROUP BY ALL),
   sums AS (SELECT list_id, s, count(*) AS matched, sum(cents)::BIGINT AS cents FROM buys GROUP BY ALL)"""
@@ -221,7 +222,26 @@ def plan_balanced(spark, d):
     return baskets.balanced(baskets.items(retail.offers(spark, d)), live(spark, d))
 
 
-@query("plan_route")
+_LEG = "CAST(round(2 * 6371000 * asin(sqrt(least(sin(radians({1}.la - {0}.la) / 2) * sin(radians({1}.la - {0}.la) / 2) + cos(radians({0}.la)) * cos(radians({1}.la)) * sin(radians({1}.lo - {0}.lo) / 2) * sin(radians({1}.lo - {0}.lo) / 2), 1.0::DOUBLE)))) AS BIGINT)"
+
+
+def _trip(*order: str) -> str:
+    return " + ".join(_LEG.format(a, b) for a, b in zip(("h", *order), (*order, "h")))
+
+
+ROUTES = COSTS + f""", cand AS (SELECT list_id, store_id FROM costs),
+  sets AS (SELECT list_id, [store_id] AS s FROM cand UNION ALL SELECT a.list_id, [a.store_id, b.store_id] FROM cand a JOIN cand b ON a.list_id = b.list_id AND a.store_id < b.store_id
+   UNION ALL SELECT a.list_id, [a.store_id, b.store_id, c.store_id] FROM cand a JOIN cand b ON a.list_id = b.list_id AND a.store_id < b.store_id JOIN cand c ON a.list_id = c.list_id AND b.store_id < c.store_id),
+  buys AS (SELECT s.list_id, s.s, i.product_id, min(b.price_cents * i.quantity) AS cents FROM sets s JOIN items i ON s.list_id = i.list_id JOIN best b ON b.product_id = i.product_id AND list_contains(s.s, b.store_id) GROUP BY ALL),
+  sums AS (SELECT list_id, s, count(*) AS matched, sum(cents)::BIGINT AS cents FROM buys GROUP BY ALL),
+  spot AS (SELECT store_id, latitude AS la, longitude AS lo FROM stores), h AS (SELECT {HOME[0]}::DOUBLE AS la, {HOME[1]}::DOUBLE AS lo),
+  trips AS (SELECT list_id, s, matched, cents, CASE len(s) WHEN 1 THEN {_trip("a")} WHEN 2 THEN {_trip("a", "b")} ELSE least({_trip("a", "b", "c")}, {_trip("b", "a", "c")}, {_trip("a", "c", "b")}) END AS metres
+   FROM sums CROSS JOIN h JOIN spot a ON a.store_id = s[1] LEFT JOIN spot b ON b.store_id = s[2] LEFT JOIN spot c ON c.store_id = s[3]),
+  costed AS (SELECT list_id, array_to_string(s, ',') AS stores, matched, cents, metres, cents + metres * {baskets.KM_CENTS} // 1000 + (len(s) - 1) * {baskets.STOP_CENTS} AS trip_cents FROM trips)
+  SELECT * FROM costed QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY matched DESC, trip_cents, stores) = 1"""
+
+
+@query("plan_route", ROUTES)
 def plan_route(spark, d):
     return baskets.routes(baskets.items(retail.offers(spark, d)), live(spark, d), retail.stores(spark, d), HOME)
 
@@ -319,9 +339,9 @@ def alerts_matched(spark, d):
     return alerts.price_matches(alerts.merged_alerts(wants(spark, d)), live(spark, d)).distinct()
 
 
-@query("favourites_matched", ALERTS + " SELECT DISTINCT m.user_id, m.product_id, l.offer_id, l.price_cents FROM merged m JOIN live l ON m.product_id = l.product_id AND l.off_permille > 0 WHERE m.product_id % 2 = 0")
+@query("favourites_matched", ALERTS + " SELECT DISTINCT m.user_id, m.product_id, l.offer_id, l.price_cents FROM merged m JOIN live l ON m.product_id = l.product_id AND l.off_permille > 0")
 def favourites_matched(spark, d):
-    likes = wants(spark, d).where("product_id % 2 = 0").select("user_id", "product_id").distinct()
+    likes = wants(spark, d).select("user_id", "product_id").distinct()
     return alerts.favourite_matches(likes, live(spark, d))
 
 
@@ -455,3 +475,6 @@ def window_sliding(spark, d):
   b AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM b GROUP BY user_id, s""", base=False)
 def window_sessions(spark, d):
     return streams.sessions(retail.table(spark, d, "events"))
+
+
+from marketloom.plans import more  # noqa: E402, F401  registers its queries

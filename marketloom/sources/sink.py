@@ -1,0 +1,32 @@
+"""A table published in steps: staged build, check, swap."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marketloom.operators.lifecycle import GuardError
+
+
+def publish(df: DataFrame, root: str, key: str, least: int, partition: str | None = None) -> DataFrame:
+    """Write ``df`` beside the present version below ``root``, check it, and make it the present one.
+
+    The staged files are counted and their keys compared before the pointer
+    changes; if the check fails the present version stays. The pointer is a
+    table of one row, written last, so a reader sees one version or the other.
+    """
+    spark = df.sparkSession
+    staged = f"{root}/version-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(partition) if partition else df.write
+    writer.parquet(staged)
+    rows, keys, missing = spark.read.parquet(staged).selectExpr("count(*)", f"count(distinct `{key}`)", f"count_if(`{key}` is null)").first()
+    if rows < least or keys != rows or missing:
+        raise GuardError(f"{rows} rows, {keys} keys, {missing} without one: the present version stays")
+    spark.createDataFrame([(staged,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    return current(spark, root)
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The present version; its partitions are pruned by filters on their column."""
+    return spark.read.parquet(spark.read.parquet(f"{root}/current").first()["path"])

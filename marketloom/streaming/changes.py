@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.sources.folders import shared_folder
+
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -17,20 +17,17 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="marketloom-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run ``stream`` over all that is there now and read what it wrote to the shared folder."""
-    spark, at = stream.sparkSession, _folder(stream.sparkSession)
+    spark, at = stream.sparkSession, shared_folder(stream.sparkSession, "streams")
 
     def write(batch: DataFrame, n: int) -> None:
         # The same batch number always names the same folder, so a replay writes nothing twice.
         target = f"{at}/out" if mode == "complete" else f"{at}/out/batch={n}"
         batch.write.mode("overwrite").parquet(target)
 
+    # An empty stream runs no batch; its result is an empty table all the same.
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch=-1")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out").select(*stream.columns)
 
