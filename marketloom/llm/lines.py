@@ -29,8 +29,8 @@ from marketloom.llm.storage import extended, fresh, materialise, release, sent
 
 MIN_WORDS, FUZZY_WORDS = 1, 5
 #: Pairs whose SimHash codes differ in more bits are not compared. Codes of lines of similarity 0.8 differ in about
-#: 13 bits, of unrelated ones in 32; among pairs that are similar, 99.5 % are within the bound (sf0.1).
-MAX_BITS = 16
+#: 13 bits, of unrelated ones in 32; among similar pairs 99.7 % are within the bound (sf0.1).
+MAX_BITS = 18
 SIMILARITY = 0.8
 #: Shorter words (bytes) are no features if a line has FUZZY_WORDS others; with up to one more, all words are used as well.
 FEATURE_BYTES = 4
@@ -192,12 +192,35 @@ def _aligned(x: list[bytes], y: list[bytes], enough: int) -> int:
     return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j)
 
 
+GRAM = 3
+
+
+def _runs(a: bytes) -> np.ndarray:
+    x = np.frombuffer(a, np.uint8).astype(np.int32)
+    return np.sort((x[:-2] << 16) + (x[1:-1] << 8) + x[2:]) if len(x) >= GRAM else x[:0]
+
+
+def _shared_runs(a: bytes, b: bytes) -> int:
+    """How many runs of GRAM bytes two texts have in common, each as often as both have it."""
+    both = np.sort(np.concatenate([_numbered(_runs(a)), _numbered(_runs(b))]))
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _numbered(runs: np.ndarray) -> np.ndarray:
+    """Sorted runs with the number of each among its equals, so that all differ."""
+    if not len(runs):
+        return runs.astype(np.int64)
+    at = np.arange(len(runs))
+    first = np.maximum.accumulate(np.where(np.append(True, runs[1:] != runs[:-1]), at, 0))
+    return (runs.astype(np.int64) << 32) + at - first
+
+
 def edit_similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     """Whether 1 - (edit distance / longer length) is at least ``least``.
 
     Equal words at both ends are left out. What remains is similar if a way to
     align its words costs little enough, and is not if the counts of its bytes
-    differ too much; else a bit-parallel column per byte decides.
+    or runs of bytes differ too much; else a bit-parallel column per byte decides.
     """
     allowed = _allowed(max(len(a), len(b)), least)
     if abs(len(a) - len(b)) > allowed:
@@ -219,6 +242,9 @@ def edit_similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     counts = np.bincount(np.frombuffer(a, np.uint8), minlength=256) - np.bincount(np.frombuffer(b, np.uint8), minlength=256)
     if max(counts[counts > 0].sum(), -counts[counts < 0].sum()) > allowed:
         return False
+    # An edit changes at most GRAM runs of GRAM bytes.
+    if max(len(a), len(b)) - GRAM + 1 - _shared_runs(a, b) > GRAM * allowed:
+        return False
     return distance_within(a, b, allowed)
 
 
