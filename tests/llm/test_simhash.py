@@ -100,3 +100,38 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e", 7), (2, None, 8)], "doc_id long, text string, fp int")
     got = simhash.near_classes(docs, ["doc_id", "fp"])
     assert got.columns == ["doc_id", "fp", "_fp", "component_id"] and sorted(r.fp for r in got.collect()) == [7, 8]
+
+
+def test_components_of_paths_stars_and_loops(spark, monkeypatch):
+    """Components in any order of edges, repeated and turned around, where tasks contract a few edges at a time."""
+    import random
+
+    from marketloom.llm import components
+
+    monkeypatch.setattr(components, "CONTRACTED", 7)
+    rng = random.Random(5)
+    name = rng.sample(range(-10**12, 10**12), 900)
+    edges = [(k, k + 1) for k in range(299)] + [(300, k) for k in range(301, 600)] + [(600 + k, 600 + (k * 7 + 1) % 40) for k in range(40)]
+    edges += [tuple(sorted(rng.sample(range(700, 900), 2))) for _ in range(120)] + [(5, 5)]
+    edges += [(b, a) for a, b in edges[::3]]
+    rng.shuffle(edges)
+    root = list(range(900))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    members = {}
+    for k in {x for e in edges for x in e}:
+        members.setdefault(find(k), []).append(name[k])
+    want = {m: min(group) for group in members.values() for m in group if m != min(group)}
+    rows = [(name[a], name[b]) for a, b in edges]
+    got = components.connected_components(spark.createDataFrame(rows, "u long, v long").repartition(5))
+    assert {r.u: r.v for r in got.collect()} == want
+    keyed = spark.createDataFrame([(a.to_bytes(8, "big", signed=True), b.to_bytes(8, "big", signed=True)) for a, b in rows], "u binary, v binary")
+    pairs = {bytes(r.u): bytes(r.v) for r in components.connected_components(keyed).collect()}
+    assert len(pairs) == len(want)
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).isEmpty()
