@@ -9,10 +9,11 @@ the same ones in bags near it. In short bags pairs of five parts, in very short
 ones all features but one, take the place of a block.
 
 Inside a bucket the Gray-order index finds pairs whose whole codes differ in a
-limited number of bits. A spanning forest of them is compared first; only where
-an edge of it fails are all other pairs of that bucket between different groups
-compared too. So a group of near copies costs about as many comparisons as it
-has members, and yet no pair is lost that all comparisons would link.
+limited number of bits. A spanning forest of them is compared first. Where an
+edge of it fails, a second forest joins the groups found so far by their nearest
+codes, and then all other pairs of that bucket between groups still different
+are compared too. So a group of near copies costs a few times as many
+comparisons as it has members, and yet no pair is lost that all would link.
 """
 
 from __future__ import annotations
@@ -140,11 +141,11 @@ def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table.column(n).to_numpy() for n in names]
 
 
-def _pairs(rows: DataFrame, max_bits: int, groups: bool) -> DataFrame:
+def _pairs(rows: DataFrame, max_bits: int, groups: bool, nearest: bool = False) -> DataFrame:
     """``a`` < ``b`` and ``bucket`` of pairs that meet in a bucket within ``max_bits``.
 
     Without ``groups`` a spanning forest of each bucket's pairs; else all pairs
-    of members of different ``group``.
+    of members of different ``grp``, or with ``nearest`` a forest of the groups.
     """
     names = ["a", "b", "bucket"]
     keys = ("bucket",)
@@ -163,14 +164,18 @@ def _pairs(rows: DataFrame, max_bits: int, groups: bool) -> DataFrame:
             bucket, node, code = bucket[order], node[order], code[order]
             of = _columns(table, "grp")[0][order] if groups else node
             label = np.arange(len(node))
+            if nearest:
+                _, first, group = np.unique(of, return_index=True, return_inverse=True)
+                label = first[group]
             for i, j in near_pairs(code, _starts(bucket), max_bits):
                 apart = of[i] != of[j]
                 i, j = i[apart], j[apart]
-                if groups:
+                if groups and not nearest:
                     found = [(i, j)]
                 else:
-                    # Stars around the first of a class, as far as its members are near it.
-                    order = np.lexsort((np.bitwise_count(code[i] ^ code[j]), np.minimum(i, j)))
+                    # Stars around the first of a class, as far as its members are near it; or the nearest codes.
+                    bits = np.bitwise_count(code[i] ^ code[j])
+                    order = np.argsort(bits, kind="stable") if nearest else np.lexsort((bits, np.minimum(i, j)))
                     found = forest(label, i[order], j[order])
                 for p, q in found:
                     if len(p):
@@ -200,8 +205,8 @@ def candidate_forest(signed: DataFrame, max_bits: int) -> tuple[DataFrame, DataF
     return materialise(_pairs(member.select("node", "fp", "bucket"), max_bits, False)), hot
 
 
-def _other_pairs(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, max_bits: int) -> DataFrame:
-    """``a`` and ``b`` of all pairs of the ``doubtful`` buckets between different groups; every two members meet in one cell."""
+def _other_pairs(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, max_bits: int, nearest: bool) -> DataFrame:
+    """``a`` and ``b`` of pairs of the ``doubtful`` buckets between different groups, all or a forest; every two members meet in one cell."""
     member = signed.select("node", "fp", F.explode("keys").alias("bucket")).join(sent(doubtful, 24 * doubtful.count()), "bucket", "left_semi")
     member = materialise(member.join(group_of, "node", "left").select("node", "fp", "bucket", F.coalesce("grp", "node").alias("grp")))
     hot = _hot(member, 1)
@@ -212,7 +217,7 @@ def _other_pairs(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, ma
         spread = spread.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
         cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
         spread = spread.select("node", "fp", "grp", F.when(F.col("cells") == 1, F.col("bucket")).otherwise(cell).alias("bucket"))
-    pairs = materialise(_pairs(spread, max_bits, True).select("a", "b").distinct())
+    pairs = materialise(_pairs(spread, max_bits, True, nearest).select("a", "b").distinct())
     release(member, hot)
     return pairs
 
@@ -251,24 +256,31 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], simi
     bodies = materialise(fetch(wanted, wanted.count()))
     tested = _compared(edges.select("a", "b").distinct(), bodies, similar)
     links = connected_components(_same(tested))
-    doubtful = edges.join(tested.where("not same").select("a", "b"), ["a", "b"]).select("bucket")
+    failed = edges.join(tested.where("not same").select("a", "b"), ["a", "b"]).select("bucket")
     pure = hot.isEmpty()
     if not pure or not tested.where("not same").isEmpty():
-        key_of = bodies.select("node", F.col("key").alias("u"))
-        group_of = materialise(key_of.join(links, "u", "left").select("node", F.xxhash64(F.coalesce("v", "u")).alias("grp")).dropDuplicates(["node"]))
-        if not pure:
-            large = signed.select("node", F.explode("keys").alias("bucket")).join(hot, "bucket").join(group_of, "node", "left")
-            grp = F.coalesce("grp", "node")
-            several = large.groupBy("bucket").agg(F.min(grp).alias("low"), F.max(grp).alias("high")).where("low <> high")
-            doubtful = doubtful.unionByName(several.select("bucket"))
-        doubtful = materialise(doubtful.distinct())
-        others = _other_pairs(signed, doubtful, group_of, max_bits)
-        others = others.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = materialise(_nodes_of(others).join(bodies, "node", "left_anti"))
-        every = bodies if more.isEmpty() else bodies.unionByName(materialise(fetch(more, more.count())))
-        again = _same(_compared(others, every, similar))
-        if not again.isEmpty():
-            links = connected_components(links.unionByName(again))
-        release(group_of, doubtful, more)
+        doubtful = None
+        for nearest in (True, False):
+            key_of = bodies.select("node", F.col("key").alias("u"))
+            group_of = materialise(key_of.join(links, "u", "left").select("node", F.xxhash64(F.coalesce("v", "u")).alias("grp")).dropDuplicates(["node"]))
+            if doubtful is None:
+                if not pure:
+                    large = signed.select("node", F.explode("keys").alias("bucket")).join(hot, "bucket").join(group_of, "node", "left")
+                    grp = F.coalesce("grp", "node")
+                    several = large.groupBy("bucket").agg(F.min(grp).alias("low"), F.max(grp).alias("high")).where("low <> high")
+                    failed = failed.unionByName(several.select("bucket"))
+                doubtful = materialise(failed.distinct())
+            others = _other_pairs(signed, doubtful, group_of, max_bits, nearest)
+            others = others.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            more = materialise(_nodes_of(others).join(bodies, "node", "left_anti"))
+            if not more.isEmpty():
+                bodies = bodies.unionByName(materialise(fetch(more, more.count())))
+            again = _compared(others, bodies, similar)
+            same = _same(again)
+            if not same.isEmpty():
+                links = connected_components(links.unionByName(same))
+            tested = tested.unionByName(again)
+            release(group_of, more)
+        release(doubtful)
     release(edges, wanted)
     return links.select(F.col("u").alias("key"), F.col("v").alias("group")).unionByName(links.select(F.col("v").alias("key"), F.col("v").alias("group")).distinct())
