@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, lines, packing, pii, quality, simhash, toxicity, urls, warc, whitening, winnow
+from marketloom.llm import bpe, divergence, lines, ngrams, packing, pii, quality, simhash, toxicity, urls, warc, whitening, winnow
 from marketloom.llm.queries_sql import SQL
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -74,13 +74,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.similar_classes(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return whitening.whitened(vectors, whitening.fit(vectors), ["vec_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_byte_bpe, op3_pii, op4_winnowing, op5_line_dedup, op6_warc, op7_quality, op8_url_filter, op9_packing, op10_toxicity, op13_whitening)
+    found = (op1_simhash, op2_byte_bpe, op3_pii, op4_winnowing, op5_line_dedup, op6_warc, op7_quality, op8_url_filter, op9_packing, op10_toxicity, op11_ngram_join, op12_divergence, op13_whitening)
     return {f.__name__: f for f in found}
 
 

@@ -63,4 +63,22 @@ v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passed AS kept FROM v
 """
 
-SQL = {"op6_warc": WARC, "op7_quality": QUALITY, "op8_url_filter": URLS}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::BIGINT AS n FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*)::BIGINT AS v, sum(n)::BIGINT AS total FROM k GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*)::BIGINT AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+g AS (SELECT a.lang, a.source, coalesce(sum(c.n), 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) a LEFT JOIN c ON a.lang = c.lang AND a.source = c.source GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.total + v.v) AS p, 1 + 1000000000 * (k.n + 1) // (v.total + v.v) AS q
+  FROM g JOIN v ON g.lang = v.lang JOIN k ON g.lang = k.lang LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+SQL = {"op12_divergence": DIVERGENCE, "op6_warc": WARC, "op7_quality": QUALITY, "op8_url_filter": URLS}
