@@ -53,6 +53,8 @@ SLOTS, PART, HELD = 1 << 25, 1 << 22, 1 << 21
 PARITY_BITS = 1024
 #: Under an n-gram with more members than this, they are dealt into cells of at most so many.
 CELL_ROWS = 1024
+#: Neighbours by size are joined in blocks of so many, and the first of each again, so often; those left in a row.
+BLOCK, LEVELS = 32, 3
 #: An n-gram takes so many bytes of text, about.
 NGRAM_BYTES = 6
 
@@ -166,14 +168,34 @@ def signed(docs: DataFrame, keep: list[str], text: str, width: int, percent: int
     return beside(docs, keep, F.col(f"`{text}`").cast("binary"), "key binary, n long, prefix array<long>, grp binary, parity binary", run)
 
 
+def _leaders(rows: DataFrame, key: str) -> DataFrame:
+    """``u`` and ``v`` (with sizes ``m`` and ``n``) of the members under each ``key``: each with the first of its ``BLOCK`` in order of size, and these in turn.
+
+    So the members are joined within a few steps, however many there are.
+    """
+    w = Window.partitionBy(key).orderBy("n", "key")
+    left = rows.withColumn("at", F.row_number().over(w) - 1)
+    found = []
+    for _ in range(LEVELS):
+        of_block = Window.partitionBy(key, F.floor(F.col("at") / BLOCK)).orderBy("at")
+        first = F.first(F.struct("key", "n")).over(of_block)
+        led = left.withColumn("first", first)
+        found.append(led.where(F.col("at") % BLOCK > 0).select(F.col("first.key").alias("u"), F.col("first.n").alias("m"), F.col("key").alias("v"), "n"))
+        left = left.where(F.col("at") % BLOCK == 0).withColumn("at", F.floor(F.col("at") / BLOCK).cast("int"))
+    last = left.select(F.lag("key").over(Window.partitionBy(key).orderBy("at")).alias("u"), F.lag("n").over(Window.partitionBy(key).orderBy("at")).alias("m"), F.col("key").alias("v"), "n").where("u is not null")
+    for more in found:
+        last = last.unionByName(more)
+    return last
+
+
 def neighbour_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """``u`` and ``v`` of neighbours by size: groups under each n-gram of their prefixes, and members within each group."""
     groups = nodes.groupBy("grp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    under = groups.select("key", "n", F.explode("prefix").alias("ngram"))
-    w = Window.partitionBy("ngram").orderBy("n", "key")
-    near = under.select(F.lag("key").over(w).alias("u"), F.lag("n").over(w).alias("m"), F.col("key").alias("v"), "n").where(F.col("m") * 100 >= F.col("n") * percent)
-    inside = nodes.select(F.lag("key").over(Window.partitionBy("grp").orderBy("key")).alias("u"), F.col("key").alias("v")).where("u is not null")
-    return _ordered(near.select("u", "v").unionByName(inside))
+    under = materialise(groups.select("key", "n", F.explode("prefix").alias("ngram")))
+    near = _leaders(under, "ngram").where(F.col("m") * 100 >= F.col("n") * percent)
+    pairs = materialise(_ordered(near.select("u", "v").unionByName(_leaders(nodes.select("grp", "key", "n"), "grp").select("u", "v"))))
+    release(under)
+    return pairs
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -330,8 +352,7 @@ def similar_classes(docs: DataFrame, keep: list[str], text: str = "text", width:
     nodes = materialise(rows.where("key is not null").groupBy("key").agg(F.min(ident).alias("least"), F.min(F.struct(ident.alias("ident"), "hash")).alias("place"), *first.values()))
     met = nodes.where("grp is not null")
     comparison = _Comparison(kept.select(F.col("kept")[keep[0]].alias("ident"), "hash", "text"), met, width, percent)
-    pairs = neighbour_pairs(met, percent)
-    links, scratch, joined = None, [], materialise(pairs)
+    links, scratch, joined = None, [], neighbour_pairs(met, percent)
     for nearest in (None, True, False):
         if nearest is not None:
             cells, read = _cells(met, labels)
