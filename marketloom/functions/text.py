@@ -64,14 +64,54 @@ def pack_size_key(text: Column) -> Column:
     return F.concat(F.floor(amount * scale * times).cast("bigint").cast("string"), base)
 
 
-def trigrams(folded: Column) -> Column:
-    """The set of three-letter pieces of each word, padded by two blanks before and one after."""
+def ordered_trigrams(folded: Column) -> Column:
+    """The three-letter pieces of each word, padded by two blanks before and one after, in their order."""
     words = F.filter(F.split(folded, " "), lambda w: w != "")
     pieces = F.transform(
         words,
         lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))),
     )
-    return F.array_distinct(F.flatten(pieces))
+    return F.flatten(pieces)
+
+
+def trigrams(folded: Column) -> Column:
+    """The set of three-letter pieces of each word."""
+    return F.array_distinct(ordered_trigrams(folded))
+
+
+def word_similarity_permille(wanted: Column, ordered: Column) -> Column:
+    """The greatest similarity of the set ``wanted`` to the pieces of any run of ``ordered``, in whole thousandths.
+
+    A run counts each piece once. The best run begins and ends with a wanted
+    piece; from each such beginning one walk to the end keeps two counts: pieces
+    not yet seen since the beginning, and wanted ones among them.
+    """
+
+    def walked(rows: Column) -> Column:
+        start = F.struct(F.lit(0).alias("pieces"), F.lit(0).alias("shared"), F.lit(0).cast("bigint").alias("best"))
+
+        def from_(first: Column) -> Column:
+            def step(acc: Column, row: Column) -> Column:
+                new = (row["before"] < first["at"]).cast("int")
+                pieces, shared = acc["pieces"] + new, acc["shared"] + F.when(row["wanted"], new).otherwise(0)
+                alike = F.floor(shared * 1000 / (F.size(wanted) + pieces - shared)).cast("bigint")
+                best = F.when(row["wanted"], F.greatest(acc["best"], alike)).otherwise(acc["best"])
+                return F.struct(pieces.alias("pieces"), shared.alias("shared"), best.alias("best"))
+
+            return F.aggregate(F.slice(rows, first["at"] + 1, F.size(rows)), start, step, lambda acc: acc["best"])
+
+        return F.array_max(F.transform(F.filter(rows, lambda r: r["wanted"]), from_))
+
+    def placed(pieces: Column) -> Column:
+        def row(piece: Column, at: Column) -> Column:
+            back = F.array_position(F.reverse(F.slice(pieces, 1, at)), piece).cast("int")
+            return F.struct(F.array_contains(wanted, piece).alias("wanted"), at.alias("at"), F.when(back == 0, -1).otherwise(at - back).alias("before"))
+
+        return F.transform(pieces, row)
+
+    # Arrays of one element hold what the inner functions use again and again.
+    rows = F.transform(F.array(ordered), placed)
+    return F.coalesce(F.get(F.transform(rows, walked), F.lit(0)), F.lit(0).cast("bigint"))
 
 
 def similarity_permille(a: Column, b: Column) -> Column:

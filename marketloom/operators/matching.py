@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.text import fold, similarity_permille, trigrams
+from marketloom.functions.text import fold, ordered_trigrams, similarity_permille, trigrams, word_similarity_permille
 
 
 def tokens(text: Column) -> Column:
@@ -41,25 +41,29 @@ def once_by_identity(offers: DataFrame) -> DataFrame:
     return offers.groupBy(parts.alias("identity")).agg(F.min("offer_id").alias("offer_id"), F.count("*").alias("copies"))
 
 
-def catalogue_search(products: DataFrame, live: DataFrame, query: str, limit: int = 20, permille: int = 300) -> DataFrame:
-    """Products found by their label or name: equal, then opening, then containing the words, then alike in trigrams.
+def catalogue_search(products: DataFrame, offers: DataFrame, query: str, as_of: str, limit: int = 120) -> DataFrame:
+    """Products by relevance, in thousandths: how the name and the brand meet the words, and how alike both are in trigrams.
 
-    A product is shown if it is verified, or has two live offers.
+    A product is shown if it is verified, or has a published offer at two units
+    of money or more that has not ended. Its name must contain the words or be
+    alike (0.3, or 0.32 as a part of it), or its brand must.
     """
-    folded = fold(F.lit(query))
-    counted = live.groupBy("product_id").agg(F.count("*").alias("n"))
-    labels = products.withColumn("folded", fold(F.concat_ws(" ", "label", "name")))
-    near = similarity_permille(trigrams(F.col("folded")), trigrams(folded))
-    place = F.when(F.col("folded") == folded, 0).when(F.startswith("folded", folded), 1).when(F.contains(F.col("folded"), folded), 2).when(near >= permille, 3)
-    found = labels.withColumns({"place": place.cast("bigint"), "near": near}).where("place is not null")
-    shown = found.join(counted, "product_id", "left").where("is_verified or coalesce(n, 0) >= 2")
-    return shown.orderBy("place", F.desc("near"), "product_id").limit(limit).select("product_id", "place", "near", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def suggestions(products: DataFrame, opening: str, limit: int = 7) -> DataFrame:
-    """Names that open with what was typed, the most frequent first."""
-    named = products.select("product_id", fold(F.col("name")).alias("name")).where(F.startswith("name", fold(F.lit(opening))))
-    return named.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(limit)
+    needle = fold(F.lit(query))
+    sold = offers.where((F.col("status") == "published") & (F.col("price_cents") >= 200) & (F.col("valid_to") >= F.lit(as_of).cast("date"))).select("product_id").distinct()
+    wanted = trigrams(needle)
+    named = products.withColumns({"folded": fold(F.concat_ws(" ", "label", "name")), "of_brand": fold(F.coalesce("brand", F.lit("")))})
+    alike = named.withColumns({
+        "near": similarity_permille(trigrams(F.col("folded")), wanted),
+        "part": word_similarity_permille(wanted, ordered_trigrams(F.col("folded"))),
+        "brand_near": similarity_permille(trigrams(F.col("of_brand")), wanted),
+    })
+    found = (F.col("near") >= 300) | (F.col("part") >= 320) | F.contains("folded", needle) | (F.col("brand_near") >= 300) | F.contains("of_brand", needle)
+    name = F.when(F.col("folded") == needle, 120_000).when(F.startswith("folded", needle), 100_000).when(F.contains("folded", needle), 82_000).otherwise(0)
+    brand = F.when(F.col("of_brand") == needle, 32_000).when(F.startswith("of_brand", needle), 20_000).otherwise(0)
+    relevance = name + brand + F.col("near") * 55 + F.col("part") * 40 + F.col("brand_near") * 24
+    shown = alike.where((F.length(needle) >= 2) & found).join(sold.withColumn("sold", F.lit(True)), "product_id", "left").where("is_verified or sold")
+    ranked = shown.select("product_id", F.col("folded").alias("name"), relevance.cast("bigint").alias("relevance"))
+    return ranked.orderBy(F.desc("relevance"), "name", "product_id").limit(min(max(limit, 1), 200))
 
 
 def best_per_query(offers: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions import tags
 from marketloom.functions.text import filter_group, fold, similarity_permille, trigrams
 
 HORIZON_DAYS = 7
@@ -61,6 +62,8 @@ class Search:
     max_cents: int | None = None
     query: str | None = None
     include_upcoming: bool = True
+    #: Whether a query that means a tag finds the offers of that tag, instead of its text; the cache then has ``tags``.
+    semantic: bool = False
 
     def bounds(self) -> tuple[int, int]:
         return min(max(self.limit, 1), 100), max(self.offset, 0)
@@ -98,6 +101,12 @@ def matched(cache: DataFrame, s: Search, without: tuple[str, ...] = ()) -> DataF
     if (test := _mode(s.mode, s.as_of)) is not None:
         found = found.where(test)
     needle = (s.query or "").strip()
+    if needle and s.semantic:
+        asked = fold(F.lit(needle))
+        tag = tags.query_tag(tags.offer_tags(asked))
+        by_tag = F.array_contains("tags", tag) & (F.col("filter_group") == tags.tag_group(tag))
+        near = similarity_permille(trigrams(fold(F.col("label"))), trigrams(asked)) >= FUZZY_PERMILLE
+        return found.where(F.when(tag.isNotNull(), by_tag).otherwise(F.contains(F.col("search_text"), asked) | near))
     if needle:
         folded = fold(F.lit(needle))
         near = similarity_permille(trigrams(fold(F.col("label"))), trigrams(folded)) >= FUZZY_PERMILLE
@@ -105,6 +114,11 @@ def matched(cache: DataFrame, s: Search, without: tuple[str, ...] = ()) -> DataF
     return found
 
 
+def with_tags(cache: DataFrame) -> DataFrame:
+    """The cache with the sorted ``tags`` of each offer, made once when it is written."""
+    return cache.withColumn("tags", tags.offer_tags(F.col("search_text")))
+
+
 def order(s: Search) -> list[Column]:
     key = {
         "recommended": [F.desc("score")],
@@ -143,14 +157,3 @@ def top_per_store(cache: DataFrame, as_of: str, k: int) -> DataFrame:
     rank = Window.partitionBy("store_id").orderBy(F.desc("off_permille"), "price_cents", "offer_id")
     once = live(cache, as_of).withColumn("_b", F.row_number().over(best)).where("_b = 1")
     return once.withColumn("place", F.row_number().over(rank).cast("bigint")).where(F.col("place") <= k).drop("_b")
-
-
-def similar_labels(products: DataFrame, least: int = 300) -> DataFrame:
-    """Pairs of distinct labels alike in trigrams, found through an inverted index of their pieces."""
-    labels = products.select(fold(F.col("label")).alias("label")).distinct()
-    index = labels.select("label", F.explode(trigrams(F.col("label"))).alias("piece"))
-    other = index.select(F.col("label").alias("other"), "piece")
-    shared = index.join(other, "piece").where("label < other").groupBy("label", "other").agg(F.count("*").alias("shared"))
-    size = lambda c: F.size(trigrams(F.col(c)))
-    permille = F.expr("shared * 1000 div (a + b - shared)")
-    return shared.withColumns({"a": size("label"), "b": size("other")}).select("label", "other", permille.alias("permille")).where(F.col("permille") >= least)

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from marketloom.functions.text import fold as folded
 from marketloom.operators import baskets, matching, ranges
 from marketloom.plans.base_sql import fold
-from marketloom.plans.registry import HOME, SIM, TRI, cache, live, query
-from marketloom.sources import retail, sink
-from marketloom.sources.folders import shared_folder
+from marketloom.plans.registry import HOME, cache, live, query
+from marketloom.sources import retail
 
 _TOKENS = "list_distinct(list_filter(string_split({0}, ' '), lambda w: w <> ''))"
 
@@ -101,19 +100,6 @@ def store_flags(spark, d):
     )
 
 
-@query("catalogue_search", f""", c AS (SELECT product_id, count(*) AS n FROM live GROUP BY 1), f AS (SELECT *, {fold("concat_ws(' ', label, name)")} AS folded FROM products),
-  g AS (SELECT *, {SIM.format(TRI.format("folded"), TRI.format("'kava'"))}::BIGINT AS near FROM f),
-  r AS (SELECT product_id, is_verified, near, CASE WHEN folded = 'kava' THEN 0 WHEN starts_with(folded, 'kava') THEN 1 WHEN contains(folded, 'kava') THEN 2 WHEN near >= 300 THEN 3 END::BIGINT AS place FROM g)
-  SELECT product_id, place, near, coalesce(n, 0) AS n FROM r LEFT JOIN c USING (product_id) WHERE place IS NOT NULL AND (is_verified OR coalesce(n, 0) >= 2) ORDER BY place, near DESC, product_id LIMIT 20""")
-def catalogue_search(spark, d):
-    return matching.catalogue_search(retail.products(spark, d), live(spark, d), "Káva")
-
-
-@query("suggestions", f" SELECT name, count(*) AS n FROM (SELECT {fold('name')} AS name FROM products) x WHERE starts_with(name, 's') GROUP BY name ORDER BY n DESC, name LIMIT 7")
-def suggestions(spark, d):
-    return matching.suggestions(retail.products(spark, d), "S")
-
-
 @query("best_per_query", f""", q AS (SELECT DISTINCT w AS query_id, w AS word FROM (SELECT unnest({_TOKENS.format(fold("brand"))}) AS w FROM products) x),
   t AS (SELECT offer_id, price_cents, unnest({_TOKENS.format("search_text")}) AS word FROM cache)
   SELECT query_id, offer_id, place FROM (SELECT query_id, offer_id, row_number() OVER (PARTITION BY query_id ORDER BY price_cents, offer_id) AS place FROM q JOIN t USING (word)) y WHERE place <= 3""")
@@ -159,9 +145,5 @@ def plan_absolute(spark, d):
 
 @query("cache_published", " SELECT valid_to, slug, count(*) AS n, min(price_cents) AS cheapest FROM live GROUP BY ALL")
 def cache_published(spark, d):
-    """The offer cache written, checked and swapped in; then read back with its files pruned by their last day."""
-    from marketloom.operators import search
-    from marketloom.sources.retail import AS_OF
-
-    stored = sink.publish(cache(spark, d).repartition("valid_to"), shared_folder(spark, "offer-cache"), "offer_id", 0, "valid_to")
-    return search.live(stored, AS_OF).groupBy("valid_to", "slug").agg(F.count("*").alias("n"), F.min("price_cents").alias("cheapest"))
+    """The published cache, read back with its files pruned by the month of their last day."""
+    return live(spark, d).groupBy("valid_to", "slug").agg(F.count("*").alias("n"), F.min("price_cents").alias("cheapest"))

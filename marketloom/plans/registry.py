@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import slug
-from marketloom.operators import alerts, baskets, health, identity, lifecycle, parsers, pricing, search
+from marketloom.operators import alerts, baskets, health, identity, lifecycle, parsers, pricing, search, trigram_index
 from marketloom.operators.search import Search
 from marketloom.plans.base_sql import BASE, fold
-from marketloom.sources import retail
+from marketloom.sources import offer_store, retail
 from marketloom.sources.retail import AS_OF
 from marketloom.streaming import changes as streams
 
@@ -32,11 +32,13 @@ def query(name: str, sql: str | None = None, base: bool = True) -> Callable[[Que
 
 
 def cache(spark: SparkSession, d: str) -> DataFrame:
-    return search.build_cache(retail.offers(spark, d), retail.stores(spark, d), retail.products(spark, d))
+    """The published cache; the first query of an application publishes it."""
+    return offer_store.of_tables(spark, d).cache().drop(*offer_store.DERIVED)
 
 
 def live(spark: SparkSession, d: str) -> DataFrame:
-    return search.live(cache(spark, d), AS_OF)
+    """Live offers, from the months of the published cache that can hold any."""
+    return search.live(offer_store.of_tables(spark, d).cache(AS_OF).drop(*offer_store.DERIVED), AS_OF)
 
 
 # Search and facets
@@ -50,7 +52,8 @@ _FUZZY = SIM.format(TRI.format(fold("label")), TRI.format(fold("'máslo'")))
 
 @query("offer_cache", f"SELECT offer_id, slug, product_id, price_cents, old_cents, valid_from, valid_to, search_text, filter_group FROM cache")
 def offer_cache(spark, d):
-    return cache(spark, d).select("offer_id", "slug", "product_id", "price_cents", "old_cents", "valid_from", "valid_to", "search_text", "filter_group")
+    built = search.build_cache(retail.offers(spark, d), retail.stores(spark, d), retail.products(spark, d))
+    return built.select("offer_id", "slug", "product_id", "price_cents", "old_cents", "valid_from", "valid_to", "search_text", "filter_group")
 
 
 PAGES = {
@@ -78,7 +81,7 @@ PAGES = {
 
 
 def _page(spec: dict) -> Query:
-    return lambda spark, d: search.page(cache(spark, d), Search(AS_OF, **spec)).select(*PAGE)
+    return lambda spark, d: offer_store.of_tables(spark, d).page(Search(AS_OF, **spec)).select(*PAGE)
 
 
 for _name, (_spec, _where, _key) in PAGES.items():
@@ -88,17 +91,17 @@ for _name, (_spec, _where, _key) in PAGES.items():
 
 @query("page_total", "SELECT count(*) AS total, count(*) FILTER (WHERE upcoming) AS upcoming, count(*) FILTER (WHERE NOT upcoming) AS current FROM live WHERE filter_group = 'food'")
 def page_total(spark, d):
-    return search.total(cache(spark, d), Search(AS_OF, group="food"))
+    return search.total(offer_store.of_tables(spark, d).cache(AS_OF), Search(AS_OF, group="food"))
 
 
 @query("facet_stores", "SELECT slug, count(*) AS n FROM live WHERE filter_group = 'food' GROUP BY slug")
 def facet_stores(spark, d):
-    return search.store_facet(cache(spark, d), Search(AS_OF, group="food", store="supplier-000000007"))
+    return search.store_facet(offer_store.of_tables(spark, d).cache(AS_OF), Search(AS_OF, group="food", store="supplier-000000007"))
 
 
 @query("facet_groups", "SELECT filter_group, count(*) AS n FROM live WHERE slug = 'supplier-000000007' GROUP BY filter_group")
 def facet_groups(spark, d):
-    return search.group_facet(cache(spark, d), Search(AS_OF, group="food", store="supplier-000000007"))
+    return search.group_facet(offer_store.of_tables(spark, d).cache(AS_OF), Search(AS_OF, group="food", store="supplier-000000007"))
 
 
 @query("facet_cities", "SELECT city, count(*) AS n, count(DISTINCT store_id) AS stores FROM live WHERE region = 'ASIA' GROUP BY city")
@@ -115,7 +118,7 @@ def store_directory(spark, d):
 @query("top_per_store", """SELECT slug, product_id, offer_id, place FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY off_permille DESC, price_cents, offer_id) AS place
   FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY off_permille DESC, price_cents, offer_id) AS b FROM live) x WHERE b = 1) y WHERE place <= 3""")
 def top_per_store(spark, d):
-    return search.top_per_store(cache(spark, d), AS_OF, 3).select("slug", "product_id", "offer_id", "place")
+    return search.top_per_store(offer_store.of_tables(spark, d).cache(AS_OF), AS_OF, 3).select("slug", "product_id", "offer_id", "place")
 
 
 @query("product_comparison", "SELECT product_id, count(*) AS n, count(DISTINCT store_id) AS stores, min(price_cents) AS cheapest, max(price_cents) AS dearest FROM cache GROUP BY product_id HAVING count(DISTINCT store_id) > 1")
@@ -133,7 +136,8 @@ def saved_page(spark, d):
 @query("similar_labels", f"""SELECT label, other, permille FROM (SELECT a.label, b.label AS other, {SIM.format(TRI.format('a.label'), TRI.format('b.label'))} AS permille
   FROM (SELECT DISTINCT {fold('label')} AS label FROM products) a JOIN (SELECT DISTINCT {fold('label')} AS label FROM products) b ON a.label < b.label) x WHERE permille >= 100""")
 def similar_labels(spark, d):
-    return search.similar_labels(retail.products(spark, d), 100)
+    found = trigram_index.similar(offer_store.product_labels(spark, d), offer_store.folded_labels(spark, d).withColumnRenamed("text", "query"), 100)
+    return found.where("query < text").select(F.col("query").alias("label"), F.col("text").alias("other"), "permille")
 
 
 # Text and identity
@@ -477,4 +481,4 @@ def window_sessions(spark, d):
     return streams.sessions(retail.table(spark, d, "events"))
 
 
-from marketloom.plans import more  # noqa: E402, F401  registers its queries
+from marketloom.plans import extras, flows, more, searches  # noqa: E402, F401  register their queries

@@ -47,8 +47,12 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as offers; the id has five parts, as order and line alone are not unique."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return offers_of(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+
+
+def offers_of(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Lines, a table or a stream, as offers; the id has five parts, as order and line alone are not unique."""
+    orders = orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
     cents = "round(l_extendedprice * 100)::bigint"
     off, n = "round(l_discount * 100)::bigint", "l_quantity::bigint"
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -66,3 +70,9 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("list_id"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
     )
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their title; pages without one are left out."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title")).where("title <> ''")

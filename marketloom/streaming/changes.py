@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,24 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
 
 
+@contextmanager
+def state_store(spark: SparkSession, provider: str) -> Iterator[None]:
+    """Streams started inside keep their state with ``provider``, and run no batch without data.
+
+    Timers of processing time would else ask for empty batches for ever, and a
+    run over what is there now would not end; they fire with the next data.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": provider, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run ``stream`` over all that is there now and read what it wrote to the shared folder."""
     spark, at = stream.sparkSession, shared_folder(stream.sparkSession, "streams")
