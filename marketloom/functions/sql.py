@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketloom.functions.text import ACCENTED, PLAIN
 
+_FOLD = f"trim(regexp_replace(translate(lower(t), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]+', ' '))"
 #: Name, parameters, type and body of each scalar function.
 SCALARS = {
-    "fold_text": ("t STRING", "STRING", f"trim(regexp_replace(translate(lower(t), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]+', ' '))"),
+    "fold_text": ("t STRING", "STRING", _FOLD),
     "slug_text": ("t STRING", "STRING", "replace(fold_text(t), ' ', '-')"),
     "text_trigrams": (
         "t STRING",
@@ -18,7 +19,7 @@ SCALARS = {
     "similarity_permille": (
         "a STRING, b STRING",
         "BIGINT",
-        "(SELECT coalesce(bigint(floor(try_divide(s * 1000, size(x) + size(y) - s))), 0L) FROM (SELECT x, y, size(array_intersect(x, y)) AS s FROM (SELECT text_trigrams(a) AS x, text_trigrams(b) AS y)))",
+        "coalesce(bigint(floor(try_divide(size(array_intersect(text_trigrams(a), text_trigrams(b))) * 1000, size(array_union(text_trigrams(a), text_trigrams(b)))))), 0L)",
     ),
     "off_permille": ("price BIGINT, old BIGINT", "BIGINT", "CASE WHEN old > price THEN (old - price) * 1000 div old ELSE 0 END"),
 }
@@ -30,7 +31,7 @@ TABLES = {
         "SELECT o.offer_id, o.store_id, o.product_id, o.price_cents, o.old_cents, o.valid_from, o.valid_to FROM offers o JOIN stores s ON o.store_id = s.store_id AND s.is_active "
         "WHERE o.status = 'published' AND o.is_verified AND o.valid_to >= as_of AND o.valid_from <= date_add(as_of, 7)",
     ),
-    "offer_words": ("t STRING", "place INT, word STRING", "SELECT pos, col FROM posexplode(filter(split(fold_text(t), ' '), w -> w <> '')) AS p(pos, col)"),
+    "offer_words": ("t STRING", "place INT, word STRING", f"SELECT pos, col FROM posexplode(filter(split({_FOLD}, ' '), w -> w <> '')) AS p(pos, col)"),
 }
 
 

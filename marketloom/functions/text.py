@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,7 +25,13 @@ GROUP_RULES = (
 )
 # First words of labels too general to identify a product.
 GENERIC = "akce|ruzne|vybrane|nabidka|sleva"
-UNITS = {"kg": ("g", 1000), "g": ("g", 1), "l": ("ml", 1000), "ml": ("ml", 1), "ks": ("ks", 1)}
+# Units of a pack with the base unit they are counted in, and words for tablets.
+UNITS = {
+    "kg": ("g", "1000"), "g": ("g", "1"), "mg": ("g", "0.001"), "l": ("ml", "1000"), "cl": ("ml", "10"), "ml": ("ml", "1"),
+    "ks": ("ks", "1"), "kus": ("ks", "1"), "kusy": ("ks", "1"), "kusu": ("ks", "1"), "davka": ("davka", "1"), "davky": ("davka", "1"), "davek": ("davka", "1"),
+    "role": ("role", "1"), "roli": ("role", "1"), "rol": ("role", "1"), "baleni": ("bal", "1"),
+}
+TABLETS = "tableta|tablety|tablet|pastilka|pastilky|tobolka|tobolky|kapsle|draze"
 
 
 def fold(text: Column) -> Column:
@@ -50,18 +58,41 @@ def label_is_specific(text: Column) -> Column:
     return F.coalesce((F.length(folded) >= 3) & folded.rlike("[a-z]") & ~folded.rlike(rf"^({GENERIC})\b"), F.lit(False))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _trimmed(number: Column) -> Column:
+    """A decimal of some places as text, without zeros at its end."""
+    return F.regexp_replace(number.cast("string"), r"\.?0+$", "")
+
+
 def pack_size_key(text: Column) -> Column:
-    """Pack size in base units (``2x900 ml`` is ``1800ml``), by the last quantity; null if there is none."""
-    lowered = F.lower(text)
-    last = F.try_element_at(F.regexp_extract_all(lowered, F.lit(r"((?:[0-9]+ ?x ?)?[0-9]+(?:[,.][0-9]+)? ?(?:kg|g|ml|l|ks))\b"), 1), F.lit(-1))
-    many = F.regexp_extract(last, "^([0-9]+) ?x", 1)
-    times = F.when(many != "", many).otherwise("1").cast("bigint")
-    amount = F.replace(F.regexp_extract(last, r"([0-9]+(?:[,.][0-9]+)?) ?[a-z]+$", 1), F.lit(","), F.lit(".")).cast("decimal(18,3)")
-    unit = F.regexp_extract(last, "([a-z]+)$", 1)
-    base, scale = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    for name, (to, by) in UNITS.items():
-        base, scale = F.when(unit == name, F.lit(to)).otherwise(base), F.when(unit == name, F.lit(by).cast("bigint")).otherwise(scale)
-    return F.concat(F.floor(amount * scale * times).cast("bigint").cast("string"), base)
+    """Pack size in base units, by the first rule that fits; null if none does.
+
+    A count of tablets at the end of a medicine's title comes before its dose;
+    then the last ``2 x 900 ml``; then the last single quantity.
+    """
+    unit = rf"({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?:[^\p{{L}}]|$)"
+    base = F.create_map(*(F.lit(x) for name, (to, _) in UNITS.items() for x in (name, to)))
+    scale = F.create_map(*(F.lit(x).cast(t) for name, (_, by) in UNITS.items() for x, t in ((name, "string"), (by, "decimal(10,6)"))))
+
+    def last(plain: Column, pattern: str) -> Column:
+        return F.try_element_at(F.regexp_extract_all(plain, F.lit(pattern + unit), F.lit(0)), F.lit(-1))
+
+    def sized(found: Column) -> Column:
+        times = F.coalesce(F.nullif(F.regexp_extract(found, r"^([0-9]+)\s*[x×]", 1), F.lit("")), F.lit("1")).try_cast("decimal(18,0)")
+        amount = F.replace(F.regexp_extract(found, r"([0-9]+(?:[.,][0-9]+)?)\s*\p{L}+[^\p{L}]?$", 1), F.lit(","), F.lit(".")).try_cast("decimal(18,6)")
+        name = F.regexp_extract(found, r"(\p{L}+)[^\p{L}]?$", 1)
+        return F.concat(_trimmed((amount * times * F.try_element_at(scale, name)).cast("decimal(30,6)")), F.try_element_at(base, name))
+
+    def key(plain: Column) -> Column:
+        tablets = F.nullif(F.regexp_extract(plain, rf"(?:{TABLETS})[^0-9]{{0,40}}([0-9]{{1,4}})\s*$", 1), F.lit(""))
+        many, single = last(plain, r"[0-9]+\s*[x×]\s*[0-9]+(?:[.,][0-9]+)?\s*"), last(plain, r"[0-9]+(?:[.,][0-9]+)?\s*")
+        return F.coalesce(F.concat(tablets, F.lit("ks")), _once(F.coalesce(many, single), sized))
+
+    return _once(F.translate(F.lower(text), ACCENTED, PLAIN), key)
 
 
 def ordered_trigrams(folded: Column) -> Column:

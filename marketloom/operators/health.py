@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,10 @@ def recent_views(events: DataFrame, most: int = 30) -> DataFrame:
 def catalogue_coverage(cache: DataFrame) -> DataFrame:
     """Offers by filter group, and how many of them are discounted."""
     return cache.groupBy("filter_group").agg(F.count("*").alias("n"), F.count_if(F.col("old_cents") > F.col("price_cents")).alias("discounted"), F.countDistinct("store_id").alias("stores"))
+
+
+def due(sources: DataFrame, now: Column) -> DataFrame:
+    """Sources (``checked_at``, ``every_minutes``) to be read again: never read, or not for their interval (360 minutes unless said, 15 at least)."""
+    every = F.greatest(F.lit(15), F.coalesce(F.nullif(F.col("every_minutes"), F.lit(0)), F.lit(360)))
+    waited = F.unix_micros(now) - F.unix_micros(F.col("checked_at").cast("timestamp"))
+    return sources.where(F.col("checked_at").isNull() | (waited >= every.cast("bigint") * 60_000_000))

@@ -33,6 +33,12 @@ def url_score(url):
     return sum((F.when(url.rlike(p), n).otherwise(0) for p, n in points), F.lit(0)).cast("bigint")
 
 
+def document_candidates(links: DataFrame, least: int = 60) -> DataFrame:
+    """``url`` and ``score`` of links (``href``) worth opening: each canonical address once, at its best score of at least ``least``."""
+    scored = links.select(canonical_url(F.col("href")).alias("url"), url_score(F.col("href")).alias("score")).where(F.col("score") >= least)
+    return scored.groupBy("url").agg(F.max("score").alias("score"))
+
+
 def paragraphs(documents: DataFrame) -> DataFrame:
     """Lines of each document with their place, length and nearest earlier short line (its heading)."""
     line = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))

@@ -62,13 +62,7 @@ def without_outliers(offers: DataFrame, low: int = 40, high: int = 250, least: i
     return joined.where(fits).select(*offers.columns)
 
 
-def multibuy_cents(text, price_cents):
-    """Price of one piece where the text says what one costs when several are bought."""
-    each = F.regexp_extract(text, r"za 1 kus ([0-9]+)", 1)
-    return F.when(each != "", each.cast("bigint") * 100).otherwise(price_cents)
-
-
-def unit_price_fits(price_cents, grams, printed_per_kg_cents):
-    """Whether a printed price by kilogram agrees with price and amount, to 30 cents or 2 %."""
+def unit_price_fits(price_cents, grams, printed_per_kg_cents, least_cents=30):
+    """Whether a printed price by kilogram agrees with price and amount, to ``least_cents`` or 2 %; sources print with 30, 35 or 100."""
     computed = (price_cents * 1000 / grams).cast("bigint")
-    return F.abs(computed - printed_per_kg_cents) <= F.greatest(F.lit(30), printed_per_kg_cents * 2 / 100)
+    return F.abs(computed - printed_per_kg_cents) <= F.greatest(F.lit(least_cents), printed_per_kg_cents * 2 / 100)

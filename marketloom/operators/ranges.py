@@ -27,7 +27,9 @@ def within_tolerance(products: DataFrame, key: list[str], amount: str, percent:
     """Pairs of products of one ``key`` whose amounts differ by at most ``percent`` of the greater.
 
     Amounts are cut into bands as wide as the tolerance at their lower end, and
-    only neighbouring bands meet, so a large group is not compared with itself.
+    only neighbouring bands meet. Every pair comes out, so the result grows with
+    the square of a group of equal amounts; :func:`count_within_tolerance` gives
+    counts instead.
     """
     band = F.floor(F.log(F.col(amount).cast("double")) / F.log(F.lit(1 + percent / 100))).cast("bigint")
     rows = products.where(F.col(amount) > 0).select(*key, "product_id", F.col(amount).alias("amount"), band.alias("band"))
@@ -36,6 +38,21 @@ def within_tolerance(products: DataFrame, key: list[str], amount: str, percent:
     return rows.join(other, [*key, "band"]).where((F.col("product_id") < F.col("other_id")) & near).select("product_id", "other_id")
 
 
+def count_within_tolerance(products: DataFrame, key: list[str], amount: str, percent: int) -> DataFrame:
+    """``product_id`` and how many other products of its ``key`` have an amount within ``percent`` of the greater.
+
+    Equal amounts are one node with a count; nodes meet in neighbouring bands,
+    so what is joined grows with the different amounts, not with the products.
+    """
+    band = F.floor(F.log(F.col(amount).cast("double")) / F.log(F.lit(1 + percent / 100))).cast("bigint")
+    rows = products.where(F.col(amount) > 0)
+    nodes = rows.groupBy(*key, F.col(amount).alias("amount"), band.alias("band")).agg(F.count("*").alias("n"))
+    other = nodes.select(*key, F.col("amount").alias("other"), F.col("n").alias("m"), F.explode(F.array(*(F.col("band") + k for k in (-2, -1, 0, 1, 2)))).alias("band"))
+    near = F.abs(F.col("amount") - F.col("other")) * 100 <= F.greatest("amount", "other") * percent
+    counted = nodes.join(other, [*key, "band"]).where(near).groupBy(*key, "amount").agg((F.sum("m") - 1).alias("alike"))
+    return rows.select("product_id", *key, F.col(amount).alias("amount")).join(counted, [*key, "amount"]).select("product_id", "alike")
+
+
 def in_the_last(events: DataFrame, seconds: int) -> DataFrame:
     """Each event with how many of its user came in the ``seconds`` up to it, itself included."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))

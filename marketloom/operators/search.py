@@ -11,7 +11,7 @@ from marketloom.functions import tags
 from marketloom.functions.text import filter_group, fold, similarity_permille, trigrams
 
 HORIZON_DAYS = 7
-SORTS = ("recommended", "discount", "cheapest", "dearest", "newest", "ending")
+SORTS = ("recommended", "discount", "cheapest", "dearest", "newest", "ending", "saving", "name")
 MODES = ("all", "recommended", "food", "ending", "under50", "under100", "discount", "new")
 FUZZY_PERMILLE = 240
 
@@ -90,8 +90,9 @@ def matched(cache: DataFrame, s: Search, without: tuple[str, ...] = ()) -> DataF
         "group": s.group and F.col("filter_group") == s.group,
         "min_cents": s.min_cents and s.min_cents > 0 and F.col("price_cents") >= s.min_cents,
         "max_cents": s.max_cents and s.max_cents > 0 and F.col("price_cents") <= s.max_cents,
-        "region": s.region and ((F.col("coverage") == "national") | (F.col("region") == s.region)),
-        "city": s.city and (F.col("coverage").isin("national", "region") | (F.col("city") == s.city)),
+        # An offer without a scope, or without a place, holds everywhere.
+        "region": s.region and ((F.coalesce("coverage", F.lit("national")) == "national") | F.col("region").isNull() | (F.col("region") == s.region)),
+        "city": s.city and (F.coalesce("coverage", F.lit("national")).isin("national", "region") | F.col("city").isNull() | (F.col("city") == s.city)),
     }
     for name, test in tests.items():
         if test is not None and not isinstance(test, (str, bool, int)) and name not in without:
@@ -127,6 +128,8 @@ def order(s: Search) -> list[Column]:
         "dearest": [F.desc("price_cents")],
         "newest": [],
         "ending": [F.asc("valid_to")],
+        "saving": [F.greatest(F.coalesce("old_cents", F.lit(0)) - F.col("price_cents"), F.lit(0)).desc()],
+        "name": [F.asc_nulls_last("label")],
     }.get(s.sort, [F.desc("score")])
     first = {"discount": [F.desc("off_permille")], "new": [F.desc("published_at")]}.get(s.mode, [])
     return [F.asc("upcoming"), *first, *key, F.desc_nulls_last("published_at"), F.asc("offer_id")]

@@ -63,6 +63,8 @@ PAGES = {
     "page_dearest": (dict(sort="dearest"), "", "price_cents DESC"),
     "page_newest": (dict(sort="newest"), "", None),
     "page_ending": (dict(sort="ending"), "", "valid_to"),
+    "page_saving": (dict(sort="saving"), "", "greatest(coalesce(old_cents, 0) - price_cents, 0) DESC"),
+    "page_name": (dict(sort="name"), "", "label NULLS LAST"),
     "page_current_only": (dict(include_upcoming=False), "AND NOT upcoming", "score DESC"),
     "page_food": (dict(mode="food"), "AND filter_group = 'food'", "score DESC"),
     "page_mode_recommended": (dict(mode="recommended"), "AND score > 0", "score DESC"),
@@ -481,4 +483,4 @@ def window_sessions(spark, d):
     return streams.sessions(retail.table(spark, d, "events"))
 
 
-from marketloom.plans import extras, flows, more, searches  # noqa: E402, F401  register their queries
+from marketloom.plans import extras, flows, more, rules, searches  # noqa: E402, F401  register their queries
