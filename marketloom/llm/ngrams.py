@@ -134,7 +134,7 @@ def magnitudes(docs: DataFrame, text: str = "text", width: int = WIDTH, slots: i
     blobs = docs.select(F.col(f"`{text}`").cast("binary").alias("text")).mapInArrow(count, "part int, rest binary, n binary")
     found = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(weigh, "part int, slots binary")
     table = np.zeros((1 << part_bits, 1 << in_part), np.uint8)
-    for r in found.toLocalIterator():
+    for r in found.collect():  # SLOTS bytes in all
         table[r["part"]] = np.frombuffer(r["slots"], np.uint8)
     return spark.sparkContext.broadcast(table.ravel())
 
@@ -358,12 +358,16 @@ def similar_classes(docs: DataFrame, keep: list[str], text: str = "text", width:
             cells, read = _cells(met, labels)
             joined = materialise(_class_pairs(cells, percent, nearest))
             release(*read)
+        scratch.append(joined)
+        if nearest is not None and joined.isEmpty():
+            break  # no two classes are left that could be joined
         same = comparison.links(joined)
+        if nearest is not None and same.isEmpty():
+            continue
         links = connected_components(same if links is None else links.unionByName(same))
-        scratch += [links, joined]
         named = links.select(F.col("u").alias("key"), F.col("v").alias("label"))
         labels = materialise(nodes.select("key").join(named, "key", "left").select("key", F.coalesce("label", "key").alias("label")))
-        scratch.append(labels)
+        scratch += [links, labels]
     of_class = nodes.select("key", "least").join(labels, "key")
     least = of_class.groupBy("label").agg(F.min("least").alias("component"))
     classes = materialise(labels.join(least, "label").select("key", "component"))
