@@ -14,6 +14,8 @@ edge of it fails, a second forest joins the groups found so far by their nearest
 codes, and then all other pairs of that bucket between groups still different
 are compared too. So a group of near copies costs a few times as many
 comparisons as it has members, and yet no pair is lost that all would link.
+Where bodies are short the last pairs are compared in the task in which their
+members meet, each in one of the buckets they share, and only links leave it.
 """
 
 from __future__ import annotations
@@ -222,6 +224,75 @@ def _other_pairs(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, ma
     return pairs
 
 
+def _several(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (``node``, ``fp``, ``bucket``, ``grp``) of the ``doubtful`` buckets, and those buckets (with ``m`` members) that still hold several groups."""
+    member = signed.select("node", "fp", F.explode("keys").alias("bucket")).join(sent(doubtful, 24 * doubtful.count()), "bucket", "left_semi")
+    member = materialise(member.join(group_of, "node", "left").select("node", "fp", "bucket", F.coalesce("grp", "node").alias("grp")))
+    found = member.groupBy("bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("m")).where("low <> high")
+    return member, materialise(found.select("bucket", "m"))
+
+
+_CELL = ("bucket", "kind", "x", "y")
+
+
+def _met(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, bodies: Callable[[DataFrame], DataFrame], similar: Callable[[bytes, bytes], bool], max_bits: int) -> DataFrame:
+    """Links (``u``, ``v``) between members of different groups of the ``doubtful`` buckets, compared where they meet.
+
+    In a large bucket the members of its greatest group meet the others only,
+    which are dealt by pairs of salts; so what moves is in proportion to the
+    members outside the greatest group. Two members that share several buckets
+    are compared in the least of them.
+    """
+    member, several = _several(signed, doubtful, group_of)
+    here = member.join(several, "bucket")
+    half = BUCKET_ROWS // 2
+    of_group = here.where(F.col("m") > BUCKET_ROWS).groupBy("bucket", "m", "grp").agg(F.count("*").alias("k"))
+    greatest = of_group.groupBy("bucket", "m").agg(F.max_by("grp", "k").alias("greatest"), F.max("k").alias("k"))
+    salts = materialise(greatest.select("bucket", "greatest", F.ceil(F.col("k") / half).cast("int").alias("ka"), F.ceil((F.col("m") - F.col("k")) / half).cast("int").alias("kb")))
+    placed = here.join(salts, "bucket", "left").withColumn("main", F.coalesce(F.col("grp") == F.col("greatest"), F.lit(False)))
+    hashed = F.xxhash64("node", "bucket")
+    placed = placed.withColumns({"sa": F.pmod(hashed, F.col("ka")).cast("int"), "sb": F.pmod(hashed, F.col("kb")).cast("int")})
+    cells = F.expr("""case when ka is null then array(struct(0 as kind, 0 as x, 0 as y))
+      when main then transform(sequence(0, kb - 1), b -> struct(1 as kind, b as x, sa as y))
+      else concat(transform(sequence(0, ka - 1), a -> struct(1 as kind, sb as x, a as y)), transform(sequence(0, kb - 1), b -> struct(0 as kind, least(b, sb) as x, greatest(b, sb) as y))) end""")
+    owned = here.groupBy("node").agg(F.collect_set("bucket").alias("own"))
+    known = materialise(bodies(owned.select("node")).join(owned, "node"))
+    rows = placed.select("node", "fp", "grp", "main", "bucket", F.inline(cells)).join(known, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, _CELL):
+            starts = group_starts(table, _CELL)
+            for a, b in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
+                if b - a < 2:
+                    continue
+                cell = table.slice(int(a), int(b - a)).combine_chunks()
+                code = cell.column("fp").to_numpy().view(np.uint64)
+                order = np.argsort(gray_order(code))
+                cell, code = cell.take(pa.array(order)), code[order]
+                bucket, crossed = cell.column("bucket")[0].as_py(), cell.column("kind")[0].as_py() == 1
+                main, label = (cell.column(n).to_numpy(zero_copy_only=False) for n in ("main", "grp"))
+                label = np.unique(label, return_inverse=True)[1]
+                body, own = cell.column("body").to_pylist(), [frozenset(x) for x in cell.column("own").to_pylist()]
+                found: tuple[list[int], list[int]] = [], []
+                for i, j in near_pairs(code, np.zeros(1, np.int64), max_bits):
+                    apart = label[i] != label[j]
+                    if crossed:
+                        apart &= main[i] != main[j]
+                    for p, q in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+                        if label[p] != label[q] and min(own[p] & own[q]) == bucket and similar(body[p], body[q]):
+                            label[label == label[q]] = label[p]
+                            found[0].append(p)
+                            found[1].append(q)
+                if found[0]:
+                    key = cell.column("key").combine_chunks()
+                    yield pa.RecordBatch.from_arrays([key.take(pa.array(found[0])), key.take(pa.array(found[1]))], ["u", "v"])
+
+    links = rows.repartition(*_CELL).sortWithinPartitions(*_CELL).select(*_CELL, "fp", "grp", "main", "own", "key", "body").mapInArrow(run, "u binary, v binary")
+    same = materialise(links.distinct())
+    release(member, several, salts, known)
+    return same
+
+
 def _compared(pairs: DataFrame, bodies: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
     """``a``, ``b``, their keys ``u``, ``v``, and whether they are ``similar``."""
 
@@ -243,44 +314,68 @@ def _same(tested: DataFrame) -> DataFrame:
     return tested.where("same").select("u", "v")
 
 
-def linked(signed: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], similar: Callable[[bytes, bytes], bool], max_bits: int) -> DataFrame:
+def linked(signed: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], similar: Callable[[bytes, bytes], bool], max_bits: int, short: bool = False) -> DataFrame:
     """``key`` and ``group`` (the least key) of each member of a class of similar bags.
 
     ``signed`` has ``node`` (64 bits of the key), ``fp`` and ``keys`` (buckets),
     once for each node; ``fetch`` gives ``node``, ``key`` and ``body`` of the
     nodes asked for, of which there are as many as it is told at most; only
-    these bodies are moved.
+    these bodies are moved. ``short``: bodies are short enough to go to each
+    bucket in which the last pairs are compared.
     """
     edges, hot = candidate_forest(signed, max_bits)
     wanted = materialise(_nodes_of(edges))
-    bodies = materialise(fetch(wanted, wanted.count()))
-    tested = _compared(edges.select("a", "b").distinct(), bodies, similar)
-    links = connected_components(_same(tested))
-    failed = edges.join(tested.where("not same").select("a", "b"), ["a", "b"]).select("bucket")
+    held = [materialise(fetch(wanted, wanted.count()))]
+    rounds = [_compared(edges.select("a", "b").distinct(), held[0], similar)]
+    links = connected_components(_same(rounds[0]))
+    scratch = [edges, hot, wanted, links]
+
+    def bodies(nodes: DataFrame) -> DataFrame:
+        """Bodies of ``nodes``, as far as they are not held yet."""
+        more = materialise(nodes.join(_union(held).select("node"), "node", "left_anti"))
+        if not more.isEmpty():
+            held.append(materialise(fetch(more, more.count())))
+        release(more)
+        return _union(held)
+
+    def grouped() -> DataFrame:
+        key_of = _union(held).select("node", F.col("key").alias("u"))
+        return materialise(key_of.join(links, "u", "left").select("node", F.xxhash64(F.coalesce("v", "u")).alias("grp")).dropDuplicates(["node"]))
+
+    failed = edges.join(rounds[0].where("not same").select("a", "b"), ["a", "b"]).select("bucket")
     pure = hot.isEmpty()
-    if not pure or not tested.where("not same").isEmpty():
-        doubtful = None
+    if not pure or not rounds[0].where("not same").isEmpty():
+        group_of = grouped()
+        if not pure:
+            large = signed.select("node", F.explode("keys").alias("bucket")).join(hot, "bucket").join(group_of, "node", "left")
+            grp = F.coalesce("grp", "node")
+            several = large.groupBy("bucket").agg(F.min(grp).alias("low"), F.max(grp).alias("high")).where("low <> high")
+            failed = failed.unionByName(several.select("bucket"))
+        doubtful = materialise(failed.distinct())
+        scratch.append(doubtful)
         for nearest in (True, False):
-            key_of = bodies.select("node", F.col("key").alias("u"))
-            group_of = materialise(key_of.join(links, "u", "left").select("node", F.xxhash64(F.coalesce("v", "u")).alias("grp")).dropDuplicates(["node"]))
-            if doubtful is None:
-                if not pure:
-                    large = signed.select("node", F.explode("keys").alias("bucket")).join(hot, "bucket").join(group_of, "node", "left")
-                    grp = F.coalesce("grp", "node")
-                    several = large.groupBy("bucket").agg(F.min(grp).alias("low"), F.max(grp).alias("high")).where("low <> high")
-                    failed = failed.unionByName(several.select("bucket"))
-                doubtful = materialise(failed.distinct())
-            others = _other_pairs(signed, doubtful, group_of, max_bits, nearest)
-            others = others.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            more = materialise(_nodes_of(others).join(bodies, "node", "left_anti"))
-            if not more.isEmpty():
-                bodies = bodies.unionByName(materialise(fetch(more, more.count())))
-            again = _compared(others, bodies, similar)
-            same = _same(again)
+            if nearest or not short:
+                others = _other_pairs(signed, doubtful, group_of, max_bits, nearest)
+                new = others.join(_union(rounds).select("a", "b"), ["a", "b"], "left_anti")
+                rounds.append(_compared(new, bodies(_nodes_of(new)), similar))
+                same = _same(rounds[-1])
+                scratch.append(others)
+            else:
+                same = _met(signed, doubtful, group_of, bodies, similar, max_bits)
+                scratch.append(same)
+            scratch.append(group_of)
             if not same.isEmpty():
                 links = connected_components(links.unionByName(same))
-            tested = tested.unionByName(again)
-            release(group_of, more)
-        release(doubtful)
-    release(edges, wanted)
-    return links.select(F.col("u").alias("key"), F.col("v").alias("group")).unionByName(links.select(F.col("v").alias("key"), F.col("v").alias("group")).distinct())
+                scratch.append(links)
+            if nearest:
+                group_of = grouped()
+    classes = materialise(links.select(F.col("u").alias("key"), F.col("v").alias("group")).unionByName(links.select(F.col("v").alias("key"), F.col("v").alias("group")).distinct()))
+    release(*scratch, *held, *rounds)
+    return classes
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out

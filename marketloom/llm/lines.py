@@ -299,7 +299,7 @@ def removed_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     place = F.struct("doc_id", "row_hash", "line_no")
     nodes = materialise(rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("node").alias("node")))
     signed = materialise(rows.where(F.size("keys") > 0).select("node", "fp", "keys").dropDuplicates(["node"]))
-    classes = linked(signed, lambda wanted, most: _bodies(docs, ident, text, nodes, wanted, most), edit_similar, MAX_BITS)
+    classes = linked(signed, lambda wanted, most: _bodies(docs, ident, text, nodes, wanted, most), edit_similar, MAX_BITS, short=True)
     members = materialise(classes.join(nodes, "key").select("key", "group", "first"))
     kept = materialise(members.groupBy("group").agg(F.min("first").alias("kept")))
     grouped = members.join(kept, "group").select("key", "kept")
@@ -307,7 +307,7 @@ def removed_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     doubtful = grouped.unionByName(repeated)
     cut = rows.join(doubtful, "key").where(~place.eqNullSafe(F.col("kept")))
     removed = materialise(cut.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_list("line_no")).alias("removed")))
-    release(rows, nodes, signed, members, kept)
+    release(rows, nodes, signed, classes, members, kept)
     return removed
 
 

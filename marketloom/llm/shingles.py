@@ -93,12 +93,12 @@ def drop_similar(docs: DataFrame, ident: str = "doc_id", text: str = "text", wid
     def similar(a: bytes, b: bytes) -> bool:
         return similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least
 
-    classes = linked(signed, fetch, similar, MAX_BITS)
-    members = materialise(classes.join(nodes, "key").select("key", "group", F.col("least").alias("own")))
+    linked_keys = linked(signed, fetch, similar, MAX_BITS)
+    members = materialise(linked_keys.join(nodes, "key").select("key", "group", F.col("least").alias("own")))
     named = materialise(members.groupBy("group").agg(F.min("own").alias("named")))
     of_key = members.join(named, "group").select("key", "named")
     classes = materialise(nodes.join(of_key, "key", "left").select("key", F.coalesce("named", "least").alias("first")))
     marked = rows.select("row", "key").join(classes, "key")
     stays = materialise(marked.select("row.ident", "row.hash", (F.col("row") == F.col("first")).alias("stays")))
-    release(rows, nodes, signed, members, named, classes)
+    release(rows, nodes, signed, linked_keys, members, named, classes)
     return drop_marked(docs, stays, ident, text)

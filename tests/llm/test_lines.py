@@ -119,3 +119,26 @@ def test_short_lines_are_linked_if_equal(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
     assert got == {1: rows[0][1], 2: " \n--\nbeta", 3: rows[2][1], 4: ""}
+
+
+def test_pairs_compared_where_they_meet_or_moved(spark, monkeypatch):
+    """A family of lines about the bound, in small cells: the same lines go whether pairs are moved or compared in their cells."""
+    from marketloom.llm import blocks
+
+    rng = np.random.default_rng(17)
+    rows = []
+    for family, changed in ((60, 3), (40, 4), (30, 1)):
+        base = [f"word{x}" for x in rng.integers(0, 10**6, 18)]
+        for _ in range(family):
+            words = list(base)
+            for at in rng.choice(18, changed, replace=False):
+                words[at] = f"other{rng.integers(0, 10**6)}"
+            rows.append((len(rows), "own line " + str(rng.integers(0, 10**9)) + "\n" + " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(blocks, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(blocks, "SAMPLED", 1)
+    there = {r.doc_id: r.removed for r in lines.removed_lines(docs).collect()}
+    real = lines.linked
+    monkeypatch.setattr(lines, "linked", lambda *a, short: real(*a))
+    moved = {r.doc_id: r.removed for r in lines.removed_lines(docs).collect()}
+    assert there == moved and 30 < len(there) < 130
