@@ -81,4 +81,17 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT * FROM r WHERE part = 'pair' OR rank <= 200
 """
 
-SQL = {"op12_divergence": DIVERGENCE, "op6_warc": WARC, "op7_quality": QUALITY, "op8_url_filter": URLS}
+NGRAMS = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+k AS MATERIALIZED (SELECT s.rid, s.g FROM s JOIN (SELECT g FROM s GROUP BY g HAVING count(*) > 1) m ON s.g = m.g),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS both_have FROM k a JOIN k b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * both_have >= 85 * (a.n + b.n - both_have)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(rid, least_rid) AS (SELECT rid, rid FROM d UNION SELECT e.y, r.least_rid FROM r JOIN e ON e.x = r.rid WHERE r.least_rid < e.y),
+c AS (SELECT rid, min(least_rid) AS least_rid FROM r GROUP BY rid)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, o.doc_id AS component_id FROM d JOIN c ON c.rid = d.rid JOIN d o ON o.rid = c.least_rid LEFT JOIN n ON n.rid = d.rid
+"""
+
+SQL = {"op11_ngram_join": NGRAMS, "op12_divergence": DIVERGENCE, "op6_warc": WARC, "op7_quality": QUALITY, "op8_url_filter": URLS}
