@@ -355,6 +355,11 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], simi
         scratch.append(doubtful)
         for nearest in (True, False):
             if nearest or not short:
+                if not nearest:  # buckets whose groups have been joined need no more pairs
+                    member, still = _several(signed, doubtful, group_of)
+                    doubtful = still.select("bucket")
+                    release(member)
+                    scratch.append(still)
                 others = _other_pairs(signed, doubtful, group_of, max_bits, nearest)
                 new = others.join(_union(rounds).select("a", "b"), ["a", "b"], "left_anti")
                 rounds.append(_compared(new, bodies(_nodes_of(new)), similar))
