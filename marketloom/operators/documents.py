@@ -56,3 +56,40 @@ def evident(found: DataFrame, least_cents: int = 1000, most_cents: int = 10_000_
     computed = F.round((F.col("old_cents") - F.col("price_cents")) / F.col("old_cents") * 100).cast("int")
     sound = F.col("href").isNotNull() & (F.length("title") >= 3) & F.col("price_cents").between(least_cents, most_cents) & (F.col("old_cents") > F.col("price_cents"))
     return found.withColumn("computed", computed).where(sound & ~F.col("conditional") & (F.abs(F.col("shown") - F.col("computed")) <= 1)).drop("conditional")
+
+
+# Raised digits and the plain ones.
+RAISED, DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789"
+
+
+def raised_cents(text: Column) -> Column:
+    """Cents of a price whose hundredths are printed raised: ``12⁹⁰`` is 1290; null if the text has none."""
+    found = F.regexp_extract(text, f"([0-9]{{1,6}})\\s*([{RAISED}]{{2}})", 0)
+    return F.nullif(F.regexp_replace(F.translate(found, RAISED, DIGITS), "\\s", ""), F.lit("")).try_cast("bigint")
+
+
+def blank_line_paragraphs(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep``, and ``place`` (from 0) and ``paragraph`` of each run of lines between blank ones, outer space dropped."""
+    parts = F.filter(F.transform(F.split(F.col(text), "\n[ \t\r]*(?:\n[ \t\r]*)+"), lambda p: F.regexp_replace(p, "^\\s+|\\s+$", "")), lambda p: p != "")
+    return documents.select(*keep, F.posexplode(parts).alias("place", "paragraph"))
+
+
+#: Columns of a recogniser's table, as far as they are used; level 5 is a word.
+TSV = "level int, page bigint, word bigint, `left` bigint, top bigint, confidence double, text string"
+
+
+def recognised_words(tables: DataFrame, body: str = "tsv") -> DataFrame:
+    """Words out of tab-separated tables (one for each page, with a heading): ``page_id``, ``word_id``, place, whole ``confidence``, ``text``.
+
+    Lines that are no word, hold no text, or were not recognised (below 0) are left out.
+    """
+    line = tables.select(F.explode(F.slice(F.split(body, "\n"), 2, 1 << 30)).alias("line")).where(F.trim("line") != "")
+    row = line.select(F.from_csv("line", TSV, {"sep": "\t", "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    words = row.where((F.col("level") == 5) & (F.trim("text") != "") & (F.col("confidence") >= 0))
+    return words.select(F.col("page").alias("page_id"), F.col("word").alias("word_id"), "left", "top", F.floor("confidence").cast("bigint").alias("confidence"), "text")
+
+
+def json_words(pages: DataFrame, body: str = "body") -> DataFrame:
+    """The same out of JSON: ``{"page": .., "words": [{"id", "x", "y", "conf", "t"}, ..]}``; what can't be read has none."""
+    doc = F.from_json(body, "page bigint, words array<struct<id: bigint, x: bigint, y: bigint, conf: bigint, t: string>>")
+    return pages.select(doc.alias("d")).select(F.col("d.page").alias("page_id"), F.explode("d.words").alias("w")).select("page_id", F.col("w.id").alias("word_id"), F.col("w.x").alias("left"), F.col("w.y").alias("top"), F.col("w.conf").alias("confidence"), F.col("w.t").alias("text"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import sql
 from marketloom.functions.text import metres
-from marketloom.operators import coverage, documents, scenarios, trigram_index
+from marketloom.operators import coverage, documents, parsers, scenarios, trigram_index
 from marketloom.plans.base_sql import fold
 from marketloom.plans.more import _FAR
-from marketloom.plans.registry import HOME, SIM, TRI, live, query
-from marketloom.sources import offer_store, retail
+from marketloom.plans.registry import _WORDS, HOME, SIM, TRI, live, query, words
+from marketloom.sources import offer_store, retail, sitemap
+from marketloom.sources.folders import shared_folder
 from marketloom.sources.retail import AS_OF
 
 #: Branches within so many kilometres of HOME are the chosen ones.
@@ -150,3 +151,51 @@ def words_in_sql(spark, d):
     sql.register(spark, retail.offers(spark, d), retail.stores(spark, d))
     retail.products(spark, d).createOrReplaceTempView("products")
     return spark.sql("SELECT word, count(*) AS n FROM products, LATERAL offer_words(label) GROUP BY word")
+
+
+@query("raised_prices", " SELECT product_id, CASE WHEN product_id % 3 <> 0 AND retail_cents < 100000000 THEN retail_cents END AS cents FROM products")
+def raised_prices(spark, d):
+    """Prices of leaflet lines that print hundredths raised; every third line has none."""
+    raised = F.translate(F.lpad((F.col("retail_cents") % 100).cast("string"), 2, "0"), documents.DIGITS, documents.RAISED)
+    whole = F.floor(F.col("retail_cents") / 100).cast("string")
+    line = F.concat(F.col("label"), F.lit(" jen "), whole, F.when(F.col("product_id") % 3 == 0, F.lit(" Kč")).when(F.col("product_id") % 3 == 1, raised).otherwise(F.concat(F.lit(" "), raised, F.lit(" Kč"))))
+    return retail.products(spark, d).select("product_id", documents.raised_cents(line).alias("cents"))
+
+
+@query("text_paragraphs", r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r]*(?:\n[ \t\r]*)+'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS t FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, k::INTEGER AS place, md5(t[k + 1]) AS digest FROM (SELECT doc_id, t, unnest(range(0, len(t))) AS k FROM p) x""", base=False)
+def text_paragraphs(spark, d):
+    """Paragraphs of documents between blank lines, in their order, by digest."""
+    found = documents.blank_line_paragraphs(retail.table(spark, d, "documents"), ["doc_id"])
+    return found.select("doc_id", "place", F.md5("paragraph").alias("digest"))
+
+
+_LINES = """SELECT page_id, (top + 2) // 4 * 4 AS y, min("left") AS x_min, max("left") AS x_max, count(*) AS n_words, CAST(sum(confidence) // count(*) AS BIGINT) AS confidence, string_agg(text, ' ' ORDER BY "left", text) AS line FROM ({0}) w GROUP BY page_id, y"""
+
+
+@query("recognised_lines", _LINES.format(_WORDS), base=False)
+def recognised_lines(spark, d):
+    """Words of tab-separated tables, one for each page, joined to lines."""
+    rows = words(spark, d)
+    line = F.concat_ws("\t", F.lit(5), "page_id", "word_id", "left", "top", F.concat("confidence", F.lit(".5")), "text")
+    noise = F.concat_ws("\t", F.lit(4), "page_id", F.lit(0), F.lit(1), F.lit(2), F.lit(-1), F.lit(""))
+    tables = rows.groupBy("page_id").agg(F.concat_ws("\n", F.lit("level\tpage\tword\tleft\ttop\tconf\ttext"), F.first(noise), F.array_join(F.collect_list(line), "\n"), F.lit("")).alias("tsv"))
+    return parsers.word_lines(documents.recognised_words(tables))
+
+
+@query("lines_from_json", _LINES.format(_WORDS), base=False)
+def lines_from_json(spark, d):
+    """The same words out of JSON, one document for each page."""
+    one = F.struct(F.col("word_id").alias("id"), F.col("left").alias("x"), F.col("top").alias("y"), F.col("confidence").alias("conf"), F.col("text").alias("t"))
+    bodies = words(spark, d).groupBy("page_id").agg(F.collect_list(one).alias("words")).select(F.to_json(F.struct(F.col("page_id").alias("page"), "words")).alias("body"))
+    return parsers.word_lines(documents.json_words(bodies))
+
+
+@query("sitemap", f" SELECT 'https://shop.example/product/' || product_id || '?a=1&b=2' AS loc, strftime(max(valid_to), '%Y-%m-%d') AS lastmod, CASE WHEN bool_or(valid_to >= DATE '{AS_OF}') THEN '0.8' ELSE '0.3' END AS priority FROM cache GROUP BY product_id")
+def sitemap_query(spark, d):
+    """The addresses of products that were ever on offer, written as a sitemap and read back."""
+    last = offer_store.of_tables(spark, d).cache().groupBy("product_id").agg(F.max("valid_to").alias("lastmod"))
+    live_now = F.when(F.col("lastmod") >= F.lit(AS_OF).cast("date"), 0.8).otherwise(0.3)
+    at = shared_folder(spark, "sitemap")
+    sitemap.write(last.select(F.concat(F.lit("https://shop.example/product/"), F.col("product_id").cast("string"), F.lit("?a=1&b=2")).alias("loc"), "lastmod", live_now.alias("priority")), at)
+    return sitemap.read(spark, at)

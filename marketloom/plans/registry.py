@@ -258,12 +258,12 @@ def nearby_stores(spark, d):
     return baskets.nearby(retail.stores(spark, d), HOME, 100)
 
 
-@query("merged_lists", ITEMS + """ SELECT list_id, product_id, greatest(a.quantity, b.quantity) AS quantity, CASE WHEN b.quantity IS NULL THEN 'local' WHEN a.quantity IS NULL THEN 'remote' ELSE 'both' END AS origin
-  FROM (SELECT * FROM items WHERE product_id % 3 <> 0) a FULL JOIN (SELECT list_id, product_id, quantity + product_id % 2 AS quantity FROM items WHERE product_id % 5 <> 0) b USING (list_id, product_id)""")
+@query("merged_lists", """, ours AS (SELECT list_id, product_id, sum(quantity)::BIGINT AS quantity FROM offers WHERE is_verified GROUP BY ALL), theirs AS (SELECT list_id, product_id, sum(quantity)::BIGINT AS quantity FROM offers WHERE coverage <> 'national' GROUP BY ALL)
+  SELECT list_id, product_id, greatest(a.quantity, b.quantity) AS quantity, CASE WHEN b.quantity IS NULL THEN 'local' WHEN a.quantity IS NULL THEN 'remote' ELSE 'both' END AS origin FROM ours a FULL JOIN theirs b USING (list_id, product_id)""")
 def merged_lists(spark, d):
-    items = baskets.items(retail.offers(spark, d))
-    theirs = items.where("product_id % 5 <> 0").withColumn("quantity", F.expr("quantity + product_id % 2"))
-    return baskets.merged_lists(items.where("product_id % 3 <> 0"), theirs)
+    """Lists as two devices have them: one knows the verified lines, the other those of a place."""
+    offers = retail.offers(spark, d)
+    return baskets.merged_lists(baskets.items(offers.where("is_verified")), baskets.items(offers.where("coverage <> 'national'")))
 
 
 TYPICAL = f""", typical AS (SELECT product_id, CAST(median(price_cents) * 2 AS BIGINT) AS double_median, min(price_cents) AS min_90, min(price_cents) FILTER (WHERE valid_from > DATE '{AS_OF}' - 30) AS min_30, count(*) AS seen
@@ -293,19 +293,26 @@ def without_outliers(spark, d):
 
 # Lifecycle and alerts
 
-@query("snapshot_diff", """SELECT offer_id, CASE WHEN a.p IS NULL THEN 'insert' WHEN b.p IS NULL THEN 'expire' WHEN a.p = b.p THEN 'keep' ELSE 'update' END AS change
-  FROM (SELECT offer_id, price_cents AS p FROM cache WHERE product_id % 4 <> 0) a FULL JOIN (SELECT offer_id, price_cents + CASE WHEN product_id % 7 = 0 THEN 1 ELSE 0 END AS p FROM cache WHERE product_id % 5 <> 0) b USING (offer_id)""")
+#: Two snapshots of a catalogue: the least price of each product among the offers that ended before a day, and among the others.
+SNAPSHOTS = f", old AS (SELECT product_id, min(price_cents) AS p FROM cache WHERE valid_to < DATE '{AS_OF}' GROUP BY 1), new AS (SELECT product_id, min(price_cents) AS p FROM cache WHERE valid_to >= DATE '{AS_OF}' GROUP BY 1)"
+
+
+def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    over = F.col("valid_to") < F.lit(AS_OF).cast("date")
+    least = lambda test: cache(spark, d).where(test).groupBy("product_id").agg(F.min("price_cents").alias("price_cents"))
+    return least(over), least(~over)
+
+
+@query("snapshot_diff", SNAPSHOTS + " SELECT product_id, CASE WHEN old.p IS NULL THEN 'insert' WHEN new.p IS NULL THEN 'expire' WHEN old.p = new.p THEN 'keep' ELSE 'update' END AS change FROM old FULL JOIN new USING (product_id)")
 def snapshot_diff(spark, d):
-    c = cache(spark, d).select("offer_id", "product_id", "price_cents")
-    new = c.where("product_id % 5 <> 0").withColumn("price_cents", F.expr("price_cents + if(product_id % 7 = 0, 1, 0)"))
-    return lifecycle.diff(c.where("product_id % 4 <> 0"), new, ["offer_id"], ["price_cents"])
+    old, new = snapshots(spark, d)
+    return lifecycle.diff(old, new, ["product_id"], ["price_cents"])
 
 
-@query("publish_snapshot", """SELECT offer_id, price_cents, 'published' AS status FROM cache WHERE product_id % 5 <> 0 UNION ALL
-  SELECT offer_id, price_cents, 'expired' FROM cache WHERE product_id % 4 <> 0 AND product_id % 5 = 0""")
+@query("publish_snapshot", SNAPSHOTS + " SELECT product_id, p AS price_cents, 'published' AS status FROM new UNION ALL SELECT product_id, p, 'expired' FROM old WHERE product_id NOT IN (SELECT product_id FROM new)")
 def publish_snapshot(spark, d):
-    c = cache(spark, d).select("offer_id", "product_id", "price_cents")
-    return lifecycle.publish(c.where("product_id % 4 <> 0"), c.where("product_id % 5 <> 0"), ["offer_id"], 1).select("offer_id", "price_cents", "status")
+    old, new = snapshots(spark, d)
+    return lifecycle.publish(old, new, ["product_id"], 1).select("product_id", "price_cents", "status")
 
 
 @query("expire_offers", f"SELECT CASE WHEN status = 'published' AND valid_to < DATE '{AS_OF}' THEN 'expired' ELSE status END AS status, count(*) AS n, sum(price_cents)::BIGINT AS cents FROM offers GROUP BY 1")
@@ -352,10 +359,12 @@ def favourites_matched(spark, d):
 
 
 @query("alerts_unsent", ALERTS + """, hits AS (SELECT DISTINCT m.user_id, m.product_id, l.offer_id, l.price_cents FROM merged m JOIN live l ON m.product_id = l.product_id AND l.price_cents <= m.target_cents AND (m.store_id IS NULL OR m.store_id = l.store_id))
-  SELECT * FROM hits WHERE user_id % 3 <> 0""")
+  SELECT * FROM hits WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
 def alerts_unsent(spark, d):
+    """Alerts not yet told; the customers of one segment have been."""
     hits = alerts_matched(spark, d)
-    return alerts.unsent(hits, hits.where("user_id % 3 = 0").select("user_id", "offer_id", "price_cents"))
+    told = retail.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    return alerts.unsent(hits, hits.join(told, "user_id", "left_semi").select("user_id", "offer_id", "price_cents"))
 
 
 @query("retryable", "SELECT event_id, user_id FROM events WHERE event_type = 'error' AND epoch(TIMESTAMP '2024-01-20 12:00:00') - floor(epoch(ts)) BETWEEN 300 AND 21600 AND event_id % 7 < 5", base=False)
