@@ -14,6 +14,8 @@ from marketloom.llm.storage import materialise, release
 
 #: Edges of a task that are contracted at once.
 CONTRACTED = 1 << 20
+#: So many edges at most are united by one task, which then sees all that are left; more are spread over rounds.
+LAST = 1 << 15
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -81,6 +83,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     however large its component, and most components are done. For the rest
     every round is a few joins and partial aggregations, written to the shared
     folder, so lineage stays short and no component is gathered anywhere. The
+    last few edges, at most ``LAST``, are united in one task. The
     least neighbours are written before they are joined: both sides of that
     join are then plain exchanges, which adaptive execution can split where one
     node has very many edges.
@@ -92,6 +95,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     e = met(edges.where("u <> v"))
     while not _are_stars(e):
+        if e.count() <= LAST:
+            last = materialise(contracted(e.coalesce(1)))
+            release(e)
+            return last
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         # Large star: neighbours above a node move to its least neighbour.

@@ -135,3 +135,18 @@ def test_components_of_paths_stars_and_loops(spark, monkeypatch):
     pairs = {bytes(r.u): bytes(r.v) for r in components.connected_components(keyed).collect()}
     assert len(pairs) == len(want)
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).isEmpty()
+
+
+def test_components_in_rounds_and_at_once(spark, monkeypatch):
+    """Paths, stars and cliques: the same components whether the last edges are united at once or by rounds alone."""
+    from marketloom.llm import components
+
+    rng = np.random.default_rng(9)
+    ids = rng.permutation(2000).tolist()
+    edges = [(ids[k], ids[k + 1]) for k in range(600)] + [(ids[700], ids[k]) for k in range(701, 900)] + [(ids[a], ids[b]) for a in range(1000, 1020) for b in range(1000, a)]
+    table = spark.createDataFrame(edges + edges[:50], "u long, v long").repartition(5)
+    want = components.least_reached(2000, np.array([u for u, _ in edges]), np.array([v for _, v in edges]))
+    for last in (1 << 15, 0):
+        monkeypatch.setattr(components, "LAST", last)
+        got = {r.u: r.v for r in components.connected_components(table).collect()}
+        assert got == {u: int(v) for u, v in enumerate(want) if u != v}
