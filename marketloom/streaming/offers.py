@@ -3,13 +3,15 @@
 State per offer is its last version. A new version is told if it can be seen
 now and differs from the one before in one of eight ways. A timer of processing
 time, set anew by every version, tells of an offer whose source has gone quiet.
+:func:`sink` keeps the same state as a table that each batch makes anew: it has
+no timers, and compares all keys of a batch at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -20,6 +22,8 @@ STALE_MS = 45 * 60 * 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 VERSION = "snapshot long, offer_id string, product_id long, store_id long, price_cents long, status string, is_verified boolean, valid_from date, valid_to date"
 TOLD = "key long, offer_id string, product_id long, price_cents long, reasons string, kind string"
+#: Versions of an offer follow each other by these.
+ORDER = ("snapshot", "valid_from", "offer_id")
 #: Why a version is told, in this order; ``new`` is the first version of an offer.
 REASONS = ("new", "published", "verified", "priced", "cheaper", "product", "store", "again", "near")
 
@@ -91,11 +95,11 @@ def told(versions: DataFrame, as_of: str, stale_ms: int | None = STALE_MS) -> Da
     return versions.groupBy("key").transformWithState(OfferChanges(as_of, stale_ms), TOLD, "append", "ProcessingTime")
 
 
-def compared(versions: DataFrame, as_of: str) -> DataFrame:
-    """What :func:`told` tells, by one window over a table that has all versions."""
-    w = Window.partitionBy("key").orderBy("snapshot", "valid_from", "offer_id")
+def _explained(versions: DataFrame, as_of: str, order: tuple[str, ...]) -> DataFrame:
+    """``versions`` with ``old``, the one before; ``why``, the names of REASONS that hold; and whether each is the ``newest`` of its key."""
+    w = Window.partitionBy("key").orderBy(*order)
     names = StructType.fromDDL(VERSION).names
-    both = versions.withColumn("old", F.lag(F.struct(*names)).over(w))
+    both = versions.withColumns({"old": F.lag(F.struct(*names)).over(w), "newest": F.lead(F.lit(True)).over(w).isNull()})
     day = F.lit(as_of).cast("date")
     old = F.col("old")
     tests = {
@@ -110,8 +114,53 @@ def compared(versions: DataFrame, as_of: str) -> DataFrame:
         "near": (old["valid_from"] > F.date_add(day, HORIZON_DAYS)) & (F.col("valid_from") <= F.date_add(day, HORIZON_DAYS)),
     }
     why = F.array_compact(F.array(*(F.when(tests[r] if r == "new" else old.isNotNull() & tests[r], r) for r in REASONS)))
+    return both.withColumn("why", why)
+
+
+def _told(explained: DataFrame) -> DataFrame:
     kind = F.when(F.array_contains("why", "cheaper"), "cheaper").otherwise("new")
-    return both.withColumn("why", why).where(visible(as_of) & (F.size("why") > 0)).select("key", "offer_id", "product_id", "price_cents", F.array_join("why", ",").alias("reasons"), kind.alias("kind"))
+    return explained.select("key", "offer_id", "product_id", "price_cents", F.array_join("why", ",").alias("reasons"), kind.alias("kind"))
+
+
+def compared(versions: DataFrame, as_of: str) -> DataFrame:
+    """What :func:`told` tells, by one window over a table that has all versions."""
+    return _told(_explained(versions, as_of, ORDER).where(visible(as_of) & (F.size("why") > 0)))
+
+
+def sink(spark: SparkSession, root: str, as_of: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes below ``root`` what :func:`told` tells of each batch, without timers.
+
+    The last version of each key stands in a table that each batch reads and
+    makes anew; one window compares the keys of a batch. A batch that is run
+    again reads the same table and replaces its own folder, so nothing is told
+    twice. Tables before the one that the last batch read are deleted.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    schema = StructType.fromDDL(f"key long, {VERSION}")
+
+    def write(batch: DataFrame, n: int) -> None:
+        found = (f.getPath().getName() for f in fs.listStatus(path(root)) if fs.exists(path(f"{f.getPath()}/_SUCCESS"))) if fs.exists(path(root)) else ()
+        done = sorted(k for k in (int(name.removeprefix("batch=")) for name in found if name.startswith("batch=")) if k < n)
+        last = f"{root}/batch={done[-1]}/part=last" if done else None
+        old = spark.read.schema(schema).parquet(last) if last and fs.exists(path(last)) else spark.createDataFrame([], schema)
+        both = old.withColumn("fresh", F.lit(0)).unionByName(batch.select(*schema.names).withColumn("fresh", F.lit(1)))
+        rows = _explained(both, as_of, ("fresh", *ORDER))
+        parts = F.array_compact(F.array(F.when(F.col("newest"), "last"), F.when((F.col("fresh") == 1) & visible(as_of) & (F.size("why") > 0), "told")))
+        rows.select(*schema.names, "why", F.explode(parts).alias("part")).write.mode("overwrite").partitionBy("part").parquet(f"{root}/batch={n}")
+        for k in done[:-1]:
+            fs.delete(path(f"{root}/batch={k}/part=last"), True)
+
+    return write
+
+
+def written(spark: SparkSession, root: str) -> DataFrame:
+    """What a stream into :func:`sink` has told, as rows of ``TOLD``."""
+    schema = StructType.fromDDL(f"key long, {VERSION}, why array<string>, batch int, part string")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):  # an empty stream runs no batch
+        return spark.createDataFrame([], TOLD)
+    return _told(spark.read.schema(schema).option("basePath", root).parquet(f"{root}/batch=*").where("part = 'told'"))
 
 
 def notices(told_rows: DataFrame, followers: DataFrame) -> DataFrame:

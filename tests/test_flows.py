@@ -84,3 +84,19 @@ def test_the_ledger_knows_content(spark, tmp_path):
     new.selectExpr("*", "'c' as _source", f"'{real.signature}' as _signature").write.mode("append").partitionBy("_source", "_signature").parquet(f"{root}/rows")
     failing(new, 19)
     assert ledger.written(spark, root).where("source = 'c'").count() == 1
+
+
+def test_batches_with_a_table_of_last_versions(spark, tmp_path):
+    """No call to Python for each key; a batch run again tells nothing twice, and only two tables of last versions are kept."""
+    schema, root = f"key long, {offers.VERSION}", str(tmp_path / "out")
+    third = [version(1, 3, price_cents=50), version(14, 3), version(2, -1, price_cents=10)]  # an older snapshot that comes late counts as the newest
+    batches = [spark.createDataFrame(rows, schema) for rows in (FIRST, SECOND, third, [])]
+    assert offers.written(spark, root).count() == 0
+    for n in (0, 1, 1, 2, 3):
+        offers.sink(spark, root, AS_OF)(batches[n], n)
+    got = sorted(map(tuple, offers.written(spark, root).collect()), key=str)
+    late = offers.compared(spark.createDataFrame([*FIRST, *SECOND, third[0], third[1], version(2, 9, offer_id="o2--1", price_cents=10)], schema), AS_OF)
+    assert got == sorted(map(tuple, late.collect()), key=str)
+    assert sorted(p.parent.name for p in (tmp_path / "out").glob("batch=*/part=last")) == ["batch=2", "batch=3"]
+    plans = offers._explained(batches[0], AS_OF, offers.ORDER)._jdf.queryExecution().toString()
+    assert "Python" not in plans and "Pandas" not in plans
