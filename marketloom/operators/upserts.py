@@ -65,7 +65,7 @@ def write_offers(table: VersionedTable, new: DataFrame) -> int:
     rows' own values are read and written, if it is divided by a part of the identity.
     """
     name = table.partition
-    touched = {r[0] for r in new.select(F.col(name).cast("string")).distinct().collect()}
+    touched = {r[0] for r in new.select(table.value()).distinct().collect()}
     before = table.manifest()
     if before["schema"] is None:
         return table.commit(merged(new.limit(0), new).select(*COLUMNS, *([name] if name not in COLUMNS else [])))

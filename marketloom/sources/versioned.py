@@ -14,7 +14,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -30,13 +30,18 @@ class ConflictError(RuntimeError):
 
 
 class VersionedTable:
-    """A table below ``root``, divided by the values of the column ``partition``."""
+    """A table below ``root``, divided by the values of the column ``partition``, or with ``buckets`` by their hash into so many."""
 
-    def __init__(self, spark: SparkSession, root: str, partition: str) -> None:
-        self.spark, self.root, self.partition = spark, root.rstrip("/"), partition
+    def __init__(self, spark: SparkSession, root: str, partition: str, buckets: int | None = None) -> None:
+        self.spark, self.root, self.partition, self.buckets = spark, root.rstrip("/"), partition, buckets
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def value(self) -> Column:
+        """What a row's partition is called, as text; files and manifests grow with the number of these."""
+        name = F.col(self.partition)
+        return F.coalesce((F.pmod(F.xxhash64(name.cast("string")), F.lit(self.buckets)) if self.buckets else name).cast("string"), F.lit("-"))
+
     def versions(self) -> list[int]:
         at = self._path(f"{self.root}/versions")
         if not self._fs.exists(at):
@@ -76,8 +81,7 @@ class VersionedTable:
         """
         before = self.manifest(since)
         folder = f"data/{uuid.uuid4().hex}"
-        name = self.partition
-        staged = rows.withColumn("_partition", F.coalesce(F.col(name).cast("string"), F.lit("-")))
+        staged = rows.withColumn("_partition", self.value())
         staged.repartition("_partition", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))).write.partitionBy("_partition").parquet(f"{self.root}/{folder}")
         files = self.spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{folder}")
         checks = [F.count("*").alias("n")] + ([F.count_distinct(key).alias("keys"), F.count_if(F.col(key).isNull()).alias("nulls")] if key else [])

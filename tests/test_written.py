@@ -77,3 +77,14 @@ def test_a_reader_between_the_steps_sees_the_old_version(spark, tmp_path, monkey
         table.commit(table_of(spark, offer("x"), offer("x", "Tea")), key="offer_id")
     assert {r.offer_id for r in table.read().collect()} == {"b", "c"}
     assert sorted(os.listdir(tmp_path / "drafts")) == [] or all(n.endswith(".crc") for n in os.listdir(tmp_path / "drafts"))
+
+
+def test_stores_share_a_bounded_number_of_parts(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path), "store_id", 4)
+    upserts.write_offers(table, table_of(spark, *(offer(f"a{k}", store=k) for k in range(40)), offer("z", store=None)))
+    places = table.manifest()["parts"]
+    assert sorted(places) == ["-", "0", "1", "2", "3"] or sorted(places) == ["0", "1", "2", "3"]
+    upserts.write_offers(table, table_of(spark, offer("b3", store=3, price_cents=5), offer("c3", "Tea", store=3)))
+    assert sum(places[k] != at for k, at in table.manifest()["parts"].items()) == 1  # only the part of that store is written
+    got = {(r.offer_id, r.store_id, r.price_cents) for r in table.read().collect()}
+    assert got == {(f"a{k}", k, 5 if k == 3 else 100) for k in range(40)} | {("z", None, 100), ("c3", 3, 100)}
