@@ -12,12 +12,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import similarity_permille, trigrams
 
 BUCKETS = 64
+#: Texts of one block of :func:`similar_pairs`; a task compares two blocks.
+BLOCK = 1000
+#: Its cells are dealt to so many tasks at most.
+CELLS = 1000
+#: Pieces that are counted at once there.
+PIECES = 2048
 
 
 @dataclass(frozen=True)
@@ -86,6 +94,51 @@ def similar(index: TrigramIndex, queries: DataFrame, permille: int) -> DataFrame
     return candidates(index, queries, permille).withColumn("permille", alike).where(F.col("permille") >= permille)
 
 
+def _alike(rows: pd.DataFrame, permille: int) -> pd.DataFrame:
+    """Pairs of one cell (``x``, ``y``, ``block``, ``text``, ``set``) at least so similar; shared pieces by products of 0/1 matrices."""
+    own = rows["x"].iat[0] == rows["y"].iat[0]
+    rows = rows.reset_index(drop=True)
+    codes, known = pd.factorize(rows["set"].explode())
+    sizes = rows["set"].map(len).to_numpy()
+    at = np.repeat(np.arange(len(rows)), sizes)
+    codes = codes[codes >= 0]  # an empty set explodes into a null
+    left = np.flatnonzero(rows["block"] == rows["x"])
+    right = left if own else np.flatnonzero(rows["block"] == rows["y"])
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(known), PIECES):
+        here = (codes >= start) & (codes < start + PIECES)
+        holds = np.zeros((len(rows), min(PIECES, len(known) - start)), np.float32)
+        holds[at[here], codes[here] - start] = 1
+        shared += holds[left] @ holds[right].T
+    both = shared.astype(np.int64)
+    every = sizes[left][:, None] + sizes[right][None, :] - both
+    value = both * 1000 // np.maximum(every, 1)
+    wanted = value >= permille
+    if own:
+        wanted &= np.triu(np.ones_like(wanted), 1)
+    i, j = np.nonzero(wanted)
+    texts = rows["text"].to_numpy()
+    a, b = texts[left[i]], texts[right[j]]
+    first = np.array([p < q for p, q in zip(a, b)], bool)
+    return pd.DataFrame({"query": np.where(first, a, b), "text": np.where(first, b, a), "permille": value[i, j]})
+
+
+def similar_pairs(texts: DataFrame, permille: int, block: int = BLOCK) -> DataFrame:
+    """``query`` < ``text`` and ``permille`` of all pairs of the distinct ``text`` at least so similar, each once.
+
+    For a low similarity, where nearly all pairs share a piece and postings
+    meet many times over: the texts are dealt into blocks, and each two blocks
+    are compared in one cell. All pairs are looked at, so time grows with the
+    square; a task's memory does not grow.
+    """
+    n = -(-texts.count() // block) or 1
+    held = texts.select("text", trigrams(F.col("text")).alias("set"), F.pmod(F.xxhash64("text"), F.lit(n)).alias("block"))
+    each = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    cells = each.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "text", "set")
+    dealt = cells.repartition(min(n * (n + 1) // 2, CELLS), "x", "y")  # a number of its own: cells have little to read and much to do
+    return dealt.groupBy("x", "y").applyInPandas(lambda rows: _alike(rows, permille), "query string, text string, permille long")
+
+
 def containing(index: TrigramIndex, queries: DataFrame) -> DataFrame:
     """``query`` and ``text`` of all texts that contain a query as it stands (both folded).
 

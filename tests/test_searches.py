@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from marketloom.functions import tags, text
 from marketloom.operators import trigram_index
 from marketloom.operators.search import Search
@@ -105,3 +107,17 @@ def test_the_store_is_read_and_guarded(spark, sf_dir, tmp_path):
     assert store.table.versions() == [2, 3] and store.page(Search(AS_OF, query="máslo", semantic=True)).collect() == before
     again = offer_store.of_tables(spark, sf_dir)
     assert offer_store.of_tables(spark, sf_dir) is again
+
+
+def test_similar_pairs_by_blocks(spark):
+    """Every pair once and no row for each shared piece, whatever the blocks; equal to comparing all pairs."""
+    words = ["mleko", "maslo", "maso", "kava", "kavovar", "pivo", "syr", "x"]
+    texts = spark.createDataFrame([(f"{a} {b}",) for a in words for b in words] + [("",), ("a",)], "text string")
+    sets = texts.select("text", trigram_index.trigrams(F.col("text")).alias("set"))
+    value = trigram_index.similarity_permille(F.col("set"), F.col("other_set")).alias("permille")
+    all_pairs = sets.crossJoin(sets.selectExpr("text as other", "set as other_set")).where("text < other").select("text", "other", value).where("permille >= 300")
+    want = sorted(map(tuple, all_pairs.collect()))
+    for block in (1000, 7):
+        found = trigram_index.similar_pairs(texts, 300, block)
+        assert sorted(map(tuple, found.collect())) == want
+    assert "Join" not in found._jdf.queryExecution().toString() and len(want) > 100
