@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tasks that make pairs within a tolerance.
+PAIR_TASKS = 200
+
 
 def overlapping(offers: DataFrame, key: list[str]) -> DataFrame:
     """How many others of the same ``key`` share a day with each offer, where there are any.
@@ -29,12 +32,14 @@ def within_tolerance(products: DataFrame, key: list[str], amount: str, percent:
     Amounts are cut into bands as wide as the tolerance at their lower end, and
     only neighbouring bands meet. Every pair comes out, so the result grows with
     the square of a group of equal amounts; :func:`count_within_tolerance` gives
-    counts instead.
+    counts instead. Little is read and very much made, so the number of tasks is
+    given, not left to the bytes read.
     """
     band = F.floor(F.log(F.col(amount).cast("double")) / F.log(F.lit(1 + percent / 100))).cast("bigint")
     rows = products.where(F.col(amount) > 0).select(*key, "product_id", F.col(amount).alias("amount"), band.alias("band"))
     other = rows.select(*key, F.col("product_id").alias("other_id"), F.col("amount").alias("other_amount"), F.explode(F.array(*(F.col("band") + k for k in (-2, -1, 0, 1, 2)))).alias("band"))
     near = F.abs(F.col("amount") - F.col("other_amount")) * 100 <= F.greatest("amount", "other_amount") * percent
+    rows, other = (x.repartition(PAIR_TASKS, *key, "band") for x in (rows, other))
     return rows.join(other, [*key, "band"]).where((F.col("product_id") < F.col("other_id")) & near).select("product_id", "other_id")
 
 

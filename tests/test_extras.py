@@ -93,3 +93,14 @@ def test_tiles_are_bound_to_their_fields(spark):
         ("/a", "Coat", 100000, 200000, 50, False), ("/b", "Hat", 10000, None, None, False), ("/c", "Shoe", 75000, 100000, 20, False), ("/d", "Sock", 5000, 10000, 50, True),
     ]
     assert [r.href for r in documents.evident(documents.tiles(pages)).collect()] == ["/a"]
+
+
+def test_pairs_within_a_tolerance_are_made_by_many_tasks(spark):
+    from marketloom.operators import ranges
+
+    rows = spark.createDataFrame([(k, f"b{k % 7}", k % 60 + 1) for k in range(700)], "product_id long, brand string, grams long")
+    found = ranges.within_tolerance(rows, ["brand"], "grams", 2)
+    assert found.rdd.getNumPartitions() == ranges.PAIR_TASKS  # a table of a few MB was one task before
+    held = rows.collect()
+    want = {(a.product_id, b.product_id) for a in held for b in held if a.brand == b.brand and a.product_id < b.product_id and abs(a.grams - b.grams) * 100 <= max(a.grams, b.grams) * 2}
+    assert {tuple(r) for r in found.collect()} == want
