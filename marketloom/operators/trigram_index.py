@@ -133,6 +133,7 @@ def similar_pairs(texts: DataFrame, permille: int, block: int = BLOCK) -> DataFr
     """
     n = -(-texts.count() // block) or 1
     held = texts.select("text", trigrams(F.col("text")).alias("set"), F.pmod(F.xxhash64("text"), F.lit(n)).alias("block"))
+    held = held.repartition(min(n, CELLS), "text")  # a task makes copies of about one block only
     each = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     cells = each.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "text", "set")
     dealt = cells.repartition(min(n * (n + 1) // 2, CELLS), "x", "y")  # a number of its own: cells have little to read and much to do
