@@ -14,21 +14,35 @@ HORIZON_DAYS = 7
 SORTS = ("recommended", "discount", "cheapest", "dearest", "newest", "ending", "saving", "name")
 MODES = ("all", "recommended", "food", "ending", "under50", "under100", "discount", "new")
 FUZZY_PERMILLE = 240
+#: The texts of products are described by so many tasks: they are few bytes and much work.
+DESCRIBED = 48
 
 
-def build_cache(offers: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
+def described(products: DataFrame) -> DataFrame:
+    """Products with ``search_text``, ``filter_group``, ``tags`` and ``folded_label``, made once for each different text."""
+    names = ["label", "brand", "name"]
+    folded = products.select(*names, fold(F.col("label")).alias("folded_label"), fold(F.concat_ws(" ", *names)).alias("search_text"))
+    once = folded.repartition(DESCRIBED, *names).distinct().withColumns({"filter_group": filter_group(F.col("folded_label")), "tags": tags.offer_tags(F.col("search_text"))})
+    same = [products[c].eqNullSafe(once[c]) for c in names]
+    return products.join(once, same).select(products["*"], "search_text", "filter_group", "tags", "folded_label")
+
+
+def build_cache(offers: DataFrame, stores: DataFrame, products: DataFrame, derived: bool = False) -> DataFrame:
     """Published, verified offers of active stores with their product, one of each set of copies.
 
     Filters run before the one shuffle; small dimensions are broadcast by the
-    planner where their size allows it.
+    planner where their size allows it. Texts are derived by product, not by
+    offer; with ``derived`` the ``tags`` and the ``folded_label`` come too.
     """
     o = offers.where("status = 'published' and is_verified").drop("status", "is_verified", "list_id", "quantity")
     s = stores.where("is_active").select("store_id", "slug", "city", "region")
-    p = products.select("product_id", "label", "brand", "name", "category")
+    p = described(products.select("product_id", "label", "brand", "name", "category"))
     w = Window.partitionBy("store_id", "product_id", "price_cents", "valid_from", "valid_to").orderBy(F.col("old_cents").isNull(), F.desc("published_at"), "offer_id")
     first = o.join(s, "store_id").withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
-    wide = first.join(p, "product_id", "left")
-    return wide.withColumns({"search_text": fold(F.concat_ws(" ", "label", "brand", "name")), "filter_group": filter_group(fold(F.col("label")))})
+    wide = first.join(p if derived else p.drop("tags", "folded_label"), "product_id", "left")
+    # An offer of no known product has an empty text.
+    empty = {"search_text": F.lit(""), "filter_group": F.lit("other")} | ({"tags": F.array().cast("array<string>")} if derived else {})
+    return wide.withColumns({name: F.coalesce(name, value) for name, value in empty.items()})
 
 
 def live(cache: DataFrame, as_of: str) -> DataFrame:
@@ -115,11 +129,6 @@ def matched(cache: DataFrame, s: Search, without: tuple[str, ...] = ()) -> DataF
     return found
 
 
-def with_tags(cache: DataFrame) -> DataFrame:
-    """The cache with the sorted ``tags`` of each offer, made once when it is written."""
-    return cache.withColumn("tags", tags.offer_tags(F.col("search_text")))
-
-
 def order(s: Search) -> list[Column]:
     key = {
         "recommended": [F.desc("score")],

@@ -89,8 +89,7 @@ def publish(store: OfferStore, offers: DataFrame, stores: DataFrame, products: D
     The first version has no lower bound of its size, every other one needs at
     least LEAST_SHARE of the rows of the one before.
     """
-    built = search.with_tags(search.build_cache(offers, stores, products))
-    rows = built.withColumns({"end_month": F.date_format("valid_to", "yyyy-MM"), "folded_label": fold(F.col("label"))})
+    rows = search.build_cache(offers, stores, products, derived=True).withColumn("end_month", F.date_format("valid_to", "yyyy-MM"))
     least = int(store.cache().count() * LEAST_SHARE) if store.table.versions() else 0
 
     def derived(now: DataFrame, at: str) -> None:
