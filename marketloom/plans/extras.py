@@ -74,7 +74,9 @@ def occasion_fits_query(spark, d):
 @query("occasion_plans")
 def occasion_plans(spark, d):
     """The best plan of one or two near stores for each occasion; greedy, so held against the plain loop in the tests."""
-    return scenarios.best_plans(occasion_fits(spark, d), retail.stores(spark, d), HOME)
+    at = shared_folder(spark, "occasion-fits")  # read several times, so made once
+    occasion_fits(spark, d).write.parquet(at)
+    return scenarios.best_plans(spark.read.parquet(at), retail.stores(spark, d), HOME)
 
 
 @query("event_variants", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_exists(props, '$.missing') AS has_missing FROM events", base=False)

@@ -1,11 +1,12 @@
 """What queries look at does not outgrow their input."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
 from marketloom.functions import tags
-from marketloom.operators import search
+from marketloom.operators import scenarios, search
 from marketloom.sources import offer_store
 
 DAY = datetime.date(1998, 6, 1)
@@ -32,3 +33,28 @@ def test_texts_are_described_once_each_not_once_for_each_offer(spark, tmp_path,
     found = store.cache().groupBy("product_id", "search_text", "filter_group", "tags", "folded_label").count().orderBy("product_id").collect()
     assert [tuple(r) for r in found] == [(1, "maslo 250 g x", "food", ["butter"], "maslo 250 g", 25), (2, "maslo 250 g x", "food", ["butter"], "maslo 250 g", 25), (3, "b y", "other", [], None, 25), (9, "", "other", [], None, 25)]
     assert looked.value <= 4 * len(tags.TAGS)  # two texts, of which a plan may ask for each rule; 100 offers before
+
+
+def test_occasions_try_few_pairs_and_find_the_best_of_all(spark, monkeypatch):
+    rng = random.Random(11)
+    fits, n = [], 0
+    for k, (stores, share, products) in enumerate([(30, 0.3, 6), (30, 0.2, 60), (30, 0.8, 3), (12, 1.0, 2), (250, 0.25, 200)]):
+        for store in range(stores):
+            for place in range(4):
+                # A product may fit several places and be taken by one of them only.
+                for product in {rng.randrange(products) for _ in range(4)} if rng.random() < share else ():
+                    n += 1
+                    fits.append((f"s{k}", place, 1 + place % 3, store, product, rng.choice([rng.randint(1, 9) * 100, rng.randint(1, 90_000)]), rng.choice([None, 500]), f"o{n:05}"))
+    rows = spark.createDataFrame(fits, "scenario string, place int, quantity int, store_id long, product_id long, price_cents long, old_cents long, offer_id string")
+    spots = spark.createDataFrame([(s, 48.5 + (s * 37 % 250) / 100, 12 + (s * 53 % 680) / 100) for s in range(250)], "store_id long, latitude double, longitude double")
+    home, tried, real = (49.5, 15.0), [], scenarios.plans_of
+    want = sorted(map(tuple, scenarios._best(scenarios.plans(rows, spots, home, 2)).collect()))
+
+    def counted(sets, *rest):
+        tried.append(sets.where("scenario = 's4'").count())
+        return real(sets, *rest)
+
+    monkeypatch.setattr(scenarios, "plans_of", counted)
+    assert sorted(map(tuple, scenarios.best_plans(rows, spots, home).collect())) == want
+    have = rows.where("scenario = 's4'").select("store_id").distinct().count()
+    assert have > 120 and sum(tried) < have + 2 * scenarios.TRIED < have * have / 8  # all pairs before
