@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import metres, pack_size_key
@@ -80,7 +80,12 @@ EXTRA_STORE_CENTS = 3500
 def wanted_items(lists: DataFrame, live: DataFrame) -> DataFrame:
     """The items of each list that any offer fits; ``wanted`` is how many these are. The rest can't be planned."""
     sold = lists.join(live.select("product_id").distinct(), "product_id", "left_semi")
-    return sold.join(sold.groupBy("list_id").agg(F.count("*").alias("wanted")), "list_id")
+    return _counted(sold)
+
+
+def _counted(items: DataFrame) -> DataFrame:
+    """Items with ``wanted``, how many their list has; made where they lie, not joined with themselves."""
+    return items.withColumn("wanted", F.count("*").over(Window.partitionBy("list_id")))
 
 
 def item_offers(items: DataFrame, live: DataFrame) -> DataFrame:
@@ -162,8 +167,7 @@ def trips(lists: DataFrame, live: DataFrame, branches: DataFrame, home: tuple[fl
     nearest = near.groupBy("store_id").agg(F.min_by(F.struct("latitude", "longitude", "branch_id"), F.struct("metres", "branch_id")).alias("at"))
     own = live.where("not upcoming").join(nearest.select("store_id"), "store_id", "left_semi")
     # Everything of a list must be sold near, so items are counted over all live offers.
-    items = lists.join(lists.groupBy("list_id").agg(F.count("*").alias("wanted")), "list_id")
-    plans = set_plans(item_offers(items, own), min(max(trip.most_stores, 1), 3))
+    plans = set_plans(item_offers(_counted(lists), own), min(max(trip.most_stores, 1), 3))
     sets = plans.select("used").distinct()
     stops = sets.select("used", F.posexplode("used").alias("k", "store_id")).join(nearest, "store_id")
     placed = stops.groupBy("used").agg(F.array_sort(F.collect_list(F.struct("k", "at"))).alias("p"))

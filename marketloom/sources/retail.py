@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "1998-06-15"
+#: Lines that one task joins and sorts; tables of up to so many such parts are left to the planner.
+TASK_LINES, LEFT_ALONE = 500_000, 8
 #: Labels that products carry in turn, so that text operators have something to read.
 LABELS = (
     "Mléko plnotučné 1,5% 2x900 ml", "Máslo 250 g", "Pivo světlý ležák 0,5 l", "Šampon na vlasy 400 ml", "Různé druhy sýrů",
@@ -47,7 +49,15 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offers_of(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+    return offers_of(spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "orders"))
+
+
+def spread(lines: DataFrame, task_lines: int = TASK_LINES) -> DataFrame:
+    """Lines dealt by list into parts that grow in number, not in size; what follows holds a part's lists in memory."""
+    parts = -(-lines.count() // task_lines)
+    if parts <= LEFT_ALONE:
+        return lines
+    return lines.repartition(max(parts, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "l_orderkey")
 
 
 def offers_of(lines: DataFrame, orders: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from marketloom.functions import tags
-from marketloom.operators import scenarios, search
-from marketloom.sources import offer_store
+from marketloom.operators import decisions, scenarios, search
+from marketloom.sources import offer_store, retail
 
 DAY = datetime.date(1998, 6, 1)
 
@@ -58,3 +58,28 @@ def test_occasions_try_few_pairs_and_find_the_best_of_all(spark, monkeypatch):
     assert sorted(map(tuple, scenarios.best_plans(rows, spots, home).collect())) == want
     have = rows.where("scenario = 's4'").select("store_id").distinct().count()
     assert have > 120 and sum(tried) < have + 2 * scenarios.TRIED < have * have / 8  # all pairs before
+
+
+def test_lines_are_spread_over_parts_that_grow_in_number(spark, sf_dir):
+    lines = retail.table(spark, sf_dir, "lineitem")
+    n = lines.count()
+    assert retail.spread(lines).rdd.getNumPartitions() == lines.rdd.getNumPartitions()
+    spread = retail.spread(lines, 100)
+    at = spread.select("l_orderkey", F.spark_partition_id().alias("at"))
+    assert spread.rdd.getNumPartitions() == -(-n // 100) and at.count() == n
+    assert at.groupBy("l_orderkey").agg(F.count_distinct("at").alias("k")).where("k > 1").isEmpty()
+
+
+def test_items_of_a_list_are_counted_without_reading_the_lists_again(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(value):
+        read.add(1)
+        return value
+
+    lists = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (2, 1, 1)], "list_id long, product_id long, quantity long").withColumn("product_id", counted.asNondeterministic()("product_id"))
+    sold = spark.createDataFrame([(1,), (2,)], "product_id long")
+    got = decisions.wanted_items(lists, sold).select("list_id", "product_id", "quantity", "wanted").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 2, 2), (1, 2, 1, 2), (2, 1, 1, 1)]
+    assert read.value == 3  # each item is made once
