@@ -13,17 +13,18 @@ def overlapping(offers: DataFrame, key: list[str]) -> DataFrame:
     """How many others of the same ``key`` share a day with each offer, where there are any.
 
     Those that begin by its end, less those that were over before its start:
-    counted from sorted days, so no row is made for each two offers of a group.
+    counted from sorted days in one window, so no row is made for each two
+    offers of a group, and offers are read and moved once. An ``offer_id`` names
+    offers of one ``key`` only.
     """
-    starts = offers.select(*key, "offer_id", F.col("valid_from").alias("day"), F.lit(0).alias("kind"))
-    asks = offers.select(*key, "offer_id", F.col("valid_to").alias("day"), F.lit(1).alias("kind"))
-    ended = offers.select(*key, "offer_id", F.date_add("valid_to", 1).alias("day"), F.lit(2).alias("kind"))
-    begins = offers.select(*key, "offer_id", F.col("valid_from").alias("day"), F.lit(3).alias("kind"))
-    up_to = Window.partitionBy(*key).orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    begun = starts.unionByName(asks).withColumn("n", F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(up_to)).where("kind = 1")
-    over = ended.unionByName(begins).withColumn("n", F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)).over(up_to)).where("kind = 3")
-    both = begun.select("offer_id", "n").unionByName(over.select("offer_id", (-F.col("n")).alias("n")))
-    return both.groupBy("offer_id").agg((F.sum("n") - 1).alias("overlaps")).where("overlaps > 0")
+    day = lambda c, ends: F.unix_date(c) * 2 + F.lit(int(ends))  # noqa: E731 - a day's starts stand before its ends
+    sides = F.array(F.struct(day("valid_from", False).alias("at"), F.lit(False).alias("ends")), F.struct(day("valid_to", True).alias("at"), F.lit(True).alias("ends")))
+    each = offers.select(*key, "offer_id", "valid_from", "valid_to").repartition(*key).select(*key, "offer_id", F.inline(sides))
+    up_to = Window.partitionBy(*key).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    begun, over = (F.sum(F.when(F.col("ends") == side, 1).otherwise(0)).over(up_to) for side in (False, True))
+    seen = each.select(*key, "offer_id", "ends", begun.alias("begun"), over.alias("over"))
+    counted = seen.groupBy(*key, "offer_id").agg((F.sum(F.when(F.col("ends"), F.col("begun")).otherwise(-F.col("over"))) - 1).alias("overlaps"))
+    return counted.select("offer_id", "overlaps").where("overlaps > 0")
 
 
 def within_tolerance(products: DataFrame, key: list[str], amount: str, percent: int) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from marketloom.functions import tags
-from marketloom.operators import decisions, scenarios, search
+from marketloom.operators import decisions, ranges, scenarios, search
 from marketloom.sources import offer_store, retail
 
 DAY = datetime.date(1998, 6, 1)
@@ -83,3 +83,20 @@ def test_items_of_a_list_are_counted_without_reading_the_lists_again(spark):
     got = decisions.wanted_items(lists, sold).select("list_id", "product_id", "quantity", "wanted").collect()
     assert sorted(map(tuple, got)) == [(1, 1, 2, 2), (1, 2, 1, 2), (2, 1, 1, 1)]
     assert read.value == 3  # each item is made once
+
+
+def test_overlaps_read_each_offer_once(spark):
+    rng = random.Random(4)
+    made = [(f"o{k}", rng.randrange(4), rng.randint(1, 30), rng.randint(0, 9)) for k in range(120)]
+    rows = [(i, key, datetime.date(1998, 5, d), datetime.date(1998, 5, d) + datetime.timedelta(n)) for i, key, d, n in made]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        read.add(1)
+        return value
+
+    offers = spark.createDataFrame(rows, "offer_id string, k int, valid_from date, valid_to date").withColumn("offer_id", counted.asNondeterministic()("offer_id"))
+    want = {i: n for i, k, a, b in rows if (n := sum(k == l and j != i and c <= b and a <= d for j, l, c, d in rows))}
+    assert {r.offer_id: r.overlaps for r in ranges.overlapping(offers, ["k"]).collect()} == want
+    assert read.value == len(rows)
