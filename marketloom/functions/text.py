@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accented letters of the catalogue's languages and what they fold to.
@@ -58,6 +58,18 @@ def label_is_specific(text: Column) -> Column:
     return F.coalesce((F.length(folded) >= 3) & folded.rlike("[a-z]") & ~folded.rlike(rf"^({GENERIC})\b"), F.lit(False))
 
 
+#: The texts of products are worked on by so many tasks: they are few bytes and much work.
+TEXT_TASKS = 48
+
+
+def once_each(rows: DataFrame, names: list[str], made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the columns that ``made`` adds to the texts ``names``, made once for each different combination of them; rows whose texts it drops go."""
+    texts = rows.select(*names).repartition(TEXT_TASKS, *names).distinct()
+    once = made(texts).withColumnsRenamed({c: f"_{c}" for c in names})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    return rows.join(once, same).drop(*(f"_{c}" for c in names))
+
+
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with ``value`` computed once however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.text import fold, ordered_trigrams, pack_size_key, similarity_permille, trigrams, word_similarity_permille
+from marketloom.functions.text import fold, once_each, ordered_trigrams, pack_size_key, similarity_permille, trigrams, word_similarity_permille
 
 
 def tokens(text: Column) -> Column:
@@ -51,12 +51,10 @@ def catalogue_search(products: DataFrame, offers: DataFrame, query: str, as_of:
     needle = fold(F.lit(query))
     sold = offers.where((F.col("status") == "published") & (F.col("price_cents") >= 200) & (F.col("valid_to") >= F.lit(as_of).cast("date"))).select("product_id").distinct()
     wanted = trigrams(needle)
-    named = products.withColumns({"folded": fold(F.concat_ws(" ", "label", "name")), "of_brand": fold(F.coalesce("brand", F.lit("")))})
-    alike = named.withColumns({
-        "near": similarity_permille(trigrams(F.col("folded")), wanted),
-        "part": word_similarity_permille(wanted, ordered_trigrams(F.col("folded"))),
-        "brand_near": similarity_permille(trigrams(F.col("of_brand")), wanted),
-    })
+    named = products.select("product_id", "is_verified", fold(F.concat_ws(" ", "label", "name")).alias("folded"), fold(F.coalesce("brand", F.lit(""))).alias("of_brand"))
+    near = lambda c: similarity_permille(trigrams(F.col(c)), wanted)
+    alike = once_each(named, ["folded"], lambda texts: texts.withColumns({"near": near("folded"), "part": word_similarity_permille(wanted, ordered_trigrams(F.col("folded")))}))
+    alike = once_each(alike, ["of_brand"], lambda texts: texts.withColumn("brand_near", near("of_brand")))
     found = (F.col("near") >= 300) | (F.col("part") >= 320) | F.contains("folded", needle) | (F.col("brand_near") >= 300) | F.contains("of_brand", needle)
     name = F.when(F.col("folded") == needle, 120_000).when(F.startswith("folded", needle), 100_000).when(F.contains("folded", needle), 82_000).otherwise(0)
     brand = F.when(F.col("of_brand") == needle, 32_000).when(F.startswith("of_brand", needle), 20_000).otherwise(0)

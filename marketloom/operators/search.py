@@ -8,23 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import tags
-from marketloom.functions.text import filter_group, fold, similarity_permille, trigrams
+from marketloom.functions.text import filter_group, fold, once_each, similarity_permille, trigrams
 
 HORIZON_DAYS = 7
 SORTS = ("recommended", "discount", "cheapest", "dearest", "newest", "ending", "saving", "name")
 MODES = ("all", "recommended", "food", "ending", "under50", "under100", "discount", "new")
 FUZZY_PERMILLE = 240
-#: The texts of products are described by so many tasks: they are few bytes and much work.
-DESCRIBED = 48
 
 
 def described(products: DataFrame) -> DataFrame:
     """Products with ``search_text``, ``filter_group``, ``tags`` and ``folded_label``, made once for each different text."""
     names = ["label", "brand", "name"]
-    folded = products.select(*names, fold(F.col("label")).alias("folded_label"), fold(F.concat_ws(" ", *names)).alias("search_text"))
-    once = folded.repartition(DESCRIBED, *names).distinct().withColumns({"filter_group": filter_group(F.col("folded_label")), "tags": tags.offer_tags(F.col("search_text"))})
-    same = [products[c].eqNullSafe(once[c]) for c in names]
-    return products.join(once, same).select(products["*"], "search_text", "filter_group", "tags", "folded_label")
+
+    def made(texts: DataFrame) -> DataFrame:
+        folded = texts.withColumns({"folded_label": fold(F.col("label")), "search_text": fold(F.concat_ws(" ", *names))})
+        return folded.withColumns({"filter_group": filter_group(F.col("folded_label")), "tags": tags.offer_tags(F.col("search_text"))})
+
+    return once_each(products, names, made).select(*products.columns, "search_text", "filter_group", "tags", "folded_label")
 
 
 def build_cache(offers: DataFrame, stores: DataFrame, products: DataFrame, derived: bool = False) -> DataFrame:

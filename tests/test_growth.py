@@ -1,12 +1,14 @@
 """What queries look at does not outgrow their input."""
 
 import datetime
+import itertools
 import random
 
 from pyspark.sql import functions as F
 
 from marketloom.functions import tags
-from marketloom.operators import decisions, ranges, scenarios, search
+from marketloom.operators import baskets, decisions, images, matching, ranges, scenarios, search
+from marketloom.plans import registry
 from marketloom.sources import offer_store, retail
 
 DAY = datetime.date(1998, 6, 1)
@@ -100,3 +102,20 @@ def test_overlaps_read_each_offer_once(spark):
     want = {i: n for i, k, a, b in rows if (n := sum(k == l and j != i and c <= b and a <= d for j, l, c, d in rows))}
     assert {r.offer_id: r.overlaps for r in ranges.overlapping(offers, ["k"]).collect()} == want
     assert read.value == len(rows)
+
+
+def test_catalogue_words_are_compared_once_for_each_different_name(spark, monkeypatch):
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        looked.add(1)
+        return value
+
+    real = matching.ordered_trigrams
+    monkeypatch.setattr(matching, "ordered_trigrams", lambda text: real(counted(text)))
+    products = spark.createDataFrame([(k, "Vitamin C", ["a", None][k % 2], None, True) for k in range(100)], "product_id long, label string, name string, brand string, is_verified boolean")
+    offers = spark.createDataFrame([], "product_id long, status string, price_cents long, valid_to date")
+    got = matching.catalogue_search(products, offers, "vitamin c", "1998-06-15").collect()
+    assert [r.product_id for r in got] == [*range(1, 100, 2), *range(0, 100, 2)]
+    assert looked.value <= 20  # two names; 100 and more before
