@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.text import fold, pack_size_key
+from marketloom.functions.text import fold, once_each, pack_size_key
 
 #: Verified pictures of good quality may be less alike than any other; verified ones rank higher.
 LEAST_VERIFIED, LEAST_OTHER, GOOD_QUALITY, VERIFIED_BONUS = 0.72, 0.84, 70, 0.08
@@ -36,6 +36,11 @@ def lexical_score(left: Column, right: Column) -> Column:
     return F.struct(score.alias("score"), count.alias("common"), viable.alias("viable"))
 
 
+def lexical_scores(rows: DataFrame, left: Column, right: Column, names: list[str]) -> DataFrame:
+    """``rows`` with ``m``, the :func:`lexical_score` of two texts made of the columns ``names``, which are compared once for each different pair."""
+    return once_each(rows, names, lambda texts: texts.withColumn("m", lexical_score(left, right)))
+
+
 def title_score(left: Column, right: Column) -> Column:
     """Coverage of the smaller set of words of three letters (0.72) and their Jaccard similarity (0.28)."""
     a, b = _words(left, 3), _words(right, 3)

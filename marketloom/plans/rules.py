@@ -204,5 +204,6 @@ _W = "list_distinct(list_filter(string_split({0}, ' '), lambda w: length(w) >= {
   SELECT product_id, round(least(1.0::DOUBLE, len(s) / least(len(a), len(b))::DOUBLE * 0.58::DOUBLE + len(s) / len(list_distinct(list_concat(a, b)))::DOUBLE * 0.22::DOUBLE + CASE WHEN size IS NULL THEN 0.0::DOUBLE ELSE 0.16::DOUBLE END + CASE WHEN len(list_filter(s, lambda w: length(w) >= 5)) > 0 THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END), 6) AS score, len(s)::INTEGER AS common FROM c""")
 def picture_scores(spark, d):
     """How well the words of a picture of each product stand for its offers."""
-    found = images.lexical_score(F.concat_ws(" ", "label", "name"), F.concat_ws(" ", "name", "brand", "label"))
-    return retail.products(spark, d).select("product_id", found.alias("m")).select("product_id", "m.score", "m.common")
+    names = ["label", "name", "brand"]
+    rows = retail.products(spark, d).select("product_id", *names)
+    return images.lexical_scores(rows, F.concat_ws(" ", "label", "name"), F.concat_ws(" ", "name", "brand", "label"), names).select("product_id", "m.score", "m.common")

@@ -119,3 +119,22 @@ def test_catalogue_words_are_compared_once_for_each_different_name(spark, monkey
     got = matching.catalogue_search(products, offers, "vitamin c", "1998-06-15").collect()
     assert [r.product_id for r in got] == [*range(1, 100, 2), *range(0, 100, 2)]
     assert looked.value <= 20  # two names; 100 and more before
+
+
+def test_names_are_compared_once_for_each_different_text(spark, monkeypatch):
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        looked.add(1)
+        return value
+
+    real = images.pack_size_key
+    monkeypatch.setattr(images, "pack_size_key", lambda text: real(counted(text)))
+    rows = spark.createDataFrame([(k, "Pivo 0,5 l", ["x", "y", None][k % 3]) for k in range(300)], "product_id long, label string, name string")
+    found = images.lexical_scores(rows, F.concat_ws(" ", "label", "name"), F.col("label"), ["label", "name"])
+    want = {(r.name, r.m) for r in rows.select("name", images.lexical_score(F.concat_ws(" ", "label", "name"), F.col("label")).alias("m")).collect()}
+    looked.value = 0
+    got = found.collect()
+    assert len(got) == 300 and {(r.name, r.m) for r in got} == want
+    assert looked.value <= 40  # three pairs, which a plan may ask for some times; 600 and more before
