@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.text import fold as folded
 from marketloom.operators import baskets, matching, ranges
 from marketloom.plans.base_sql import fold
-from marketloom.plans.registry import HOME, cache, live, query
+from marketloom.plans.registry import HOME, cache, live, query, sold_items
 from marketloom.sources import retail
 
 _TOKENS = "list_distinct(list_filter(string_split({0}, ' '), lambda w: w <> ''))"
@@ -140,7 +140,7 @@ def place_search(spark, d):
   SELECT list_id, count(*) AS matched, count(DISTINCT store_id) AS stores, sum(price_cents * quantity)::BIGINT AS cents FROM items JOIN one USING (product_id) GROUP BY list_id""")
 def plan_absolute(spark, d):
     """Each item where it is cheapest, however many stores that takes."""
-    return baskets.cheapest_anywhere(baskets.items(retail.offers(spark, d)), live(spark, d))
+    return baskets.cheapest_anywhere(sold_items(spark, d), live(spark, d))
 
 
 @query("cache_published", " SELECT valid_to, slug, count(*) AS n, min(price_cents) AS cheapest FROM live GROUP BY ALL")

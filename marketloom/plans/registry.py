@@ -41,6 +41,15 @@ def live(spark: SparkSession, d: str) -> DataFrame:
     return search.live(offer_store.of_tables(spark, d).cache(AS_OF).drop(*offer_store.DERIVED), AS_OF)
 
 
+def live_products(spark: SparkSession, d: str) -> DataFrame:
+    return live(spark, d).select("product_id").distinct()
+
+
+def sold_items(spark: SparkSession, d: str) -> DataFrame:
+    """The list items that some live offer fits; lines of other products are left out before any are moved."""
+    return baskets.items(retail.offers(spark, d, live_products(spark, d)))
+
+
 # Search and facets
 
 PAGE = ["offer_id", "slug", "product_id", "label", "filter_group", "price_cents", "old_cents", "off_permille", "score", "upcoming"]
@@ -219,13 +228,13 @@ def basket_metrics(spark, d):
 
 @query("plan_one_store", COSTS + " SELECT list_id, store_id, matched, cents FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY matched DESC, cents, store_id) AS n FROM costs) x WHERE n = 1")
 def plan_one_store(spark, d):
-    return baskets.one_store(baskets.items(retail.offers(spark, d)), live(spark, d))
+    return baskets.one_store(sold_items(spark, d), live(spark, d))
 
 
 @query("plan_balanced", SETS + """ SELECT list_id, array_to_string(s, ',') AS stores, matched, cents, charged FROM (SELECT *, cents + (len(s) - 1) * 3500 AS charged,
   row_number() OVER (PARTITION BY list_id ORDER BY matched DESC, cents + (len(s) - 1) * 3500, len(s), array_to_string(s, ',')) AS n FROM sums) x WHERE n = 1""")
 def plan_balanced(spark, d):
-    return baskets.balanced(baskets.items(retail.offers(spark, d)), live(spark, d))
+    return baskets.balanced(sold_items(spark, d), live(spark, d))
 
 
 _LEG = "CAST(round(2 * 6371000 * asin(sqrt(least(sin(radians({1}.la - {0}.la) / 2) * sin(radians({1}.la - {0}.la) / 2) + cos(radians({0}.la)) * cos(radians({1}.la)) * sin(radians({1}.lo - {0}.lo) / 2) * sin(radians({1}.lo - {0}.lo) / 2), 1.0::DOUBLE)))) AS BIGINT)"
@@ -249,7 +258,7 @@ ROUTES = COSTS + f""", cand AS (SELECT list_id, store_id FROM costs),
 
 @query("plan_route", ROUTES)
 def plan_route(spark, d):
-    return baskets.routes(baskets.items(retail.offers(spark, d)), live(spark, d), retail.stores(spark, d), HOME)
+    return baskets.routes(sold_items(spark, d), live(spark, d), retail.stores(spark, d), HOME)
 
 
 @query("nearby_stores", f"""SELECT store_id, slug, city, metres FROM (SELECT *, CAST(round(2 * 6371000 * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians({HOME[0]} - latitude) / 2), 2)
@@ -335,8 +344,9 @@ ALERTS = """, wants AS (SELECT o_custkey AS user_id, l_partkey AS product_id, CA
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey), merged AS (SELECT user_id, product_id, store_id, max(target_cents) AS target_cents, count(*) AS merged FROM wants GROUP BY ALL)"""
 
 
-def wants(spark: SparkSession, d: str) -> DataFrame:
-    lines, orders = retail.table(spark, d, "lineitem"), retail.table(spark, d, "orders")
+def wants(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """What users want; with ``of`` only wants of these products."""
+    lines, orders = retail.lines_of(retail.table(spark, d, "lineitem"), of), retail.table(spark, d, "orders")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("product_id"), F.expr("if(l_linenumber % 2 = 0, l_suppkey, null)").alias("store_id"), "l_linenumber")
     priced = rows.join(retail.products(spark, d).select("product_id", "retail_cents"), "product_id")
     return priced.select("user_id", "product_id", "store_id", F.expr("retail_cents * (l_linenumber + 5) div 10").alias("target_cents"))
@@ -349,12 +359,12 @@ def alerts_merged(spark, d):
 
 @query("alerts_matched", ALERTS + """ SELECT DISTINCT m.user_id, m.product_id, l.offer_id, l.price_cents FROM merged m JOIN live l ON m.product_id = l.product_id AND l.price_cents <= m.target_cents AND (m.store_id IS NULL OR m.store_id = l.store_id)""")
 def alerts_matched(spark, d):
-    return alerts.price_matches(alerts.merged_alerts(wants(spark, d)), live(spark, d)).distinct()
+    return alerts.price_matches(alerts.merged_alerts(wants(spark, d, live_products(spark, d))), live(spark, d)).distinct()
 
 
 @query("favourites_matched", ALERTS + " SELECT DISTINCT m.user_id, m.product_id, l.offer_id, l.price_cents FROM merged m JOIN live l ON m.product_id = l.product_id AND l.off_permille > 0")
 def favourites_matched(spark, d):
-    likes = wants(spark, d).select("user_id", "product_id").distinct()
+    likes = wants(spark, d, live_products(spark, d)).select("user_id", "product_id").distinct()
     return alerts.favourite_matches(likes, live(spark, d))
 
 

@@ -48,13 +48,20 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offers_of(spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "orders"))
+def offers(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """All offers, or those of the products ``of`` (``product_id``): lines of other products are then left out before any are moved."""
+    lines = table(spark, sf_dir, "lineitem")
+    n = lines.count()
+    return offers_of(spread(lines_of(lines, of), n=n), table(spark, sf_dir, "orders"))
 
 
-def spread(lines: DataFrame, task_lines: int = TASK_LINES) -> DataFrame:
-    """Lines dealt by list into parts that grow in number, not in size; what follows holds a part's lists in memory."""
-    parts = -(-lines.count() // task_lines)
+def lines_of(lines: DataFrame, of: DataFrame | None) -> DataFrame:
+    return lines if of is None else lines.join(of.select(F.col("product_id").alias("l_partkey")), "l_partkey", "left_semi")
+
+
+def spread(lines: DataFrame, task_lines: int = TASK_LINES, n: int | None = None) -> DataFrame:
+    """Lines (at most ``n``, or as counted) dealt by list into parts that grow in number, not in size; what follows holds a part's lists in memory."""
+    parts = -(-(lines.count() if n is None else n) // task_lines)
     if parts <= LEFT_ALONE:
         return lines
     return lines.repartition(max(parts, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "l_orderkey")
