@@ -74,13 +74,21 @@ def cheapest_anywhere(lists: DataFrame, live: DataFrame) -> DataFrame:
 
 def combinations(lists: DataFrame, live: DataFrame, most: int) -> DataFrame:
     """Every set of one to ``most`` of the stores that have something of a list: ``list_id``, ``set`` (sorted store ids)."""
-    c = store_costs(lists, live).select("list_id", "store_id")
-    sets = c.select("list_id", F.array("store_id").alias("set"), F.col("store_id").alias("_last"))
-    out = sets
-    for _ in range(most - 1):
-        sets = sets.join(c, "list_id").where("store_id > _last").select("list_id", F.array_append("set", F.col("store_id")).alias("set"), F.col("store_id").alias("_last"))
-        out = out.unionByName(sets)
-    return out.drop("_last")
+    return store_sets(lists.join(best_per_store(live), "product_id").select("list_id", "store_id"), most)
+
+
+def store_sets(have: DataFrame, most: int) -> DataFrame:
+    """Every ``set`` (sorted) of one to ``most`` of the stores of a list, each once.
+
+    A list's stores are gathered once and sets grow from them where they lie:
+    each passes on, and is extended by each store behind its last.
+    """
+    none = F.slice("rest", 1, 0)
+    rows = have.groupBy("list_id").agg(F.array_sort(F.collect_set("store_id")).alias("rest")).select("list_id", none.alias("set"), "rest")
+    grown = F.transform("rest", lambda s, k: F.struct(F.array_append("set", s).alias("set"), F.slice("rest", k + 2, F.size("rest")).alias("rest")))
+    for _ in range(most):
+        rows = rows.select("list_id", F.inline(F.concat(F.array(F.struct("set", none.alias("rest"))), grown)))
+    return rows.where(F.size("set") > 0).select("list_id", "set")
 
 
 def set_costs(lists: DataFrame, live: DataFrame, most: int) -> DataFrame:

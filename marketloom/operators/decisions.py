@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import metres, pack_size_key
+from marketloom.operators.baskets import store_sets
 from marketloom.operators.pricing import history
 
 # Deal scores
@@ -100,13 +101,7 @@ def set_plans(priced: DataFrame, most: int) -> DataFrame:
     ``used`` are the stores that something is bought in; sets that use fewer
     stores than they have are plans of the smaller set again, and left out.
     """
-    have = priced.select("list_id", "store_id").distinct()
-    sets = have.select("list_id", F.array("store_id").alias("set"), F.col("store_id").alias("last"))
-    every = sets
-    for _ in range(most - 1):
-        sets = sets.join(have, "list_id").where("store_id > last").select("list_id", F.array_append("set", F.col("store_id")).alias("set"), F.col("store_id").alias("last"))
-        every = every.unionByName(sets)
-    offered = every.select("list_id", "set", F.explode("set").alias("store_id")).join(priced, ["list_id", "store_id"])
+    offered = store_sets(priced.select("list_id", "store_id"), most).select("list_id", "set", F.explode("set").alias("store_id")).join(priced, ["list_id", "store_id"])
     best = offered.groupBy("list_id", "set", "product_id", "quantity", "wanted").agg(F.min(F.struct("upcoming", "price_cents", "store_id")).alias("o"))
     cost = F.col("o.price_cents") * F.col("quantity")
     plans = best.groupBy("list_id", "set", "wanted").agg(F.count("*").alias("n"), F.sum(cost).alias("cents"), F.array_sort(F.collect_set("o.store_id")).alias("used"), F.count_if("o.upcoming").alias("upcoming"))

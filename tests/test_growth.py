@@ -138,3 +138,11 @@ def test_names_are_compared_once_for_each_different_text(spark, monkeypatch):
     got = found.collect()
     assert len(got) == 300 and {(r.name, r.m) for r in got} == want
     assert looked.value <= 40  # three pairs, which a plan may ask for some times; 600 and more before
+
+
+def test_sets_of_stores_are_made_without_joins(spark):
+    have = [(k, s) for k in range(6) for s in random.Random(k).sample(range(20), k)]
+    sets = baskets.store_sets(spark.createDataFrame(have + have, "list_id long, store_id long"), 3)
+    want = sorted((k, list(c)) for k in range(6) for n in (1, 2, 3) for c in itertools.combinations(sorted(s for i, s in have if i == k), n))
+    assert sorted((r.list_id, r.set) for r in sets.collect()) == want
+    assert "Join" not in sets._jdf.queryExecution().executedPlan().toString()
