@@ -10,7 +10,7 @@ from marketloom.functions.text import pack_size_key
 from marketloom.operators import baskets, decisions, health, images, matching, parsers, pricing, ranges
 from marketloom.plans.base_sql import fold
 from marketloom.plans.more import _FAR
-from marketloom.plans.registry import _PACK, HOME, ITEMS, live, query
+from marketloom.plans.registry import _PACK, HOME, ITEMS, live, live_products, query, sold_items
 from marketloom.sources import retail
 from marketloom.sources.retail import AS_OF
 
@@ -35,7 +35,7 @@ _SIGNALS = f""", best AS (SELECT * FROM live WHERE price_cents > 0 QUALIFY row_n
    WHEN NOT upcoming AND score >= 85 AND (coalesce(price_cents * 100 <= usual * 92, false) OR coalesce(price_cents * 100 <= min_30 * 103, false) OR coalesce(off >= 25, false)) THEN 'buy' ELSE 'wait' END AS decision FROM u""")
 def deal_decisions(spark, d):
     """Whether to buy each live offer now, by four weighted signals."""
-    return decisions.deal_decisions(live(spark, d), retail.offers(spark, d), retail.products(spark, d), AS_OF)
+    return decisions.deal_decisions(live(spark, d), retail.offers(spark, d, live_products(spark, d)), retail.products(spark, d), AS_OF)
 
 
 _WANTED = ITEMS + """, sold AS (SELECT i.*, count(*) OVER (PARTITION BY list_id) AS wanted FROM items i WHERE product_id IN (SELECT product_id FROM live)),
@@ -59,19 +59,19 @@ _CHEAPEST = " SELECT list_id, array_to_string(s, ',') AS stores, cents, upcoming
   SELECT list_id, count(*) AS items, sum(price_cents * quantity)::BIGINT AS cents, count(DISTINCT store_id) AS stores, count(*) FILTER (WHERE upcoming) AS upcoming FROM one GROUP BY list_id""")
 def plan_cover_absolute(spark, d):
     """Every item at its best offer anywhere; one that holds today comes before any other."""
-    return decisions.absolute_plan(baskets.items(retail.offers(spark, d)), live(spark, d))
+    return decisions.absolute_plan(sold_items(spark, d), live(spark, d))
 
 
 @query("plan_cover_one_store", _WANTED + _sets(1) + _CHEAPEST)
 def plan_cover_one_store(spark, d):
     """The cheapest store that has all that can be bought; no plan where none has."""
-    return decisions.one_store_plan(baskets.items(retail.offers(spark, d)), live(spark, d))
+    return decisions.one_store_plan(sold_items(spark, d), live(spark, d))
 
 
 @query("plan_cover_balanced", _WANTED + _sets(2) + _CHEAPEST)
 def plan_cover_balanced(spark, d):
     """The cheapest store or pair that has all of it, a second store at its price."""
-    return decisions.balanced_plan(baskets.items(retail.offers(spark, d)), live(spark, d))
+    return decisions.balanced_plan(sold_items(spark, d), live(spark, d))
 
 
 #: The given stores lie far apart, so the presets are tried with a wider circle.

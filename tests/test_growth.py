@@ -104,6 +104,25 @@ def test_overlaps_read_each_offer_once(spark):
     assert read.value == len(rows)
 
 
+def test_names_are_compared_once_for_each_different_text(spark, monkeypatch):
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        looked.add(1)
+        return value
+
+    real = images.pack_size_key
+    monkeypatch.setattr(images, "pack_size_key", lambda text: real(counted(text)))
+    rows = spark.createDataFrame([(k, "Pivo 0,5 l", ["x", "y", None][k % 3]) for k in range(300)], "product_id long, label string, name string")
+    found = images.lexical_scores(rows, F.concat_ws(" ", "label", "name"), F.col("label"), ["label", "name"])
+    want = {(r.name, r.m) for r in rows.select("name", images.lexical_score(F.concat_ws(" ", "label", "name"), F.col("label")).alias("m")).collect()}
+    looked.value = 0
+    got = found.collect()
+    assert len(got) == 300 and {(r.name, r.m) for r in got} == want
+    assert looked.value <= 40  # three pairs, which a plan may ask for some times; 600 and more before
+
+
 def test_catalogue_words_are_compared_once_for_each_different_name(spark, monkeypatch):
     looked = spark.sparkContext.accumulator(0)
 
@@ -121,23 +140,19 @@ def test_catalogue_words_are_compared_once_for_each_different_name(spark, monkey
     assert looked.value <= 20  # two names; 100 and more before
 
 
-def test_names_are_compared_once_for_each_different_text(spark, monkeypatch):
-    looked = spark.sparkContext.accumulator(0)
+def test_plans_move_only_lines_of_products_on_offer(spark, sf_dir, monkeypatch):
+    on_offer = {r.product_id for r in registry.live_products(spark, sf_dir).collect()}
+    moved, real, want = [], retail.lines_of, retail.table(spark, sf_dir, "lineitem").where(F.col("l_partkey").isin(*on_offer)).count()
 
-    @F.udf("string")
-    def counted(value):
-        looked.add(1)
-        return value
+    def seen(lines, of):
+        kept = real(lines, of)
+        moved.append(kept.count())
+        return kept
 
-    real = images.pack_size_key
-    monkeypatch.setattr(images, "pack_size_key", lambda text: real(counted(text)))
-    rows = spark.createDataFrame([(k, "Pivo 0,5 l", ["x", "y", None][k % 3]) for k in range(300)], "product_id long, label string, name string")
-    found = images.lexical_scores(rows, F.concat_ws(" ", "label", "name"), F.col("label"), ["label", "name"])
-    want = {(r.name, r.m) for r in rows.select("name", images.lexical_score(F.concat_ws(" ", "label", "name"), F.col("label")).alias("m")).collect()}
-    looked.value = 0
-    got = found.collect()
-    assert len(got) == 300 and {(r.name, r.m) for r in got} == want
-    assert looked.value <= 40  # three pairs, which a plan may ask for some times; 600 and more before
+    monkeypatch.setattr(retail, "lines_of", seen)
+    for name in ("deal_decisions", "alerts_matched", "plan_one_store", "plan_route", "plan_cover_one_store"):
+        registry.QUERIES[name](spark, sf_dir)
+    assert 0 < want < retail.table(spark, sf_dir, "lineitem").count() / 2 and moved == [want] * 5
 
 
 def test_sets_of_stores_are_made_without_joins(spark):
