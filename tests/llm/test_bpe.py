@@ -53,3 +53,22 @@ def test_edge_cases(spark):
     back = bpe.decode_documents(coded, PATH, tokens.PATTERN)
     assert sorted(bytes(r.decoded) for r in back.collect()) == [b"", b"", b"hi there", b"hi there"]
     assert bpe.round_trip(docs.limit(0), ["doc_id"], PATH, tokens.PATTERN).count() == 0
+
+
+def test_side_by_side(theirs, monkeypatch):
+    """Short pieces of a batch are merged together, as each would be alone; none goes by itself."""
+    random.seed(4)
+    codec = bpe.Codec(PATH, tokens.PATTERN)
+    alphabet = ["a", "e", "th", "ing", "s", "é", "ß", "東", "🙂", "\x00", "qz"]
+    words = ["".join(random.choices(alphabet, k=random.randint(1, 20))) for _ in range(3000)]
+    for width in (2, 4, 8, 16, 32, 64):
+        pieces = [p for w in words if max(width // 2, 1) < len(p := w.encode()) <= width and p not in codec.ranks]
+        assert pieces or width == 2
+        if pieces:
+            assert bpe.merge_side_by_side(pieces, codec.pairs, width) == [bpe.merge(p, codec.ranks) for p in pieces]
+    monkeypatch.setattr(bpe, "merge", None)
+    texts = [" ".join(random.choices(words, k=40)) for _ in range(50)]
+    texts = [t for t in texts if max(len(p.encode()) for p in codec.find(t)) <= bpe.SIDE_BY_SIDE]
+    assert len(texts) > 5
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids.tolist() == theirs.encode_ordinary(text)
