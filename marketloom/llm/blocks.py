@@ -14,8 +14,11 @@ edge of it fails, a second forest joins the groups found so far by their nearest
 codes, and then all other pairs of that bucket between groups still different
 are compared too. So a group of near copies costs a few times as many
 comparisons as it has members, and yet no pair is lost that all would link.
-Where bodies are short the last pairs are compared in the task in which their
-members meet, each in one of the buckets they share, and only links leave it.
+Where bodies are short all these other pairs are compared in the task in which
+their members meet, each in one of the buckets they share, and only links leave
+it; bodies go only to the buckets in which their owner is near a member of
+another group. Where bags have sizes, those of which one is too small for the
+other to be similar are no pair from the beginning.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ LOOKED = 12
 #: Bags of at most so many features use all but one of them; pairs of parts serve from the second to below the third size.
 ALL_BUT_ONE, PAIR_FROM, PAIR_BELOW = 12, 8, 16
 PARTS = 5
+#: Similar bags that have a ``size`` have at least this share (numerator, denominator) of each other's.
+SIZE_SHARE = (4, 5)
 #: Buckets of more members than this, as counted in one of ``SAMPLED`` of them, are dealt into cells.
 BUCKET_ROWS, SAMPLED = 1024, 16
 _LANES = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
@@ -139,6 +144,17 @@ def forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np
             label[:] = shorter
 
 
+def _fitting(size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs have sizes that similar bags may have."""
+    share, of = SIZE_SHARE
+    return of * np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j])
+
+
+def _sized(signed: DataFrame) -> list[str]:
+    """Columns of a member but its bucket and group."""
+    return [c for c in ("node", "fp", "size") if c in signed.columns]
+
+
 def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table.column(n).to_numpy() for n in names]
 
@@ -165,12 +181,15 @@ def _pairs(rows: DataFrame, max_bits: int, groups: bool, nearest: bool = False)
             order = np.lexsort((gray_order(code), bucket))
             bucket, node, code = bucket[order], node[order], code[order]
             of = _columns(table, "grp")[0][order] if groups else node
+            size = _columns(table, "size")[0][order] if "size" in table.column_names else None
             label = np.arange(len(node))
             if nearest:
                 _, first, group = np.unique(of, return_index=True, return_inverse=True)
                 label = first[group]
             for i, j in near_pairs(code, _starts(bucket), max_bits):
                 apart = of[i] != of[j]
+                if size is not None:
+                    apart &= _fitting(size, i, j)
                 i, j = i[apart], j[apart]
                 if groups and not nearest:
                     found = [(i, j)]
@@ -194,23 +213,24 @@ def _hot(counted: DataFrame, times: int) -> DataFrame:
 
 
 def candidate_forest(signed: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Forest edges (``a``, ``b``, ``bucket``) of ``node``, ``fp``, ``keys``; and the large buckets.
+    """Forest edges (``a``, ``b``, ``bucket``) of ``node``, ``fp``, ``keys`` (and ``size``); and the large buckets.
 
     A large bucket is dealt at random into cells, differently for each bucket,
     and each member goes to one cell.
     """
-    member = signed.select("node", "fp", F.explode("keys").alias("bucket"))
+    member = signed.select(*_sized(signed), F.explode("keys").alias("bucket"))
     hot = _hot(member.where(F.pmod("node", F.lit(SAMPLED)) == 0), SAMPLED)
     if not hot.isEmpty():
         cell = F.pmod(F.xxhash64("node", "bucket"), F.col("cells"))
         member = member.join(hot, "bucket", "left").withColumn("bucket", F.when(F.col("cells").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", cell, F.lit("cell"))))
-    return materialise(_pairs(member.select("node", "fp", "bucket"), max_bits, False)), hot
+    return materialise(_pairs(member.select(*_sized(signed), "bucket"), max_bits, False)), hot
 
 
 def _other_pairs(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, max_bits: int, nearest: bool) -> DataFrame:
     """``a`` and ``b`` of pairs of the ``doubtful`` buckets between different groups, all or a forest; every two members meet in one cell."""
-    member = signed.select("node", "fp", F.explode("keys").alias("bucket")).join(sent(doubtful, 24 * doubtful.count()), "bucket", "left_semi")
-    member = materialise(member.join(group_of, "node", "left").select("node", "fp", "bucket", F.coalesce("grp", "node").alias("grp")))
+    sized = _sized(signed)
+    member = signed.select(*sized, F.explode("keys").alias("bucket")).join(sent(doubtful, 24 * doubtful.count()), "bucket", "left_semi")
+    member = materialise(member.join(group_of, "node", "left").select(*sized, "bucket", F.coalesce("grp", "node").alias("grp")))
     hot = _hot(member, 1)
     spread = member
     if not hot.isEmpty():
@@ -218,16 +238,17 @@ def _other_pairs(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, ma
         own = F.pmod(F.xxhash64("node"), F.col("cells"))
         spread = spread.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
         cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-        spread = spread.select("node", "fp", "grp", F.when(F.col("cells") == 1, F.col("bucket")).otherwise(cell).alias("bucket"))
+        spread = spread.select(*sized, "grp", F.when(F.col("cells") == 1, F.col("bucket")).otherwise(cell).alias("bucket"))
     pairs = materialise(_pairs(spread, max_bits, True, nearest).select("a", "b").distinct())
     release(member, hot)
     return pairs
 
 
 def _several(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (``node``, ``fp``, ``bucket``, ``grp``) of the ``doubtful`` buckets, and those buckets (with ``m`` members) that still hold several groups."""
-    member = signed.select("node", "fp", F.explode("keys").alias("bucket")).join(sent(doubtful, 24 * doubtful.count()), "bucket", "left_semi")
-    member = materialise(member.join(group_of, "node", "left").select("node", "fp", "bucket", F.coalesce("grp", "node").alias("grp")))
+    """Members (``node``, ``fp``, ``size``, ``bucket``, ``grp``) of the ``doubtful`` buckets, and those buckets (with ``m`` members) that still hold several groups."""
+    sized = _sized(signed)
+    member = signed.select(*sized, F.explode("keys").alias("bucket")).join(sent(doubtful, 24 * doubtful.count()), "bucket", "left_semi")
+    member = materialise(member.join(group_of, "node", "left").select(*sized, "bucket", F.coalesce("grp", "node").alias("grp")))
     found = member.groupBy("bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("m")).where("low <> high")
     return member, materialise(found.select("bucket", "m"))
 
@@ -240,8 +261,10 @@ def _met(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, bodies: Ca
 
     In a large bucket the members of its greatest group meet the others only,
     which are dealt by pairs of salts; so what moves is in proportion to the
-    members outside the greatest group. Two members that share several buckets
-    are compared in the least of them.
+    members outside the greatest group. A first pass over codes and sizes alone
+    finds the members that have anyone to be compared with; only these get their
+    bodies. Two members that share several buckets are compared in the least of
+    them.
     """
     member, several = _several(signed, doubtful, group_of)
     here = member.join(several, "bucket")
@@ -255,41 +278,72 @@ def _met(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, bodies: Ca
     cells = F.expr("""case when ka is null then array(struct(0 as kind, 0 as x, 0 as y))
       when main then transform(sequence(0, kb - 1), b -> struct(1 as kind, b as x, sa as y))
       else concat(transform(sequence(0, ka - 1), a -> struct(1 as kind, sb as x, a as y)), transform(sequence(0, kb - 1), b -> struct(0 as kind, least(b, sb) as x, greatest(b, sb) as y))) end""")
-    owned = here.groupBy("node").agg(F.collect_set("bucket").alias("own"))
-    known = materialise(bodies(owned.select("node")).join(owned, "node"))
-    rows = placed.select("node", "fp", "grp", "main", "bucket", F.inline(cells)).join(known, "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sized = _sized(signed)
+    dealt = placed.select(*sized, "grp", "main", "bucket", F.inline(cells))
+
+    def near(cell: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs of a cell that are to be compared, the nearest codes first as far as they come together."""
+        code = cell.column("fp").to_numpy().view(np.uint64)
+        order = np.argsort(gray_order(code))
+        code = code[order]
+        main, grp = (cell.column(n).to_numpy()[order] for n in ("main", "grp"))
+        size = cell.column("size").to_numpy()[order] if "size" in sized else None
+        crossed = cell.column("kind")[0].as_py() == 1
+        for i, j in near_pairs(code, np.zeros(1, np.int64), max_bits):
+            apart = grp[i] != grp[j]
+            if crossed:
+                apart &= main[i] != main[j]
+            if size is not None:
+                apart &= _fitting(size, i, j)
+            i, j = i[apart], j[apart]
+            nearest = np.argsort(np.bitwise_count(code[i] ^ code[j]), kind="stable")
+            yield order[i[nearest]], order[j[nearest]]
+
+    def each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for table in whole_groups(batches, _CELL):
             starts = group_starts(table, _CELL)
             for a, b in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
-                if b - a < 2:
-                    continue
-                cell = table.slice(int(a), int(b - a)).combine_chunks()
-                code = cell.column("fp").to_numpy().view(np.uint64)
-                order = np.argsort(gray_order(code))
-                cell, code = cell.take(pa.array(order)), code[order]
-                bucket, crossed = cell.column("bucket")[0].as_py(), cell.column("kind")[0].as_py() == 1
-                main, label = (cell.column(n).to_numpy(zero_copy_only=False) for n in ("main", "grp"))
-                label = np.unique(label, return_inverse=True)[1]
-                body, own = cell.column("body").to_pylist(), [frozenset(x) for x in cell.column("own").to_pylist()]
-                found: tuple[list[int], list[int]] = [], []
-                for i, j in near_pairs(code, np.zeros(1, np.int64), max_bits):
-                    apart = label[i] != label[j]
-                    if crossed:
-                        apart &= main[i] != main[j]
-                    for p, q in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-                        if label[p] != label[q] and min(own[p] & own[q]) == bucket and similar(body[p], body[q]):
-                            label[label == label[q]] = label[p]
-                            found[0].append(p)
-                            found[1].append(q)
-                if found[0]:
-                    key = cell.column("key").combine_chunks()
-                    yield pa.RecordBatch.from_arrays([key.take(pa.array(found[0])), key.take(pa.array(found[1]))], ["u", "v"])
-
-    links = rows.repartition(*_CELL).sortWithinPartitions(*_CELL).select(*_CELL, "fp", "grp", "main", "own", "key", "body").mapInArrow(run, "u binary, v binary")
-    same = materialise(links.distinct())
-    release(member, several, salts, known)
+                if b - a > 1:
+                    yield table.slice(int(a), int(b - a)).combine_chunks()
+
+    def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in each_cell(batches):
+            has = np.zeros(cell.num_rows, bool)
+            for i, j in near(cell):
+                has[i] = has[j] = True
+            if has.any():
+                yield from cell.filter(pa.array(has)).to_batches()
+
+    # As many tasks as there are partitions, a number given: the work is in pairs, not in the few bytes that the planner would join tasks by.
+    n_tasks = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def in_cells(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n_tasks, *_CELL).sortWithinPartitions(*_CELL)
+
+    dealt = dealt.select(*_CELL, *sized, "grp", "main")
+    paired = materialise(in_cells(dealt).mapInArrow(with_partner, dealt.schema))
+    owned = paired.groupBy("node").agg(F.collect_set("bucket").alias("own"))
+    known = materialise(bodies(owned.select("node")).join(owned, "node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in each_cell(batches):
+            bucket = cell.column("bucket")[0].as_py()
+            label = np.unique(cell.column("grp").to_numpy(), return_inverse=True)[1]
+            body, own = cell.column("body").to_pylist(), [frozenset(x) for x in cell.column("own").to_pylist()]
+            found: tuple[list[int], list[int]] = [], []
+            for i, j in near(cell):
+                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                    if label[p] != label[q] and min(own[p] & own[q]) == bucket and similar(body[p], body[q]):
+                        label[label == label[q]] = label[p]
+                        found[0].append(p)
+                        found[1].append(q)
+            if found[0]:
+                key = cell.column("key").combine_chunks()
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(found[0])), key.take(pa.array(found[1]))], ["u", "v"])
+
+    rows = paired.join(known, "node").select(*dealt.columns, "own", "key", "body")
+    same = materialise(in_cells(rows).mapInArrow(run, "u binary, v binary").distinct())
+    release(member, several, salts, paired, known)
     return same
 
 
@@ -318,10 +372,11 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], simi
     """``key`` and ``group`` (the least key) of each member of a class of similar bags.
 
     ``signed`` has ``node`` (64 bits of the key), ``fp`` and ``keys`` (buckets),
-    once for each node; ``fetch`` gives ``node``, ``key`` and ``body`` of the
+    once for each node, and may have ``size`` (see ``SIZE_SHARE``); ``fetch`` gives ``node``, ``key`` and ``body`` of the
     nodes asked for, of which there are as many as it is told at most; only
     these bodies are moved. ``short``: bodies are short enough to go to each
-    bucket in which the last pairs are compared.
+    bucket in which the other pairs are compared; there is no second forest then,
+    as pairs are compared nearest first where they meet.
     """
     edges, hot = candidate_forest(signed, max_bits)
     wanted = materialise(_nodes_of(edges))
@@ -353,8 +408,8 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], simi
             failed = failed.unionByName(several.select("bucket"))
         doubtful = materialise(failed.distinct())
         scratch.append(doubtful)
-        for nearest in (True, False):
-            if nearest or not short:
+        for nearest in (False,) if short else (True, False):
+            if not short:
                 if not nearest:  # buckets whose groups have been joined need no more pairs
                     member, still = _several(signed, doubtful, group_of)
                     doubtful = still.select("bucket")

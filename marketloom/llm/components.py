@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,22 @@ CONTRACTED = 1 << 20
 LAST = 1 << 15
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether each ``u`` occurs once and is no ``v``: one pass with partial sums."""
+def _crossed(edges: DataFrame) -> DataFrame:
+    """Each ``u`` that occurs more than once or is a ``v`` too, by one pass with partial sums; none if the edges are stars."""
     ends = edges.select("u", F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("low"), F.lit(1).alias("high")))
-    return ends.groupBy("u").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 or low = 1 and high = 1").isEmpty()
+    return ends.groupBy("u").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 or low = 1 and high = 1").select("u")
+
+
+def _split(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``edges`` of components that are one star each, and the others, if there are any; ``edges`` is used up."""
+    crossed = materialise(_crossed(edges))
+    if crossed.isEmpty():
+        release(crossed)
+        return edges, None
+    centres = materialise(edges.join(crossed, "u").select("v").unionByName(crossed.select(F.col("u").alias("v"))).distinct())
+    done, left = (materialise(edges.join(centres, "v", how).select("u", "v")) for how in ("left_anti", "left_semi"))
+    release(edges, crossed, centres)
+    return done, left
 
 
 def least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -80,7 +93,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Edges are contracted in the tasks that read them, and again where those
     of one ``u`` have come together, sorted, so that a task run anew gives the
     same stars. A node has then one edge for each contraction it was part of,
-    however large its component, and most components are done. For the rest
+    however large its component, and most components are done: these are set
+    aside, so that no round moves them again. For the rest
     every round is a few joins and partial aggregations, written to the shared
     folder, so lineage stays short and no component is gathered anywhere. The
     last few edges, at most ``LAST``, are united in one task. The
@@ -93,12 +107,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         """Contracted in the tasks that hold them, then where edges of one ``u`` meet."""
         return materialise(contracted(contracted(rows).repartition("u").sortWithinPartitions("u", "v")).distinct())
 
-    e = met(edges.where("u <> v"))
-    while not _are_stars(e):
+    done, e = _split(met(edges.where("u <> v")))
+    if e is None:
+        return done
+    parts = [done]
+    while e is not None:
         if e.count() <= LAST:
-            last = materialise(contracted(e.coalesce(1)))
+            parts.append(materialise(contracted(e.coalesce(1))))
             release(e)
-            return last
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         # Large star: neighbours above a node move to its least neighbour.
@@ -107,6 +124,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its neighbours below it move to the least of them.
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = met(small.unionByName(low.select("u", F.col("m").alias("v"))))
+        done, e = _split(met(small.unionByName(low.select("u", F.col("m").alias("v")))))
+        parts.append(done)
         release(large, low)
-    return e
+    found = materialise(reduce(DataFrame.unionByName, parts))
+    release(*parts)
+    return found

@@ -90,8 +90,8 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 
 
 def signed_lines(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """``row``, ``line_no``, ``key`` (two words), ``fp``, and ``keys`` with their ``sizes``, of each line with a word."""
-    out: dict[str, list[np.ndarray]] = {n: [] for n in ("row", "line_no", "key", "fp", "sizes", "keys")}
+    """``row``, ``line_no``, ``key`` (two words), ``fp``, ``size`` (bytes, normalised), and ``keys`` with their ``sizes``, of each line with a word."""
+    out: dict[str, list[np.ndarray]] = {n: [] for n in ("row", "line_no", "key", "fp", "size", "sizes", "keys")}
     for held in _pieces(texts):
         h, size, line = hashed_words(b"\n".join(p for _, _, p in held))
         if not len(h):
@@ -102,6 +102,7 @@ def signed_lines(texts: list[bytes]) -> dict[str, np.ndarray]:
         # Sums of hashes, each times an odd factor of its place.
         factor = [mixed((place.astype(np.uint64) + np.uint64(1)) * np.uint64(c)) | np.uint64(1) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
         out["key"].append(np.stack([mixed(np.add.reduceat(h * f, first) + count.astype(np.uint64)) for f in factor], 1))
+        out["size"].append(np.add.reduceat(size, first) + count - 1)
         owner = np.repeat(np.arange(len(first)), count)
         long = size >= FEATURE_BYTES
         n_long = np.add.reduceat(long.astype(np.int64), first)
@@ -139,9 +140,9 @@ def _source(docs: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def line_table(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``row_hash``, ``line_no``, ``key`` (128-bit hash of the normalised line), ``node``, ``fp`` and ``keys`` of each line that counts."""
+    """``doc_id``, ``row_hash``, ``line_no``, ``key`` (128-bit hash of the normalised line), ``node``, ``fp``, ``size`` and ``keys`` of each line that counts."""
     source = _source(docs, ident, text).where("body is not null")
-    schema = extended(source.drop("body").schema, "line_no int, key binary, node long, fp long, keys array<long>")
+    schema = extended(source.drop("body").schema, "line_no int, key binary, node long, fp long, size long, keys array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,7 +158,7 @@ def line_table(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
                 offsets = np.concatenate(([0], np.cumsum(got["sizes"]))).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(got["keys"].view(np.int64)))
                 node = np.ascontiguousarray(got["key"][:, 0]).view(np.int64)
-                columns = [pa.array(got["line_no"].astype(np.int32)), _binary(got["key"]), pa.array(node), pa.array(got["fp"].view(np.int64)), keys]
+                columns = [pa.array(got["line_no"].astype(np.int32)), _binary(got["key"]), pa.array(node), pa.array(got["fp"].view(np.int64)), pa.array(got["size"].astype(np.int64)), keys]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *columns], schema.names)
                 at = end
 
@@ -298,7 +299,7 @@ def removed_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     rows = materialise(line_table(docs, ident, text))
     place = F.struct("doc_id", "row_hash", "line_no")
     nodes = materialise(rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("node").alias("node")))
-    signed = materialise(rows.where(F.size("keys") > 0).select("node", "fp", "keys").dropDuplicates(["node"]))
+    signed = materialise(rows.where(F.size("keys") > 0).select("node", "fp", "size", "keys").dropDuplicates(["node"]))
     classes = linked(signed, lambda wanted, most: _bodies(docs, ident, text, nodes, wanted, most), edit_similar, MAX_BITS, short=True)
     members = materialise(classes.join(nodes, "key").select("key", "group", "first"))
     kept = materialise(members.groupBy("group").agg(F.min("first").alias("kept")))

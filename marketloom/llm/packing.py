@@ -245,5 +245,13 @@ def pack(pieces: DataFrame, grain: int = GRAIN) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces of every row of ``docs`` with their place: tokenized once, then packed by their lengths alone."""
-    return pack(materialise(cut_documents(docs, path, ident, text, with_ids)))
+    """Pieces of every row of ``docs`` with their place: tokenized once, then packed by their lengths alone.
+
+    Ids stay where they are while pieces are packed, and move once, to the place of their piece.
+    """
+    pieces = cut_documents(docs, path, ident, text, with_ids)
+    if not with_ids:
+        return pack(materialise(pieces))
+    numbered = materialise(pieces.withColumn("_piece", F.monotonically_increasing_id()))
+    placed = pack(numbered.drop("ids")).join(numbered.select("_piece", "ids"), "_piece")
+    return placed.select(*pieces.columns, "sequence_id", "offset")

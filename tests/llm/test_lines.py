@@ -142,3 +142,38 @@ def test_pairs_compared_where_they_meet_or_moved(spark, monkeypatch):
     monkeypatch.setattr(lines, "linked", lambda *a, short: real(*a))
     moved = {r.doc_id: r.removed for r in lines.removed_lines(docs).collect()}
     assert there == moved and 30 < len(there) < 130
+
+
+def test_last_pairs_move_in_proportion(spark, monkeypatch):
+    """Of lines that share a bucket by common words alone, only those go with their bodies that are near another in code and size."""
+    from marketloom.llm import blocks
+
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(60):
+        base = ["alpha", "bravo", "charlie", "delta"] * 5 + [f"w{x}" for x in rng.integers(10**5, 10**6, int(rng.integers(8, 40)))]
+        if k < 5:  # of a size that no other line comes near
+            base = [w + "x" * 20 * 3**k if w[0] == "w" else w for w in base]
+        rng.shuffle(base)
+        rows.append((k, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = lines.line_table(docs)
+    assert {r.size for r in table.select("size").collect()} == {len(b" ".join(lines.normalised(t)[0])) for _, t in rows}
+    seen = []
+    met = blocks._met
+
+    def counted(signed, doubtful, group_of, bodies, similar, max_bits):
+        member, several = blocks._several(signed, doubtful, group_of)
+        every = member.join(several, "bucket").select("node").distinct().count()
+
+        def asked(nodes):
+            seen.append((nodes.distinct().count(), every))
+            return bodies(nodes)
+
+        return met(signed, doubtful, group_of, asked, similar, max_bits)
+
+    monkeypatch.setattr(blocks, "_met", counted)
+    monkeypatch.setattr(blocks, "_other_pairs", None)  # lines have no second forest
+    removed = {(r.doc_id, n) for r in lines.removed_lines(docs).collect() for n in r.removed}
+    assert removed == {(k, n) for (k, _), ns in plain(rows).items() for n in ns}
+    assert seen and all(asked < every for asked, every in seen), seen

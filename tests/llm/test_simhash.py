@@ -150,3 +150,22 @@ def test_components_in_rounds_and_at_once(spark, monkeypatch):
         monkeypatch.setattr(components, "LAST", last)
         got = {r.u: r.v for r in components.connected_components(table).collect()}
         assert got == {u: int(v) for u, v in enumerate(want) if u != v}
+
+
+def test_finished_stars_are_set_aside(spark, monkeypatch):
+    """Rounds of the search for components get only what is not one star yet."""
+    from marketloom.llm import components
+
+    rows = [(3 * k + i, 3 * k) for k in range(300) for i in (1, 2)] + [(10_000 + k + 1, 10_000 + k) for k in range(200)]
+    table = spark.createDataFrame(rows, "u long, v long").repartition(7)
+    monkeypatch.setattr(components, "LAST", 0)
+    moved = []
+
+    def counted(edges):
+        moved.append(edges.count())
+        return edges  # tasks that meet no two edges of a component
+
+    monkeypatch.setattr(components, "contracted", counted)
+    got = {r.u: r.v for r in components.connected_components(table).collect()}
+    assert got == {u: v if v < 10_000 else 10_000 for u, v in rows}
+    assert len(moved) > 2 and max(moved[2:]) <= 400
