@@ -24,6 +24,7 @@ other to be similar are no pair from the beginning.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,28 @@ PARTS = 5
 SIZE_SHARE = (4, 5)
 #: Buckets of more members than this, as counted in one of ``SAMPLED`` of them, are dealt into cells.
 BUCKET_ROWS, SAMPLED = 1024, 16
+#: Pairs that are asked for at once whether they are surely apart.
+ASKED = 4096
 _LANES = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
 
 
+@dataclass(frozen=True)
+class Likeness:
+    """Whether two bodies are ``similar``; ``quick`` tells of some that they surely are, ``apart`` which of many pairs (bodies, places of either side) surely are not."""
+
+    similar: Callable[[bytes, bytes], bool]
+    quick: Callable[[bytes, bytes], bool]
+    apart: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
+
+    def __call__(self, a: bytes, b: bytes) -> bool:
+        return self.similar(a, b)
+
+
+def _maybe(similar: Callable[[bytes, bytes], bool], bodies: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs of places ``i``, ``j`` remain to be compared."""
+    return ~similar.apart(bodies, i, j) if isinstance(similar, Likeness) else np.ones(len(i), bool)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit over all."""
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -326,20 +346,46 @@ def _met(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, bodies: Ca
     known = materialise(bodies(owned.select("node")).join(owned, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[tuple, np.ndarray, np.ndarray]] = []
         for cell in each_cell(batches):
-            bucket = cell.column("bucket")[0].as_py()
+            own = [frozenset(x) for x in cell.column("own").to_pylist()]
             label = np.unique(cell.column("grp").to_numpy(), return_inverse=True)[1]
-            body, own = cell.column("body").to_pylist(), [frozenset(x) for x in cell.column("own").to_pylist()]
-            found: tuple[list[int], list[int]] = [], []
+            state = cell.column("bucket")[0].as_py(), cell.column("key"), cell.column("body").to_pylist(), own, label
             for i, j in near(cell):
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    if label[p] != label[q] and min(own[p] & own[q]) == bucket and similar(body[p], body[q]):
-                        label[label == label[q]] = label[p]
-                        found[0].append(p)
-                        found[1].append(q)
-            if found[0]:
-                key = cell.column("key").combine_chunks()
-                yield pa.RecordBatch.from_arrays([key.take(pa.array(found[0])), key.take(pa.array(found[1]))], ["u", "v"])
+                for at in range(0, len(i), ASKED):
+                    held.append((state, i[at : at + ASKED], j[at : at + ASKED]))
+                    if sum(len(h[1]) for h in held) >= ASKED:
+                        yield settled(held)
+                        held = []
+        if held:
+            yield settled(held)
+
+    def settled(held: list[tuple[tuple, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """Links among the pairs of some cells; their labels are joined."""
+        asked: list[tuple[tuple, list[tuple[int, int]]]] = []
+        bodies: list[bytes] = []
+        sides: tuple[list[int], list[int]] = [], []
+        for state, i, j in held:
+            bucket, _, body, own, label = state
+            pairs = zip(i.tolist(), j.tolist(), strict=True)
+            mine = [(p, q) for p, q in pairs if label[p] != label[q] and min(own[p] & own[q]) == bucket]
+            place: dict[int, int] = {}
+            for side, ends in zip(sides, zip(*mine, strict=True), strict=False):
+                for p in ends:
+                    if p not in place:
+                        place[p] = len(bodies)
+                        bodies.append(body[p])
+                    side.append(place[p])
+            asked.append((state, mine))
+        maybe = iter(_maybe(similar, bodies, np.array(sides[0], np.int64), np.array(sides[1], np.int64)).tolist())
+        found: tuple[list[bytes], list[bytes]] = [], []
+        for (_, key, body, _, label), mine in asked:
+            for p, q in mine:
+                if next(maybe) and label[p] != label[q] and similar(body[p], body[q]):
+                    label[label == label[q]] = label[p]
+                    found[0].append(key[p].as_py())
+                    found[1].append(key[q].as_py())
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in found], ["u", "v"])
 
     rows = paired.join(known, "node").select(*dealt.columns, "own", "key", "body")
     same = materialise(in_cells(rows).mapInArrow(run, "u binary, v binary").distinct())
@@ -352,8 +398,14 @@ def _compared(pairs: DataFrame, bodies: DataFrame, similar: Callable[[bytes, byt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [similar(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same, pa.bool_())], ["a", "b", "u", "v", "same"])
+            one, other = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            quick = similar.quick if isinstance(similar, Likeness) else similar
+            same = np.fromiter(map(quick, one, other), bool, len(one))
+            if quick is not similar:
+                rest = np.flatnonzero(~same)
+                rest = rest[_maybe(similar, one + other, rest, rest + len(one))]
+                same[rest] = [similar(one[k], other[k]) for k in rest.tolist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same)], ["a", "b", "u", "v", "same"])
 
     one, other = (bodies.select(F.col("node").alias(n), F.col("key").alias(k), F.col("body").alias(f"body_{n}")) for n, k in (("a", "u"), ("b", "v")))
     joined = pairs.join(one, "a").join(other, "b").select("a", "b", "u", "v", "body_a", "body_b")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.blocks import block_keys, linked, majority_bits, mixed
+from marketloom.llm.blocks import Likeness, block_keys, linked, majority_bits, mixed
 from marketloom.llm.storage import extended, fresh, materialise, release, sent
 
 MIN_WORDS, FUZZY_WORDS = 1, 5
@@ -216,6 +216,24 @@ def _numbered(runs: np.ndarray) -> np.ndarray:
     return (runs.astype(np.int64) << 32) + at - first
 
 
+def _between(a: bytes, b: bytes) -> tuple[list[bytes], list[bytes]]:
+    """The words of two texts without the equal ones at both ends."""
+    x, y = a.split(b" "), b.split(b" ")
+    k, shorter = 0, min(len(x), len(y))
+    while k < shorter and x[k] == y[k]:
+        k += 1
+    e = 0
+    while e < shorter - k and x[-1 - e] == y[-1 - e]:
+        e += 1
+    return x[k : len(x) - e], y[k : len(y) - e]
+
+
+def surely_similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
+    """Whether one alignment of the words costs little enough; else nothing is known."""
+    allowed = _allowed(max(len(a), len(b)), least)
+    return abs(len(a) - len(b)) <= allowed and _aligned(*_between(a, b), allowed) <= allowed
+
+
 def edit_similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     """Whether 1 - (edit distance / longer length) is at least ``least``.
 
@@ -226,14 +244,7 @@ def edit_similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     allowed = _allowed(max(len(a), len(b)), least)
     if abs(len(a) - len(b)) > allowed:
         return False
-    x, y = a.split(b" "), b.split(b" ")
-    k, shorter = 0, min(len(x), len(y))
-    while k < shorter and x[k] == y[k]:
-        k += 1
-    e = 0
-    while e < shorter - k and x[-1 - e] == y[-1 - e]:
-        e += 1
-    x, y = x[k : len(x) - e], y[k : len(y) - e]
+    x, y = _between(a, b)
     if _aligned(x, y, allowed) <= allowed:
         return True
     a, b = b" ".join(x), b" ".join(y)
@@ -275,6 +286,96 @@ def distance_within(a: bytes, b: bytes, allowed: int) -> bool:
     return distance <= allowed
 
 
+#: Bytes of a part whose rows one machine word holds; the class of bytes in the margins between texts, which equals nothing.
+WORD, MARGIN = 64, 30
+#: Pairs that :func:`surely_apart` takes side by side, at most and at least; fewer are compared one by one.
+BESIDE, FEW = 4096, 64
+#: Bytes of the other texts that are looked at for a part of each of these pairs, at most; still longer texts are compared one by one.
+LOOKED_AT = 1 << 20
+#: Classes of folded bytes: letters, blank, digit, and two for all others. Fewer classes make texts more alike, never less.
+_CLASS = np.array([c - 97 if 97 <= c <= 122 else 26 if c == 32 else 27 if c == 48 else 28 + c % 2 if c else MARGIN for c in range(256)], np.uint8)
+
+
+def surely_apart(bodies: list[bytes], i: np.ndarray, j: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Which of the pairs of places ``i``, ``j`` can't be similar, without a doubt; of all others nothing is known.
+
+    A text is cut into parts of ``WORD`` bytes. Of texts within a distance each
+    part lies in the other one shifted by the distance at most, and what the
+    parts cost there does not sum to more than the distance. The least cost of
+    a part is counted for many pairs side by side, a byte of all their other
+    texts at a time, as long as its sum may come to more than is allowed.
+    """
+    size = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    longer = np.maximum(size[i], size[j])
+    allowed = ((1 - least) * longer + 1e-9).astype(np.int64)
+    out = np.abs(size[i] - size[j]) > allowed
+    going = np.flatnonzero(~out & (size[i] >= WORD))
+    going = going[np.argsort(longer[going], kind="stable")]
+    while len(going) >= FEW:
+        n = min(BESIDE, len(going))
+        while n >= FEW and n * (WORD + 2 * allowed[going[n - 1]]) > LOOKED_AT:
+            n //= 2
+        if n < FEW:
+            break  # all that follow are longer
+        left, going = going[:n], going[n:]
+        used, at = np.unique(np.concatenate([i[left], j[left]]), return_inverse=True)
+        # A margin behind each text, and before the first, is wider than any shift.
+        margin = 2 * int(allowed[left[-1]]) + WORD
+        begin = np.cumsum(size[used] + margin) - size[used]
+        code = _CLASS[np.frombuffer(bytes(margin).join([b"", *(bodies[k] for k in used.tolist()), b""]), np.uint8)]
+        part, other = begin[at[:n]], begin[at[n:]]
+        cost, first = np.zeros(n, np.int64), 0
+        while len(left) >= FEW:
+            cost += _least_costs(code, part, other, first, int(allowed[left].max()))
+            first += WORD
+            out[left] = far = cost > allowed[left]
+            own = size[i[left]]
+            more = ~far & (own >= first + WORD) & (cost * own > allowed[left] * first)
+            left, cost, part, other = left[more], cost[more], part[more], other[more]
+    return out
+
+
+def _least_costs(code: np.ndarray, part: np.ndarray, other: np.ndarray, first: int, shift: int) -> np.ndarray:
+    """Least edit distance of the part from ``first`` on of each text to any part of the other text that lies within ``shift`` of it."""
+    parts, row = np.unique(part, return_inverse=True)
+    n = np.arange(len(parts))
+    where = np.zeros((MARGIN + 1, len(parts)), np.uint64)
+    for bit in range(WORD):
+        where[code[parts + (first + bit)], n] |= np.uint64(1 << bit)
+    where[MARGIN] = 0
+    flat = where.ravel()
+    back = min(shift, first)
+    places = code[(other + (first - back)) + np.arange(WORD + shift + back)[:, None]].astype(np.int64) * len(parts) + row
+    plus, minus = np.full(len(part), ~np.uint64(0)), np.zeros(len(part), np.uint64)
+    match, across, up, down = (np.empty(len(part), np.uint64) for _ in range(4))
+    cost = np.full(len(part), WORD, np.uint64)
+    least, one, top = cost.copy(), np.uint64(1), np.uint64(WORD - 1)
+    for at in places:
+        flat.take(at, out=match, mode="clip")
+        np.bitwise_or(match, minus, out=across)
+        # A column as in distance_within: carry in place of down, then up and down.
+        np.bitwise_and(match, plus, out=down)
+        down += plus
+        down ^= plus
+        down |= match
+        np.bitwise_or(down, plus, out=up)
+        np.invert(up, out=up)
+        up |= minus
+        down &= plus
+        cost += np.right_shift(up, top, out=match)
+        cost -= np.right_shift(down, top, out=match)
+        np.minimum(least, cost, out=least)
+        up <<= one
+        if not first:  # texts begin together
+            up |= one
+        down <<= one
+        np.bitwise_or(across, up, out=plus)
+        np.invert(plus, out=plus)
+        plus |= down
+        np.bitwise_and(up, across, out=minus)
+    return least.view(np.int64)
+
+
 def _bodies(docs: DataFrame, ident: str, text: str, nodes: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
     """``node``, ``key`` and ``body`` of the at ``most`` so many lines of ``wanted``, each read where it stands first."""
     places = nodes.join(wanted, "node").select("first.*", "node", "key")
@@ -300,7 +401,7 @@ def removed_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     place = F.struct("doc_id", "row_hash", "line_no")
     nodes = materialise(rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("node").alias("node")))
     signed = materialise(rows.where(F.size("keys") > 0).select("node", "fp", "size", "keys").dropDuplicates(["node"]))
-    classes = linked(signed, lambda wanted, most: _bodies(docs, ident, text, nodes, wanted, most), edit_similar, MAX_BITS, short=True)
+    classes = linked(signed, lambda wanted, most: _bodies(docs, ident, text, nodes, wanted, most), Likeness(edit_similar, surely_similar, surely_apart), MAX_BITS, short=True)
     members = materialise(classes.join(nodes, "key").select("key", "group", "first"))
     kept = materialise(members.groupBy("group").agg(F.min("first").alias("kept")))
     grouped = members.join(kept, "group").select("key", "kept")

@@ -59,6 +59,29 @@ def test_edit_similarity():
         assert lines.edit_similar(a, b) == (distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)), (a, b)
 
 
+def test_pairs_set_aside_together():
+    """Lines of the same words in another order are told apart many at once; none that is similar is lost."""
+    rng = np.random.default_rng(31)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(30)]
+    bodies = [" ".join(rng.choice(words, rng.integers(1, 90))).encode() for _ in range(300)] + [b"", "größe ñ 0".encode() * 20, b"a" * 3000]
+    for k in range(0, 300, 2):  # some near the bound, of every size
+        changed = bytearray(bodies[k])
+        for _ in range(int(rng.uniform(0, 0.3) * len(changed))):
+            at = int(rng.integers(0, len(changed) + 1))
+            changed[at : at + int(rng.integers(0, 2))] = bytes(rng.choice(list(b"xyz "), rng.integers(0, 2)).tolist())
+        bodies.append(b" ".join(bytes(changed).split()))
+    i, j = np.divmod(np.arange(len(bodies) ** 2), len(bodies))
+    size = np.array([len(b) for b in bodies])
+    near = (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])) & (rng.random(len(i)) < 0.1) | ((j == i // 2 + 303) & (i < 300) & (i % 2 == 0))
+    i, j = i[near], j[near]
+    apart = lines.surely_apart(bodies, i, j)
+    similar = np.array([lines.edit_similar(bodies[p], bodies[q]) for p, q in zip(i, j)])
+    assert not (apart & similar).any() and similar.sum() > 60
+    long = size[i] > 2 * lines.WORD
+    assert (apart | similar)[long].mean() > 0.9
+    assert all(distance(bodies[p], bodies[q]) > 0.2 * max(size[p], size[q]) for p, q in list(zip(i[apart], j[apart]))[:15])
+
+
 def test_small_tables(spark):
     rng = np.random.default_rng(9)
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu"]
