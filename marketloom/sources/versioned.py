@@ -23,6 +23,8 @@ from marketloom.operators.lifecycle import GuardError
 KEPT = 2
 #: A partition is written by so many tasks at most, so that a large one is no single task's work.
 SPREAD = 8
+#: Column with the partition's name; rows that come with it have been dealt by it already.
+PART = "_partition"
 
 
 class ConflictError(RuntimeError):
@@ -71,7 +73,7 @@ class VersionedTable:
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*(f"{self.root}/{p}" for p in places))
 
     def commit(self, rows: DataFrame, whole: bool = False, least: int = 0, key: str | None = None, since: int | None = None, beside: Callable[[DataFrame, str], None] | None = None) -> int:
-        """Replace the partitions that ``rows`` touch (all with ``whole``); the new version's number.
+        """Replace the partitions that ``rows`` touch (all with ``whole``); the new version's number. Rows with a column ``PART`` are written as they lie.
 
         The staged files are checked before they count: at least ``least`` rows,
         and with ``key`` each of its values once. ``since`` is the version that
@@ -81,8 +83,12 @@ class VersionedTable:
         """
         before = self.manifest(since)
         folder = f"data/{uuid.uuid4().hex}"
-        staged = rows.withColumn("_partition", self.value())
-        staged.repartition("_partition", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))).write.partitionBy("_partition").parquet(f"{self.root}/{folder}")
+        staged = rows
+        if PART in rows.columns:
+            rows = rows.drop(PART)
+        else:
+            staged = rows.withColumn(PART, self.value()).repartition(PART, F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)))
+        staged.write.option("compression", "zstd").partitionBy(PART).parquet(f"{self.root}/{folder}")
         files = self.spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{folder}")
         checks = [F.count("*").alias("n")] + ([F.count_distinct(key).alias("keys"), F.count_if(F.col(key).isNull()).alias("nulls")] if key else [])
         found = files.agg(*checks).first()
@@ -93,7 +99,7 @@ class VersionedTable:
         for f in self._fs.listStatus(self._path(f"{self.root}/{folder}")):
             if f.isDirectory():
                 at = f.getPath().getName()
-                touched[_unescaped(at.removeprefix("_partition="))] = f"{folder}/{at}"
+                touched[_unescaped(at.removeprefix(f"{PART}="))] = f"{folder}/{at}"
         parts = touched if whole else before["parts"] | touched
         body = {"schema": json.loads(rows.schema.json()), "parts": parts}
         if beside:

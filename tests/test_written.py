@@ -88,3 +88,24 @@ def test_stores_share_a_bounded_number_of_parts(spark, tmp_path):
     assert sum(places[k] != at for k, at in table.manifest()["parts"].items()) == 1  # only the part of that store is written
     got = {(r.offer_id, r.store_id, r.price_cents) for r in table.read().collect()}
     assert got == {(f"a{k}", k, 5 if k == 3 else 100) for k in range(40)} | {("z", None, 100), ("c3", 3, 100)}
+
+
+def test_old_and_new_rows_move_once(spark, tmp_path, monkeypatch):
+    """One exchange for both, by the parts that are written; the commit adds none."""
+    old, new = table_of(spark, offer("a"), offer("b", store=2)), table_of(spark, offer("n", price_cents=5), offer("m", "Tea"))
+
+    def exchanges(rows):
+        return rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    assert exchanges(upserts.merged(old, new)) == 1
+    table, seen = VersionedTable(spark, str(tmp_path), "store_id", 4), []
+    commit = VersionedTable.commit
+    monkeypatch.setattr(VersionedTable, "commit", lambda self, rows, **how: (seen.append((exchanges(rows), "_partition" in rows.columns)), commit(self, rows, **how))[1])
+    upserts.write_offers(table, old)
+    upserts.write_offers(table, new)
+    assert seen == [(1, True)] * 2
+    assert {(r.offer_id, r.price_cents) for r in table.read().collect()} == {("a", 5), ("b", 100), ("m", 100)}
+    # A table divided by anything else is dealt by the commit, as before.
+    other = VersionedTable(spark, str(tmp_path / "other"), "coverage")
+    upserts.write_offers(other, old)
+    assert seen[-1] == (1, False) and set(other.manifest()["parts"]) == {"national"}
