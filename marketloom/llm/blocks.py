@@ -43,6 +43,8 @@ PARTS = 5
 SIZE_SHARE = (4, 5)
 #: Buckets of more members than this, as counted in one of ``SAMPLED`` of them, are dealt into cells.
 BUCKET_ROWS, SAMPLED = 1024, 16
+#: Salts of a large bucket whose pairs are compared where they meet, as long as its cells stay bounded.
+SALTS = 8
 #: Pairs that are asked for at once whether they are surely apart.
 ASKED = 4096
 _LANES = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
@@ -288,10 +290,11 @@ def _met(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, bodies: Ca
     """
     member, several = _several(signed, doubtful, group_of)
     here = member.join(several, "bucket")
-    half = BUCKET_ROWS // 2
+    # A member goes to as many cells as its bucket has salts: these are few, until cells are as large as a task may hold.
+    half = F.greatest(F.lit(BUCKET_ROWS // 2), F.least(F.lit(BUCKET_ROWS * 4), F.ceil(F.col("m") / SALTS)))
     of_group = here.where(F.col("m") > BUCKET_ROWS).groupBy("bucket", "m", "grp").agg(F.count("*").alias("k"))
-    greatest = of_group.groupBy("bucket", "m").agg(F.max_by("grp", "k").alias("greatest"), F.max("k").alias("k"))
-    salts = materialise(greatest.select("bucket", "greatest", F.ceil(F.col("k") / half).cast("int").alias("ka"), F.ceil((F.col("m") - F.col("k")) / half).cast("int").alias("kb")))
+    greatest = of_group.groupBy("bucket", "m").agg(F.max_by("grp", "k").alias("greatest"), F.max("k").alias("k")).withColumn("half", half)
+    salts = materialise(greatest.select("bucket", "greatest", F.ceil(F.col("k") / F.col("half")).cast("int").alias("ka"), F.ceil((F.col("m") - F.col("k")) / F.col("half")).cast("int").alias("kb")))
     placed = here.join(salts, "bucket", "left").withColumn("main", F.coalesce(F.col("grp") == F.col("greatest"), F.lit(False)))
     hashed = F.xxhash64("node", "bucket")
     placed = placed.withColumns({"sa": F.pmod(hashed, F.col("ka")).cast("int"), "sb": F.pmod(hashed, F.col("kb")).cast("int")})
