@@ -45,6 +45,8 @@ SIZE_SHARE = (4, 5)
 BUCKET_ROWS, SAMPLED = 1024, 16
 #: Salts of a large bucket whose pairs are compared where they meet, as long as its cells stay bounded.
 SALTS = 8
+#: Bytes of a usual body; a pair of longer ones costs more, so their cells are smaller, down to ``LEAST_ROWS`` members of a side.
+USUAL_BYTES, LEAST_ROWS = 400, 32
 #: Pairs that are asked for at once whether they are surely apart.
 ASKED = 4096
 _LANES = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
@@ -267,12 +269,13 @@ def _other_pairs(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, ma
 
 
 def _several(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (``node``, ``fp``, ``size``, ``bucket``, ``grp``) of the ``doubtful`` buckets, and those buckets (with ``m`` members) that still hold several groups."""
+    """Members (``node``, ``fp``, ``size``, ``bucket``, ``grp``) of the ``doubtful`` buckets, and those buckets (with ``m`` members, ``heavy`` times as large as usual) that still hold several groups."""
     sized = _sized(signed)
     member = signed.select(*sized, F.explode("keys").alias("bucket")).join(sent(doubtful, 24 * doubtful.count()), "bucket", "left_semi")
     member = materialise(member.join(group_of, "node", "left").select(*sized, "bucket", F.coalesce("grp", "node").alias("grp")))
-    found = member.groupBy("bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("m")).where("low <> high")
-    return member, materialise(found.select("bucket", "m"))
+    heavy = F.greatest(F.lit(1.0), F.avg("size") / USUAL_BYTES) if "size" in sized else F.lit(1.0)
+    found = member.groupBy("bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("m"), heavy.alias("heavy")).where("low <> high")
+    return member, materialise(found.select("bucket", "m", "heavy"))
 
 
 _CELL = ("bucket", "kind", "x", "y")
@@ -291,9 +294,10 @@ def _met(signed: DataFrame, doubtful: DataFrame, group_of: DataFrame, bodies: Ca
     member, several = _several(signed, doubtful, group_of)
     here = member.join(several, "bucket")
     # A member goes to as many cells as its bucket has salts: these are few, until cells are as large as a task may hold.
-    half = F.greatest(F.lit(BUCKET_ROWS // 2), F.least(F.lit(BUCKET_ROWS * 4), F.ceil(F.col("m") / SALTS)))
-    of_group = here.where(F.col("m") > BUCKET_ROWS).groupBy("bucket", "m", "grp").agg(F.count("*").alias("k"))
-    greatest = of_group.groupBy("bucket", "m").agg(F.max_by("grp", "k").alias("greatest"), F.max("k").alias("k")).withColumn("half", half)
+    usual = F.greatest(F.lit(BUCKET_ROWS // 2), F.least(F.lit(BUCKET_ROWS * 4), F.ceil(F.col("m") / SALTS)))
+    half = F.greatest(F.ceil(usual / F.col("heavy")), F.lit(min(LEAST_ROWS, BUCKET_ROWS // 2)))
+    of_group = here.where(F.col("m") * F.col("heavy") > BUCKET_ROWS).groupBy("bucket", "m", "heavy", "grp").agg(F.count("*").alias("k"))
+    greatest = of_group.groupBy("bucket", "m", "heavy").agg(F.max_by("grp", "k").alias("greatest"), F.max("k").alias("k")).withColumn("half", half)
     salts = materialise(greatest.select("bucket", "greatest", F.ceil(F.col("k") / F.col("half")).cast("int").alias("ka"), F.ceil((F.col("m") - F.col("k")) / F.col("half")).cast("int").alias("kb")))
     placed = here.join(salts, "bucket", "left").withColumn("main", F.coalesce(F.col("grp") == F.col("greatest"), F.lit(False)))
     hashed = F.xxhash64("node", "bucket")
